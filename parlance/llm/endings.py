@@ -131,10 +131,13 @@ def scores(model: EndModel, df: DataFrame, key: str, text: str) -> DataFrame:
     base = lambda u, tot: (n(u) + 0.1) / (F.lit(float(tot)) + 0.1 * v)
     cond = lambda pr, u, g, tot: (n(pr) + F.lit(b) * base(u, tot)) / (n(g) + b)
     step = F.log(cond("pc", "uc", "gc", nc) / cond("pe", "ue", "ge", ne))
-    loose = F.log(base("uc", nc) / base("ue", ne))
+    # what stands before a word that is cut within stands before any word, last ones included
+    both_sum = ctx.select("*", (n("pe") + n("pc")).alias("pa"), (n("ue") + n("uc")).alias("ua"), (n("ge") + n("gc")).alias("ga"))
+    within = F.log(cond("pa", "ua", "ga", ne + nc) / cond("pe", "ue", "ge", ne))
+    loose = F.log(base("ua", ne + nc) / base("ue", ne))
     # no single word may decide alone more than e^6
     cap = lambda c: F.least(F.greatest(c, F.lit(-6.0)), F.lit(6.0))
-    ctx = ctx.groupBy("k").agg(F.sum(cap(step)).alias("r"), F.sum(F.when(F.col("d") == 2, cap(loose)).otherwise(cap(step))).alias("rm"))
+    ctx = both_sum.groupBy("k").agg(F.sum(cap(step)).alias("r"), F.sum(F.when(F.col("d") == 2, cap(loose)).otherwise(cap(within))).alias("rm"))
     share = math.log((nc + 1) / (nc + nm + 2)), math.log((nm + 1) / (nc + nm + 2))
     both = first.join(ctx, "k")
     x, y = F.col("lc") + F.col("r") + share[0], F.col("lm") + F.col("rm") + share[1]
