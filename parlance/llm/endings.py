@@ -109,7 +109,9 @@ def scores(model: EndModel, df: DataFrame, key: str, text: str) -> DataFrame:
     """
     ne, nc, nm, kinds = model.totals
     open_ = df.filter(F.col(text).isNotNull()).withColumn("__b", F.regexp_replace(body(F.col(text)), _DOTS, ""))
-    open_ = open_.filter(~finished(F.col(text)) & (F.col("__b") != "")).select(F.col(key).alias("k"), _tokens(F.col("__b")).alias("t")).filter("size(t) > 0")
+    # opening brackets and dashes left at the very end say nothing by themselves
+    open_ = open_.withColumn("__b", F.regexp_replace("__b", r"""(?:\s+[^\p{L}\p{N}\s]+)+$""", ""))
+    open_ = open_.filter(~finished(F.col(text)) & F.col("__b").rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), _tokens(F.col("__b")).alias("t")).filter("size(t) > 0")
     fin = open_.select("k", F.lower(F.regexp_replace(F.element_at("t", -1), r"""^["'“«‘(\[¿¡]+|["'”’»]+$""", "")).alias("w"), _contexts(F.col("t"), F.size("t") - 1).alias("c"))
     fin = cut_lineage(fin)
     a, b = CHARS, BACK
