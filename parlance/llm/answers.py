@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import endings, language
-from parlance.llm.language import Languages
 from parlance.llm.overlap import words
 from parlance.runtime import cut_lineage
 
@@ -14,6 +13,8 @@ from parlance.runtime import cut_lineage
 PLACEHOLDERS = ["", "null", "none", "nil", "nan", "n a", "na", "eos", "s", "pad", "undefined", "empty", "no answer", "no output", "no response", "tbd", "todo", "output", "answer", "response", "reaction", "intention", "reason", "mental state"]
 #: An answer copies its inputs if so many of its words stand in them in runs of COPY_GRAM words.
 COPY_SHARE, COPY_GRAM = 0.7, 4
+#: Log-odds per character that the expected language needs over the likeliest other class.
+MARGIN = 0.45
 _NOT = r"(?:can ?not|ca ?n[o']?t|wo ?n[o']?t|will not|do not|unable|not able|not allowed|not permitted|not comfortable|decline|refuse|rather not)"
 _REFUSALS = "|".join([
     r"\b(?:i|we)\b[^.!?]{0,30}\b" + _NOT + r"\b",
@@ -58,16 +59,21 @@ def copies(answer: Column, inputs: Column) -> Column:
     return F.when(F.size(answer) == 0, False).when(g < COPY_GRAM, whole).otherwise(whole | (shared >= F.lit(COPY_SHARE) * F.size(F.array_distinct(own))))
 
 
-def find(prompts: DataFrame, answers: DataFrame, key: str, inputs: str, answer_id: str, output: str, model: Languages, expected: str = "en") -> DataFrame:
+def find(prompts: DataFrame, answers: DataFrame, key: str, inputs: str, answer_id: str, output: str, labelled: DataFrame, text_col: str, lang_col: str, labelled_id: str, expected: str = "en", margin: float = MARGIN) -> DataFrame:
     """Every answer with its defect, the first that applies, else null.
 
     ``empty`` (null, no letter or digit, or a place holder), ``copies_input`` (made of runs of words of its own inputs,
-    ``inputs`` being a struct of strings; null fields are skipped), ``refusal``, ``other_language`` (``expected`` is not
-    the likeliest class of the naive Bayes), ``truncated`` (end-of-text likelihoods, see endings; the model is counted
-    over all answers and prompts). ``prompt_lang`` and ``lang_differs`` compare with the language of the prompt; a prompt
-    without letters has class other. Answers without prompt are checked for all but copying. Several answers and repeated
-    deliveries are rows of their own. Null keys match nothing. Prompts delivered twice count once. Extra columns are not
-    carried; ids may be null. Empty tables give an empty result.
+    ``inputs`` being a struct of strings; null fields are skipped), ``refusal``, ``other_language``, ``truncated``
+    (end-of-text likelihoods, see endings; the model is counted over all answers and prompts).
+
+    Languages: character n-gram naive Bayes fitted on a bounded sample of ``labelled`` texts; then once more with a
+    bounded sample of prompts and of answers that the first model puts into ``expected``. An answer is in another
+    language if the expected one leads the likeliest other class by less than ``margin`` a character; ``prompt_lang``
+    and ``lang_differs`` compare with the prompt. Prompts without letters have class other.
+
+    Answers without prompt are checked for all but copying. Several answers and repeated deliveries are rows of their
+    own. Null keys match nothing. Prompts delivered twice count once. Extra columns are not carried; ids may be null.
+    Empty tables give an empty result; without labelled texts every answer with letters is in another language.
     """
     fields = [f.name for f in prompts.schema[inputs].dataType.fields]
     text = F.concat_ws("\n", *[F.col(f"`{inputs}`.`{f}`").cast("string") for f in fields])
@@ -76,9 +82,15 @@ def find(prompts: DataFrame, answers: DataFrame, key: str, inputs: str, answer_i
     j = a.join(p, "__k", "left").withColumn("__h", F.xxhash64("__out", F.lit(3)))
     j = cut_lineage(j.withColumn("__w", words(F.col("__out"))).withColumn("__iw", words(F.col("__in"))))
     step = j.withColumn("__empty", is_empty(F.col("__out"))).withColumn("__copy", F.coalesce(copies(F.col("__w"), F.col("__iw")), F.lit(False))).drop("__w", "__iw")
-    step = step.withColumn("__refuse", refuses(F.col("__out"))).withColumn("__rl", language.classify(model, F.col("__out"))).withColumn("__pl", language.classify(model, F.col("__in")))
+    step = step.withColumn("__refuse", refuses(F.col("__out")))
+    first = language.fit(labelled, labelled_id, text_col, lang_col)
+    own = step.filter(~(F.col("__empty") | F.col("__copy"))).select("__out", "__in")
+    own = own.filter(language.classify(first, F.col("__out"), F.col("__in"), expected).getField("lang") == expected)
+    model = language.fit(labelled, labelled_id, text_col, lang_col, more={expected: [p.select("__in"), own.select("__out")]})
+    step = step.withColumn("__rl", language.classify(model, F.col("__out"), F.col("__in"), expected)).withColumn("__pl", language.classify(model, F.col("__in"), F.lit(""), expected))
     step = cut_lineage(step)
-    sound = step.filter(~(F.col("__empty") | F.col("__copy") | F.col("__refuse")) & (F.col("__rl.lang") == expected))
+    foreign = ~F.coalesce(F.col("__rl.margin") >= margin, F.lit(False))
+    sound = step.filter(~(F.col("__empty") | F.col("__copy") | F.col("__refuse")) & ~foreign)
     # the end model reads sound answers as well as the prompts' lines, whole
     lines = p.select(F.explode(F.split("__in", "\n")).alias("t")).unionByName(sound.select(F.col("__out").alias("t")))
     ends = endings.fit(lines, "t")
@@ -88,9 +100,9 @@ def find(prompts: DataFrame, answers: DataFrame, key: str, inputs: str, answer_i
     th = endings.thresholds(rated, "__g", sound.select(F.lit(expected).alias("g")).groupBy("g").count())
     limit = float(th[0][1]) if th else 0.0
     out = step.join(sc.select("__h", "log_odds"), "__h", "left")
-    lang = F.col("__rl.lang")
     defect = (
         F.when(F.col("__empty"), "empty").when(F.col("__copy"), "copies_input").when(F.col("__refuse"), "refusal")
-        .when(lang != expected, "other_language").when(F.col("log_odds") > limit, "truncated")
+        .when(foreign, "other_language").when(F.col("log_odds") > limit, "truncated")
     )
-    return out.select(F.col("__id").alias(answer_id), F.col("__k").alias(key), defect.alias("defect"), lang.alias("lang"), F.col("__rl.posterior").alias("lang_posterior"), F.col("__pl.lang").alias("prompt_lang"), (lang != F.col("__pl.lang")).alias("lang_differs"), "log_odds")
+    lang = F.col("__rl.lang")
+    return out.select(F.col("__id").alias(answer_id), F.col("__k").alias(key), defect.alias("defect"), lang.alias("lang"), F.col("__rl.posterior").alias("lang_posterior"), F.col("__rl.margin").alias("lang_margin"), F.col("__pl.lang").alias("prompt_lang"), (lang != F.col("__pl.lang")).alias("lang_differs"), "log_odds")

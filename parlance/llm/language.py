@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -18,6 +19,7 @@ SAMPLE, LONGEST = 400, 4_000
 #: Weights of the 3-, 2- and 1-character models and of a uniform one over code points.
 WEIGHTS, UNIFORM = (0.6, 0.3, 0.0999, 0.0001), 1 / 110_000
 OTHER = "other"
+_WORD, _QUOTED = re.compile(r"\w+"), re.compile(r"[\"“„«»][^\"“”„«»]*[\"”“«»]")
 
 
 def clean(t: str) -> str:
@@ -77,15 +79,16 @@ class Languages:
         return self.names[x.index(top)], 1 / sum(math.exp(v - top) for v in x)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, longest: int = LONGEST, more: dict[str, DataFrame] | None = None, seed: int = 1) -> Languages:
+def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, longest: int = LONGEST, more: dict[str, list[DataFrame]] | None = None, seed: int = 1) -> Languages:
     """Fit on at most ``sample`` texts per language, of at most ``longest`` characters each, drawn by hash order.
 
-    ``more``: language -> one-column frame of further texts in that language, sampled alike. Languages: spelling aside;
+    ``more``: language -> one-column frames of further texts in that language, each sampled alike. Languages: spelling aside;
     null and blank are left out. The sample's bound is documented here, so the model's size is bounded too.
     """
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), plain(F.col(lang_col)).alias("l"))
-    for name, extra in (more or {}).items():
-        rows = rows.unionByName(extra.select(F.xxhash64(extra.columns[0]).alias("i"), F.col(extra.columns[0]).alias("t"), F.lit("+" + name).alias("l")))
+    rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), plain(F.col(lang_col)).alias("l"))
+    for name, frames in (more or {}).items():
+        for n, extra in enumerate(frames, 1):
+            rows = rows.unionByName(extra.select(F.xxhash64(extra.columns[0]).alias("i"), F.col(extra.columns[0]).alias("t"), F.lit("+" * n + name).alias("l")))
     rows = rows.filter(F.col("t").isNotNull() & (F.length("t") <= longest) & (F.coalesce("l", F.lit("")) != ""))
     rows = rows.withColumn("k", hash_key(seed, F.col("i"), F.col("t"))).withColumn("one", F.lit(1).cast("long"))
     budget = rows.select("l").distinct().withColumn("__budget", F.lit(sample).cast("long"))
@@ -96,11 +99,35 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
     return Languages(texts)
 
 
-def classify(model: Languages, text: Column) -> Column:
-    """struct<lang, posterior> of a text; null and texts without letters give other, 0."""
+def own_words(text: str, near: str) -> str:
+    """A text without quoted passages and without capitalised words that its inputs use too: names tell no language."""
+    t = _QUOTED.sub(" ", text)
+    seen = set(_WORD.findall(near.lower()))
+    kept = _WORD.sub(lambda m: " " if m[0][0].isupper() and m[0].lower() in seen else m[0], t)
+    return kept if len(clean(kept)) > 6 else text
 
-    @F.pandas_udf("lang string, posterior double")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.best(t) if t else (OTHER, 0.0) for t in s], columns=["lang", "posterior"])
 
-    return run(text)
+def classify(model: Languages, text: Column, near: Column, expected: str) -> Column:
+    """struct<lang, posterior, margin> of a text beside its inputs ``near``.
+
+    ``margin``: log-odds per character of the expected language against the likeliest other class. Null texts and those
+    without letters give class other, posterior 0 and a null margin.
+    """
+
+    @F.pandas_udf("lang string, posterior double, margin double")
+    def run(s: pd.Series, inputs: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, n in zip(s, inputs):
+            t = own_words(t, n or "") if t else ""
+            size = len(clean(t))
+            if size < 3:
+                out.append((OTHER, 0.0, None))
+                continue
+            x = model.logs(t)
+            top = max(x)
+            at = model.names.index(expected) if expected in model.names else None
+            rest = max(v for i, v in enumerate(x) if i != at)
+            out.append((model.names[x.index(top)], 1 / sum(math.exp(v - top) for v in x), None if at is None else (x[at] - rest) / size))
+        return pd.DataFrame(out, columns=["lang", "posterior", "margin"]).astype({"margin": "float64"})
+
+    return run(text, near)
