@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def _gauss(seed: int, *cols: Column) -> Column:
     return F.sqrt(-2.0 * F.log(F.least(u(0), F.lit(1.0)))) * F.cos(2.0 * math.pi * u(1))
 
 
+def _gram(df: DataFrame) -> tuple[np.ndarray, int]:
+    """Sums of products of all pairs of columns, and the number of rows: Arrow batches first, then a small sum."""
+    n = len(df.columns)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros((n, n)), 0
+        for b in batches:
+            x = b.to_numpy(dtype="float64")
+            total += x.T @ x
+            rows += len(x)
+        if rows:
+            yield pd.DataFrame({"i": np.arange(n * n + 1), "v": np.append(total.ravel(), rows)})
+
+    got = {r["i"]: r["v"] for r in df.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    return np.array([got.get(i, 0.0) for i in range(n * n)]).reshape(n, n), int(got.get(n * n, 0))
+
+
 @dataclass
 class Filling:
     rows: DataFrame
@@ -94,19 +113,14 @@ def fill(df: DataFrame, id_col: str, levels: list[str], numbers: list[str], grou
         for f in used:
             # the last group's means of the other fields tell what is usual for it (a high voice, a fast speaker)
             terms = [F.lit(1.0), *[F.col(x(o)) for o in used if o != f], *[F.col(a) for a in around[f]], *[F.col(around[o][-1]) for o in used if o != f and groups]]
-            every = [*terms, F.col(x(f))]
-            n = len(every)
-            sums = state.filter(~F.col(m(f))).agg(F.count(F.lit(1)).alias("n"), *[F.sum(every[i] * every[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-            if not sums["n"]:
+            gram, seen = _gram(state.filter(~F.col(m(f))).select(*[t.cast("double").alias(f"t{i}") for i, t in enumerate([*terms, F.col(x(f))])]))
+            n = len(terms) + 1
+            if not seen:
                 continue
-            gram = np.zeros((n, n))
-            for i in range(n):
-                for j in range(i, n):
-                    gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
-            a, b = gram[:-1, :-1] + RIDGE * sums["n"] * np.eye(n - 1), gram[:-1, -1]
+            a, b = gram[:-1, :-1] + RIDGE * seen * np.eye(n - 1), gram[:-1, -1]
             beta = np.linalg.solve(a, b)
-            spread = math.sqrt(max(0.0, (gram[-1, -1] - beta @ b) / sums["n"]))
-            models.append({"field": f, "step": step, "rows": sums["n"], "spread": spread * (sd[f] or 1.0), "coefficients": beta.tolist()})
+            spread = math.sqrt(max(0.0, (gram[-1, -1] - beta @ b) / seen))
+            models.append({"field": f, "step": step, "rows": seen, "spread": spread * (sd[f] or 1.0), "coefficients": beta.tolist()})
             guess = sum((F.lit(float(c)) * t for c, t in zip(beta, terms)), F.lit(0.0))
             if noise:
                 guess = guess + F.lit(spread) * _gauss(seed * 1000 + 10 * step, F.col("__id").cast("string"), F.lit(f))
