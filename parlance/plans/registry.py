@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import filling
+from parlance.plans import filling, records, relational, scalars, storage, windows
+from parlance.plans.base import QUERIES, SQL
 
-_MODULES = [filling]
+_LOADED = (relational, scalars, storage, windows)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return filling.p4_found(spark, sf)
+    return records.prompt_records(spark, sf)
 
 
 def queries() -> dict:
-    out: dict = {}
-    for m in _MODULES:
-        out |= m.queries()
-    return out
+    return QUERIES | filling.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _MODULES:
-        out |= m.oracle_sql()
-    return out
+    return SQL | filling.oracle_sql()
