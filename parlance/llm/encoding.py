@@ -7,7 +7,9 @@ import html
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ MISREAD = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250
 SWAPPED = (("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "cp1253"), ("cp1252", "iso8859_2"), ("cp1252", "koi8_r"), ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp437", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"))
 #: Price of reading as UTF-8 (well-formed by accident hardly ever), of another single-byte encoding, of an unescape, gain that a changed text must bring, states looked at, operations in a row.
 STEP, SWAP, UNESCAPE, GAIN, STATES, DEEPEST = 0.2, 1.5, 0.1, 0.1, 400, 4
+#: Texts that one task searches.
+TEXTS_A_TASK = 500
 #: Code points up to which context counts are kept; the table has at most LAST^2 rows.
 LAST = 0x530
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -200,12 +204,16 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
         n += 1
         if depth >= DEEPEST:
             continue
-        ways: list[tuple[str, bool, float]] = [(unescape(now), decoded, UNESCAPE)]
+        ways: list[tuple[Callable[[], str], bool, float]] = [(lambda: unescape(now), decoded, UNESCAPE)]
         if not now.isascii():
-            ways.append((as_windows(now), True, STEP))
-            ways += [(as_utf8(now, e), True, STEP) for e in MISREAD]
-            ways += [(as_other(now, e, m), True, SWAP) for e, m in SWAPPED]
-        for new, dec, price in ways:
+            ways.append((lambda: as_windows(now), True, STEP))
+            ways += [(partial(as_utf8, now, e), True, STEP) for e in MISREAD]
+            ways += [(partial(as_other, now, e, m), True, SWAP) for e, m in SWAPPED]
+        for make, dec, price in ways:
+            # no text costs less than 0: a way dearer than the best text cannot lead to a better one
+            if spent + price >= best[0]:
+                continue
+            new = make()
             if new == now or (h := hash(new)) in seen:
                 continue
             seen.add(h)
@@ -273,6 +281,7 @@ def find(df: DataFrame, id_col: str, text_col: str) -> Repair:
             out.append((new, decoded or lost or bool(_BROKEN.search(t)), not lost))
         return pd.DataFrame(out, columns=["restored", "garbled", "complete"])
 
-    found = texts.repartition(F.xxhash64("__t")).select(F.col("__t").alias("__ft"), search("__t").alias("r"))
+    # a fixed number of partitions, for the search is long and its rows are short
+    found = texts.repartition(1 + texts.count() // TEXTS_A_TASK, F.xxhash64("__t")).select(F.col("__t").alias("__ft"), search("__t").alias("r"))
     out = rows.join(found, F.col("__t") == F.col("__ft"), "left")
     return Repair(out.select(F.col("__id").alias(id_col), F.col("__t").alias(text_col), F.coalesce("r.restored", "__t").alias("restored"), F.coalesce("r.garbled", F.lit(False)).alias("garbled"), F.coalesce("r.complete", F.lit(True)).alias("complete")))
