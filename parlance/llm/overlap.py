@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from parlance.runtime import cut_lineage, plain
 
-#: One word in SIX may differ; n-grams of GRAM words.
-SIX, GRAM, MIN_WORDS = 6, 3, 8
+#: One word in SIX may differ; n-grams of GRAM words; up to LONG words records are looked up by pairs of n-grams.
+SIX, GRAM, MIN_WORDS, LONG = 6, 2, 8, 60
 
 
 def words(text: Column) -> Column:
@@ -66,33 +66,39 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     ``distance`` and ``containment`` (share of the evaluation record's n-grams in the training record), so copies are
     not multiplied. ``rows``: split, text and row id, for expanding.
 
-    Word n-gram hashes: k differences destroy at most GRAM * k n-grams, so two records within the limit share one of
-    their GRAM * k + 1 rarest n-grams, n-grams ordered by document frequency over both sides. The rarest ones of either
-    side are partitioned by hash and joined; no pair is lost. Records so short that fewer n-grams exist use all of them.
-    An n-gram occurring twice in a record counts once by (n-gram, occurrence). Candidates with too few n-grams in common
-    are dropped, the rest is verified by exact word distance over whole texts. Empty tables give empty results.
+    Word n-gram hashes: k differences destroy at most GRAM * k n-grams, so two records within the limit share t of
+    their GRAM * k + t rarest n-grams, n-grams ordered by document frequency over both sides. Records look each other up
+    by hashes of pairs of these (t = 2), which are far rarer than single ones; beyond LONG words, where pairs would be too
+    many, by single ones (t = 1); records between LONG * 5/6 and LONG * 6/5 words do both, so partners on either side of
+    LONG meet. The hashes of both sides are partitioned and joined; no pair is lost. The k-th occurrence of an
+    n-gram in a record is a gram of its own. Candidates with too few n-grams in common are dropped, the rest is verified by exact word distance over whole texts. Empty tables give empty results.
     """
     base = df.select(F.col(id_col).cast("long").alias("id"), plain(F.col(split_col)).alias("split"), words(F.col(text_col)).alias("w"))
     base = base.filter(F.col("split").isin(train, *evaluation) & (F.size("w") >= MIN_WORDS))
     base = base.withColumn("text_id", F.xxhash64(F.concat_ws(" ", "w"))).withColumn("check", F.crc32(F.concat_ws(" ", "w"))).withColumn("is_train", F.col("split") == train)
     rows = base.select("id", "split", "text_id", "check", "is_train")
-    texts = cut_lineage(base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval")))
-    grams = texts.select("text_id", "check", "in_train", "in_eval", F.size("w").alias("n"), F.explode(_gram_hashes(F.col("w"))).alias("g"))
+    one = base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
+    texts = cut_lineage(one.withColumn("gs", _grams(F.col("w")))).withColumn("gs", _numbered(F.col("gs")))
+    grams = texts.select("text_id", "check", "in_train", "in_eval", F.size("w").alias("n"), F.explode("gs").alias("g"))
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
     # n-grams of one side only keep their place in the order but cannot join
     ranked = grams.join(freq, "g")
     per = ranked.groupBy("text_id", "check", "in_train", "in_eval", "n").agg(F.collect_list(F.struct("df", "g", (F.col("t") & F.col("e")).alias("both"))).alias("all"))
-    kept = F.filter(F.slice(F.array_sort("all"), F.lit(1), F.lit(GRAM) * allowed(F.col("n")) + 1), lambda s: s["both"])
-    probe = cut_lineage(per.withColumn("p", F.explode(kept)).select("text_id", "check", "in_train", "in_eval", "n", F.col("p.g").alias("g")))
+    kept = F.transform(F.filter(F.slice(F.array_sort("all"), F.lit(1), F.lit(GRAM) * allowed(F.col("n")) + 2), lambda s: s["both"]), lambda s: s["g"])
+    per = cut_lineage(per.select("text_id", "check", "in_train", "in_eval", "n", kept.alias("k")))
+    two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
+    short = per.filter(F.col("n") * (SIX - 1) <= LONG * SIX).withColumn("g", F.explode(two))
+    # one n-gram more than t = 1 needs loses nothing
+    long_ = per.filter(F.col("n") * SIX > LONG * (SIX - 1)).withColumn("g", F.explode("k"))
+    probe = short.unionByName(long_).select("text_id", "check", "in_train", "in_eval", "n", "g")
     ev = probe.filter("in_eval").select(F.col("text_id").alias("e_id"), F.col("check").alias("e_ck"), F.col("n").alias("e_n"), "g")
     tr = probe.filter("in_train").select(F.col("text_id").alias("t_id"), F.col("check").alias("t_ck"), F.col("n").alias("t_n"), "g")
     near = F.abs(F.col("e_n") - F.col("t_n")) * SIX <= F.greatest("e_n", "t_n")
     cand = ev.join(tr, "g").filter(near).select("e_id", "e_ck", "t_id", "t_ck").distinct()
-    a = texts.select(F.col("text_id").alias("e_id"), F.col("check").alias("e_ck"), F.col("w").alias("ew"))
-    b = texts.select(F.col("text_id").alias("t_id"), F.col("check").alias("t_ck"), F.col("w").alias("tw"))
+    a = texts.select(F.col("text_id").alias("e_id"), F.col("check").alias("e_ck"), F.col("w").alias("ew"), F.col("gs").alias("eg"))
+    b = texts.select(F.col("text_id").alias("t_id"), F.col("check").alias("t_ck"), F.col("w").alias("tw"), F.col("gs").alias("tg"))
     pair = cand.join(a, ["e_id", "e_ck"]).join(b, ["t_id", "t_ck"])
-    eg, tg = _gram_hashes(F.col("ew")), _gram_hashes(F.col("tw"))
-    pair = pair.withColumn("limit", F.floor(F.greatest(F.size("ew"), F.size("tw")) / SIX).cast("int")).withColumn("shared", F.size(F.array_intersect(eg, tg))).withColumn("ngrams", F.size(eg))
+    pair = pair.withColumn("limit", F.floor(F.greatest(F.size("ew"), F.size("tw")) / SIX).cast("int")).withColumn("shared", F.size(F.array_intersect("eg", "tg"))).withColumn("ngrams", F.size("eg"))
     pair = pair.filter(F.col("shared") >= F.col("ngrams") - F.lit(GRAM) * F.col("limit"))
 
     @F.pandas_udf("int")
@@ -104,12 +110,15 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     return Overlaps(texts, links, rows)
 
 
-def _gram_hashes(w: Column) -> Column:
-    """Hashes of the word n-grams of a record; the k-th occurrence of an n-gram is a gram of its own."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - GRAM + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(GRAM)]))
-    # the occurrence number matters only where an n-gram repeats, which is tested first
-    again = F.transform(grams, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g))))
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), grams).otherwise(again)
+def _grams(w: Column) -> Column:
+    """Sorted hashes of the word n-grams of a record."""
+    return F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - GRAM + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(GRAM)])))
+
+
+def _numbered(g: Column) -> Column:
+    """The k-th occurrence of an n-gram (in a sorted array) is a gram of its own."""
+    again = lambda x, i: (i + 1) - F.array_position(g, x)
+    return F.transform(g, lambda x, i: F.when(again(x, i) == 0, x).otherwise(F.xxhash64(x, again(x, i))))
 
 
 def row_pairs(o: Overlaps) -> DataFrame:
