@@ -95,7 +95,7 @@ def fill(df: DataFrame, id_col: str, levels: list[str], numbers: list[str], grou
     for f in used:
         state = state.withColumn(x(f), (F.col(x(f)) - mean[f]) / (sd[f] or 1.0))
     around: dict[str, list[str]] = {f: [] for f in used}
-    for i in range(len(groups)):
+    for i in range(len(groups) if used else 0):
         sums = state.filter(F.col(f"__g{i}").isNotNull()).groupBy(F.col(f"__g{i}").alias("__k")).agg(*[F.sum(x(f)).alias(f"__s_{f}") for f in used], *[F.count(x(f)).alias(f"__n_{f}") for f in used])
         state = state.join(sums, F.col(f"__g{i}") == F.col("__k"), "left").drop("__k")
         for f in used:
@@ -107,6 +107,8 @@ def fill(df: DataFrame, id_col: str, levels: list[str], numbers: list[str], grou
         start = sum((F.col(a) for a in around[f]), F.lit(0.0)) / max(1, len(around[f]))
         state = state.withColumn(x(f), F.coalesce(F.col(x(f)), start))
     state = cut_lineage(state)
+    if not used:
+        groups = []
     low, high = {f: (1 - mean[f]) / (sd[f] or 1.0) for f in levels if f in used}, {f: (len(LEVELS) - mean[f]) / (sd[f] or 1.0) for f in levels if f in used}
     models: list[dict] = []
     for step in range(iterations):

@@ -62,6 +62,14 @@ def plain(c: Column) -> Column:
     return F.lower(outer_trim(c))
 
 
+def spread(df: DataFrame, rows_a_task: int) -> DataFrame:
+    """Rows over a fixed number of tasks, for work that is long beside the size of its rows.
+
+    Adaptive execution would join such small partitions to few tasks. ``df`` should be materialised: it is counted.
+    """
+    return df.repartition(1 + df.count() // rows_a_task)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table that must be small; more than ``limit`` rows is an error, never a cut."""
     rows = df.limit(limit + 1).collect()
