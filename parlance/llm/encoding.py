@@ -196,6 +196,8 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
     States are texts; visited ones are kept by hash. A text of n characters costs O(n) a state, and at most STATES states
     are looked at.
     """
+    # escapes are undone first: that is never dearer
+    text = unescape(text)
     heap: list[tuple[float, int, int, str, bool, float]] = [(model.cost(text), 0, 0, text, False, 0.0)]
     start = heap[0][0]
     seen, best, n = {hash(text)}, (start, text, False), 0
@@ -224,7 +226,7 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
             if c <= at - spent + 1.0:
                 heapq.heappush(heap, (c + paid, n, depth + 1, new, dec, paid))
     if best[2] and start - best[0] < GAIN:
-        return unescape(text), False
+        return text, False
     return best[1], best[2]
 
 
