@@ -26,7 +26,7 @@ def quantiles_by(df: DataFrame, value: str, group: str, q: list[float], groups:
     every = quantiles(df, value, q).select(F.lit("ALL").alias("grp"), "q")
     own = df.filter(F.col(group).isin(groups)).groupBy(F.col(group).alias("grp")).agg(F.percentile(finite(F.col(value)), [float(x) for x in q]).alias("q"))
     want = df.sparkSession.createDataFrame([(g,) for g in groups], "grp string")
-    full = want.join(own, "grp", "left").crossJoin(every.select(F.col("q").alias("qa")))  # one row
+    full = want.join(own, "grp", "left").withColumn("one", F.lit(1)).join(every.select(F.lit(1).alias("one"), F.col("q").alias("qa")), "one")  # one row
     return full.select("grp", F.coalesce("q", "qa").alias("q")).unionByName(every)
 
 

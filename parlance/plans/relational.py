@@ -112,8 +112,8 @@ def assert_contiguous(s, sf):
 
 @query("assert_coverage", "SELECT (SELECT count(*) FROM parallel_character_extraction) AS prompts, count(DISTINCT iden) AS answered FROM speaker_chars")
 def assert_coverage(s, sf):
-    p = read_table(s, sf, "parallel_character_extraction").agg(F.count(F.lit(1)).alias("prompts"))
-    return p.crossJoin(read_table(s, sf, "speaker_chars").agg(F.count_distinct("iden").alias("answered")))  # one row each
+    p = read_table(s, sf, "parallel_character_extraction").agg(F.count(F.lit(1)).alias("prompts"), F.lit(1).alias("one"))
+    return p.join(read_table(s, sf, "speaker_chars").agg(F.count_distinct("iden").alias("answered"), F.lit(1).alias("one")), "one").drop("one")  # one row each
 
 
 @query("drop_struct_field", "SELECT iden, inputs.history || '|' || inputs.utterance || '|' || inputs.speaker_id AS kept FROM parallel_character_extraction")
@@ -204,8 +204,8 @@ def join_override_merge(s, sf):
 def join_cross_sweep(s, sf):
     """Two short lists of settings; their product is the sweep."""
     langs = read_table(s, sf, "documents").filter("lang is not null").select(F.trim(F.lower("lang")).alias("lang")).distinct()
-    every = langs.agg(F.collect_set("lang").alias("langs"))  # one row
-    return read_table(s, sf, "region").crossJoin(every).select("r_name", F.explode("langs").alias("lang"))
+    every = langs.agg(F.collect_set("lang").alias("langs"), F.lit(1).alias("one"))  # one row
+    return read_table(s, sf, "region").withColumn("one", F.lit(1)).join(every, "one").select("r_name", F.explode("langs").alias("lang"))
 
 
 @query("zip_columns", "SELECT iden, emo || '=' || split AS pair FROM parallel_character_extraction")
