@@ -123,7 +123,7 @@ def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id
     digit outside brackets), ``broken`` (a row without turn number, leftover messages, one turn number with two
     messages, a message that says something without speaker), ``no_reply`` (fewer than two speakers, spelling aside, say
     anything), else null; and ``alternates``: no two neighbouring messages have one speaker.
-    ``messages``: conversation, position (dense from 0), turn, speaker (outer blanks removed), text, row id, of all
+    ``messages``: conversation, position (dense from 0; null for leftovers), turn, speaker (outer blanks removed), text, row id, of all
     conversations; join to ``status`` to leave out defective ones. Rows with a null conversation are left out. Negative
     turn numbers are leftovers. Null texts say nothing. An empty table gives empty results.
     """
@@ -156,10 +156,11 @@ def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id
     status = per.join(voices, "__conv", "left").join(same, "__conv", "left")
     defect = F.when(~F.col("says"), "empty").when(F.col("broken"), "broken").when(~F.coalesce("two", F.lit(False)), "no_reply")
     status = status.select(F.col("__conv").alias(conv), defect.alias("defect"), (~F.coalesce("same", F.lit(False))).alias("alternates"))
-    # position = messages of lower levels + rank within the level: only rivals of one turn share a level
+    # position = messages of lower levels + rank within the level; only rivals of one turn share a level, leftovers have none
+    left, m = m.filter("__level < 0"), m.filter("__level >= 0")
     rank = F.row_number().over(Window.partitionBy("__conv", "__level").orderBy("__at", "__id")) - 1
     width = m.groupBy(F.col("__conv").alias("__lc"), F.col("__level").alias("__ll")).agg(F.count(F.lit(1)).alias("__n"))
-    wide = width.filter("__n > 1 or __ll < 0").groupBy(F.col("__lc").alias("__wc")).agg(F.lit(True).alias("__wide"))
+    wide = width.filter("__n > 1").groupBy(F.col("__lc").alias("__wc")).agg(F.lit(True).alias("__wide"))
     extra = width.join(wide, F.col("__lc") == F.col("__wc"), "left_semi").withColumn("__blk", F.floor(F.col("__ll") / 1000))
     blk = extra.groupBy("__lc", "__blk").agg(F.sum("__n").alias("__bn"))
     blk = blk.select(F.col("__lc").alias("__bc"), F.col("__blk").alias("__bb"), F.coalesce(F.sum("__bn").over(Window.partitionBy("__lc").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b0"))
@@ -171,4 +172,5 @@ def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id
         F.col("__conv").alias(conv), (F.coalesce("__start", F.col("__level")) + F.col("__rank")).cast("long").alias("position"), F.col("__turn").alias(turn),
         F.col("__who").alias(speaker), F.col("__text").alias(text), F.col("__id").alias(row_id),
     )
-    return Conversations(out, status)
+    lost = left.select(F.col("__conv").alias(conv), F.lit(None).cast("long").alias("position"), F.col("__turn").alias(turn), F.col("__who").alias(speaker), F.col("__text").alias(text), F.col("__id").alias(row_id))
+    return Conversations(out.unionByName(lost), status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.prefix import hash_key, take_smallest
@@ -118,12 +118,11 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_co
     used = out.groupBy(F.col("__src").alias("__u")).agg(F.sum("__size").alias("used_tokens"), F.max("use_no").alias("most_uses"))
     schema = f"`{source_col}` string, target_weight double, max_uses long, source_tokens long, source_docs long, budget_tokens double, unreachable boolean"
     base = spark.createDataFrame(report, schema)
-    all_used = used.agg(F.sum("used_tokens").alias("__all"))
     full_report = (
         base.join(used, plain(F.col(source_col)) == F.col("__u"), "left")
-        .crossJoin(F.broadcast(all_used))  # one row
         .withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
         .withColumn("most_uses", F.coalesce("most_uses", F.lit(0)))
+        .withColumn("__all", F.sum("used_tokens").over(Window.partitionBy()))  # at most MAX_SOURCES rows
         .withColumn("actual_share", F.coalesce(F.try_divide(F.col("used_tokens").cast("double"), F.col("__all")), F.lit(0.0)))
         .drop("__u", "__all")
     )
