@@ -22,6 +22,7 @@ MAX_GROUPS = 100_000
 #: A trailing signature, bracketed note, sign or emoji; stripped again and again from the end.
 _SIGN = r"(?:\s|\p{So}|\p{Sk}|\p{Cf}|\x{FE0F}|[*_~#|•♥♪]|<3|[:;]-?[)(DPp]|\((?:[^()]{0,60})\)|\[(?:[^\[\]]{0,60})\]|\n\s*[—–-]{1,2}\s*\p{Lu}[^\n]{0,60})+$"
 _MARK = r"""[.!?。！？]["'”’»)\]]*$"""
+_OPENS = r"""^["'“«‘(\[¿¡—–]*[\p{Lu}\p{N}\p{Lo}]"""
 _DOTS = r"""(?:\.\s?\.\s?\.+|…)["'”’»)\]]*$"""
 
 
@@ -44,6 +45,14 @@ def _word(tok: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(tok, r"""^["'“«‘(\[¿¡]+""", ""), r"""[.!?…"'”’»)\]]+$""", ""))
 
 
+def _read(text: Column) -> Column:
+    """Tokens of a text as struct<w, mark, dots, opens>; every pattern is matched once a token."""
+    return F.transform(
+        _tokens(text),
+        lambda x: F.struct(_word(x).alias("w"), x.rlike(_MARK).alias("mark"), x.rlike(_DOTS).alias("dots"), x.rlike(_OPENS).alias("opens")),
+    )
+
+
 def _tail(w: Column) -> Column:
     return F.substring(w, -TAIL, TAIL)
 
@@ -53,7 +62,7 @@ def _contexts(toks: Column, at: Column) -> Column:
 
     def back(d: int) -> Column:
         tok = F.get(toks, at - d + 1)
-        return F.when(tok.isNull(), "^").otherwise(F.concat(_tail(_word(tok)), F.when(tok.rlike(_MARK), ".").otherwise("")))
+        return F.when(tok.isNull(), "^").otherwise(F.concat(_tail(tok["w"]), F.when(tok["mark"], ".").otherwise("")))
 
     return F.array(*[back(d) for d in range(2, DEPTH + 1)])
 
@@ -71,15 +80,17 @@ class EndModel:
 
 def fit(texts: DataFrame, text: str) -> EndModel:
     """Count the backward model over all positions of all texts."""
-    # a whole text is one row of words; positions are exploded and counted map-side
-    toks = texts.filter(F.col(text).isNotNull()).select(_tokens(body(F.col(text))).alias("t"), finished(F.col(text)).alias("ok"))
-    pos = toks.select("t", "ok", F.posexplode("t").alias("i", "tok"))
-    last = F.col("i") == F.size("t") - 1
-    nxt = F.get(F.col("t"), F.col("i") + 1)
-    marked = F.col("tok").rlike(_MARK) & ~F.col("tok").rlike(_DOTS) & F.when(last, F.col("ok")).otherwise(nxt.rlike(r"""^["'“«‘(\[¿¡—–]*[\p{Lu}\p{N}\p{Lo}]"""))
-    # the end of an unfinished text is no evidence, nor is a mark that may not end a sentence
-    pos = pos.withColumn("e", marked).filter(F.col("e") | ~(last | F.col("tok").rlike(_MARK) | F.col("tok").rlike(_DOTS)))
-    full = pos.select("e", _word(F.col("tok")).alias("w"), _contexts(F.col("t"), F.col("i")).alias("c"))
+    # contexts are picked within the array of a text and exploded without it, then counted map-side
+    toks = texts.filter(F.col(text).isNotNull()).select(_read(body(F.col(text))).alias("t"), finished(F.col(text)).alias("ok"))
+    toks = toks.filter("size(t) > 0").withColumn("n", F.size("t"))
+
+    def place(i: Column) -> Column:
+        tok, last = F.get("t", i), i == F.col("n") - 1
+        ends = tok["mark"] & ~tok["dots"] & F.when(last, F.col("ok")).otherwise(F.get("t", i + 1)["opens"])
+        # the end of an unfinished text is no evidence, nor is a mark that may not end a sentence
+        return F.struct(ends.alias("e"), (ends | ~(last | tok["mark"] | tok["dots"])).alias("use"), tok["w"].alias("w"), _contexts(F.col("t"), i).alias("c"))
+
+    full = toks.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)).alias("p")).filter("p.use").select("p.e", "p.w", "p.c")
     keys = F.array(
         F.struct(F.lit(1).alias("d"), F.col("w").alias("w"), F.lit("").alias("g")),
         F.struct(F.lit(2).alias("d"), F.col("c")[0].alias("w"), _tail(F.col("w")).alias("g")),
@@ -111,8 +122,8 @@ def scores(model: EndModel, df: DataFrame, key: str, text: str) -> DataFrame:
     open_ = df.filter(F.col(text).isNotNull()).withColumn("__b", F.regexp_replace(body(F.col(text)), _DOTS, ""))
     # opening brackets and dashes left at the very end say nothing by themselves
     open_ = open_.withColumn("__b", F.regexp_replace("__b", r"""(?:\s+[^\p{L}\p{N}\s]+)+$""", ""))
-    open_ = open_.filter(~finished(F.col(text)) & F.col("__b").rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), _tokens(F.col("__b")).alias("t")).filter("size(t) > 0")
-    fin = open_.select("k", F.lower(F.regexp_replace(F.element_at("t", -1), r"""^["'“«‘(\[¿¡]+|["'”’»]+$""", "")).alias("w"), _contexts(F.col("t"), F.size("t") - 1).alias("c"))
+    open_ = open_.filter(~finished(F.col(text)) & F.col("__b").rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), _tokens(F.col("__b")).alias("t")).filter("size(t) > 0").withColumn("r", _read(F.concat_ws(" ", F.slice("t", -F.least(F.size("t"), F.lit(DEPTH)), F.lit(DEPTH)))))
+    fin = open_.select("k", F.lower(F.regexp_replace(F.element_at("t", -1), r"""^["'“«‘(\[¿¡]+|["'”’»]+$""", "")).alias("w"), _contexts(F.col("r"), F.size("r") - 1).alias("c"))
     fin = cut_lineage(fin)
     a, b = CHARS, BACK
     first = (
