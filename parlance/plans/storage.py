@@ -76,8 +76,9 @@ def scan_dir_pairs(s, sf):
 def scan_wav(s, sf):
     """Audio files are read as binary rows and measured in batches; here files of known length are made first."""
     p = io.scratch(s, "wav")
-    make = F.udf(lambda n: b"RIFF" + b"\0" * 20 + (8000).to_bytes(4, "little") + (8000).to_bytes(4, "little") + b"\0" * 12 + b"\0" * (8000 * n), "binary")
-    rows = read_table(s, sf, "nation").select("n_nationkey", make("n_nationkey").alias("content"))
+    head = (b"RIFF" + bytes(20) + (8000).to_bytes(4, "little") * 2 + bytes(12)).hex()
+    content = F.unhex(F.concat(F.lit(head), F.repeat(F.lit("00"), F.col("n_nationkey") * 8000)))
+    rows = read_table(s, sf, "nation").select("n_nationkey", content.alias("content"))
     rows.write.parquet(p)
     files = s.read.parquet(p).select(F.col("n_nationkey").cast("string").alias("path"), "content")
     return external.features(files, external.WaveLength()).select(F.col("path").cast("int").alias("n_nationkey"), "seconds")
