@@ -73,7 +73,7 @@ def fill(df: DataFrame, id_col: str, levels: list[str], numbers: list[str], grou
 
     Missing: null, NaN and infinite numbers; levels that are none of LEVELS. A field without any value stays missing.
     Null groups have the overall mean. ``rows``: the input's columns with levels and numbers in their filled form, and
-    ``<field>_was_missing`` per field; other columns, whatever their name, are unchanged. ``cells``: id, level_field,
+    ``<field>_was_missing`` per field; other columns, whatever their name, are unchanged, but one with the name of a mark gives way to it. ``cells``: id, level_field,
     filled, for each missing cell of ``levels``, filled or not. ``models``: coefficients, spread and rows of each fit.
     Equal ids get equal residuals. An empty table gives empty results.
 
@@ -82,15 +82,15 @@ def fill(df: DataFrame, id_col: str, levels: list[str], numbers: list[str], grou
     """
     fields = [*levels, *numbers]
     x, m = (lambda f: f"__x_{f}"), (lambda f: f"__m_{f}")
-    src = df.withColumn("__id", F.col(id_col))
-    for f in fields:
-        src = src.withColumn(x(f), level_code(F.col(f)) if f in levels else finite(F.col(f)))
-    for i, g in enumerate(groups):
-        src = src.withColumn(f"__g{i}", plain(F.col(g).cast("string")))
+    src = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__id"),
+        *[(level_code(F.col(f)) if f in levels else finite(F.col(f))).alias(x(f)) for f in fields],
+        *[plain(F.col(g).cast("string")).alias(f"__g{i}") for i, g in enumerate(groups)],
+    )
     mean = src.agg(*[F.avg(x(f)).alias(f) for f in fields], *[F.stddev_pop(x(f)).alias("sd_" + f) for f in fields]).first()
     mean, sd = {f: mean[f] for f in fields}, {f: mean["sd_" + f] or 1.0 for f in fields}
     used = [f for f in fields if mean[f] is not None]
-    state = src.select("__id", *[f"__g{i}" for i in range(len(groups))], *[F.col(x(f)) for f in fields], *[F.col(x(f)).isNull().alias(m(f)) for f in fields], *[F.col(c).alias(f"__c{i}") for i, c in enumerate(df.columns)])
+    state = src.select("__id", *[f"__g{i}" for i in range(len(groups))], *[F.col(x(f)) for f in fields], *[F.col(x(f)).isNull().alias(m(f)) for f in fields], "__row")
     # numbers are standardised, so one ridge fits all
     for f in used:
         state = state.withColumn(x(f), (F.col(x(f)) - mean[f]) / (sd[f] or 1.0))
@@ -133,6 +133,7 @@ def fill(df: DataFrame, id_col: str, levels: list[str], numbers: list[str], grou
     values = {f: F.col(x(f)) * (sd[f] or 1.0) + F.lit(mean[f]) if f in used else F.lit(None).cast("double") for f in fields}
     names = F.array(*[F.lit(v) for v in LEVELS])
     filled = {f: F.try_element_at(names, F.round(values[f]).cast("int")) if f in levels else values[f] for f in fields}
-    out = state.select(*[filled[c].alias(c) if c in fields else F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col(m(f)).alias(f"{f}_was_missing") for f in fields])
+    marks = {f"{f}_was_missing" for f in fields}
+    out = state.select(*[filled[c].alias(c) if c in fields else F.col("__row").getField(c).alias(c) for c in df.columns if c not in marks], *[F.col(m(f)).alias(f"{f}_was_missing") for f in fields])
     cells = state.select("__id", F.explode(F.array(*[F.struct(F.lit(f).alias("level_field"), filled[f].alias("filled"), F.col(m(f)).alias("m")) for f in levels])).alias("c")).filter("c.m")
     return Filling(out, cells.select(F.col("__id").alias(id_col), "c.level_field", "c.filled"), models)

@@ -156,7 +156,7 @@ def test_sources(spark, tmp_path):
 
 
 def _levels(spark, rows):
-    return spark.createDataFrame(rows, "id long, d string, sp string, lev string, num double, filled string")
+    return spark.createDataFrame(rows, "id long, d string, sp string, lev string, num double, filled string").withColumn("__id", F.lit("y")).withColumn("lev_was_missing", F.lit(1))
 
 
 def test_imputation_masks_and_edges(spark):
@@ -166,7 +166,7 @@ def test_imputation_masks_and_edges(spark):
     assert set(cells) == {i for i in range(60) if i % 6 in (3, 4, 5)}
     assert all(v in impute.LEVELS for v in cells.values())
     out = r.rows.collect()
-    assert len(out) == 60 and all(x["filled"] == "x" and math.isfinite(x["num"]) for x in out)
+    assert len(out) == 60 and all(x["filled"] == "x" and x["__id"] == "y" and math.isfinite(x["num"]) for x in out)
     assert {x["lev"] for x in out if not x["lev_was_missing"]} == {"low", "high", "very high"}
 
 
