@@ -82,11 +82,11 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_co
     exceeds max_uses times its tokens cannot reach it: it is used in full and reported. A document is used in as many
     whole passes as fit, then once more if it stands in the permutation (hash order) before the rest of the budget ends;
     the last document of a pass may cross the budget unless that would exceed the cap. Rows with a null source or one
-    without target are not used but count in the total. Null or zero sizes take no room. Rows: the input's columns,
+    without target are not used but count in the total. Null or zero sizes take no room. Rows: id, source, size,
     ``use_no`` from 1 and ``block_key``, the order within a pass. Repeated rows are rows. Empty tables give no rows.
     """
     spark = df.sparkSession
-    rows = df.withColumn("__src", plain(F.col(source_col))).withColumn("__size", F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
+    rows = df.select(F.col(id_col).alias("__tie"), F.col(source_col).alias("__given"), plain(F.col(source_col)).alias("__src"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("__size"))
     rows = rows.filter(F.col("__src").isNotNull() & (F.col("__src") != ""))
     sums = rows.groupBy("__src").agg(F.sum("__size").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     want = targets.select(F.col(source_col).alias("__name"), plain(F.col(source_col)).alias("__k"), F.col("target_weight").cast("double").alias("w"), F.col("max_uses").cast("long").alias("m"))
@@ -104,7 +104,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_co
         uses.append((p["__k"], full, float(rest)))
         report.append((p["__name"], p["w"], m, t, p["docs"], float(b), bool((p["w"] or 0.0) * total > m * t)))
     spark_uses = spark.createDataFrame(uses, "__k string, __full int, __rest double")
-    keyed = rows.withColumn("__key", hash_key(seed, F.col(id_col))).withColumn("__tie", F.col(id_col))
+    keyed = rows.withColumn("__key", hash_key(seed, F.col("__tie")))
     whole = (
         keyed.join(F.broadcast(spark_uses), F.col("__src") == F.col("__k"))
         .filter("__full > 0")
@@ -126,4 +126,4 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_co
         .withColumn("actual_share", F.coalesce(F.try_divide(F.col("used_tokens").cast("double"), F.col("__all")), F.lit(0.0)))
         .drop("__u", "__all")
     )
-    return Mix(out.drop("__src", "__size", "__key", "__tie"), full_report)
+    return Mix(out.select(F.col("__tie").alias(id_col), F.col("__given").alias(source_col), F.col("__size").alias(size_col), "use_no", "block_key"), full_report)

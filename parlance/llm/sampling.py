@@ -67,10 +67,10 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str, split_col: str, label_c
     Rows with a null or unlisted label or split are never drawn and do not count. Repeated rows count as rows; equal
     ids share a random key and are taken in any order. Null ids are allowed. Empty tables give an empty sample and a
     report with availability 0. The report has every target row: available, wanted (real number), quota and short
-    (available < wanted). Extra columns of ``df`` are kept; internal names start with ``__``.
+    (available < wanted). Extra columns of ``df`` are kept, whatever their names.
     """
     spark = df.sparkSession
-    rows = df.withColumn("__split", plain(F.col(split_col))).withColumn("__label", plain(F.col(label_col)))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__tie"), plain(F.col(split_col)).alias("__split"), plain(F.col(label_col)).alias("__label"))
     want = targets.select(
         F.col(split_col).alias("__ts"), F.col(label_col).alias("__tl"), plain(F.col(split_col)).alias("__k1"), plain(F.col(label_col)).alias("__k2"),
         F.col("target_share").cast("double").alias("share"), F.col("min_rows").cast("long").alias("low"), F.col("sample_frac").cast("double").alias("frac"),
@@ -92,11 +92,9 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str, split_col: str, label_c
     keyed = (
         rows.filter(F.col("__split").isNotNull() & F.col("__label").isNotNull())
         .withColumn("__grp", F.concat("__split", F.lit("\x1f"), "__label"))
-        .withColumn("__key", hash_key(seed, F.col(id_col)))
-        .withColumn("__tie", F.col(id_col))
+        .withColumn("__key", hash_key(seed, F.col("__tie")))
         .withColumn("__one", F.lit(1).cast("long"))
     )
     taken = take_smallest(keyed, "__grp", "__key", "__tie", "__one", budget)
-    drop = ["__split", "__label", "__grp", "__key", "__tie", "__one"]
     schema = f"`{split_col}` string, `{label_col}` string, available long, wanted double, quota long, short boolean"
-    return Sample(taken.drop(*drop), spark.createDataFrame(report, schema))
+    return Sample(taken.select("__row.*"), spark.createDataFrame(report, schema))

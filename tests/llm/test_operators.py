@@ -35,7 +35,7 @@ def test_largest_remainder():
 
 def test_sample_quotas_are_exact_and_repeatable(spark):
     rows = [(i, " Train" if i % 2 else "train", ["a", "B ", "c", None][min(i % 10, 3)], "extra") for i in range(2000)]
-    df = spark.createDataFrame(rows, "row_id long, split string, lab string, __keep string")
+    df = spark.createDataFrame(rows, "row_id long, split string, lab string, __split string").withColumn("__key", F.lit(0)).withColumn("label", F.lit(0))
     t = spark.createDataFrame([("train", "a", 0.5, 3, 0.3), ("train", "b", 0.45, 3, 0.3), ("train", "c", 0.05, 3, 0.3), ("dev", "a", 1.0, 1, 0.5)], "split string, lab string, target_share double, min_rows int, sample_frac double")
     s = sampling.draw(df, t, "row_id", "split", "lab")
     rep = {(r["split"], r["lab"]): r for r in s.report.collect()}
