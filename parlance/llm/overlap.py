@@ -76,28 +76,30 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     base = df.select(F.col(id_col).cast("long").alias("id"), plain(F.col(split_col)).alias("split"), words(F.col(text_col)).alias("w"))
     base = base.filter(F.col("split").isin(train, *evaluation) & (F.size("w") >= MIN_WORDS))
     base = base.withColumn("text_id", F.xxhash64(F.concat_ws(" ", "w"))).withColumn("check", F.crc32(F.concat_ws(" ", "w"))).withColumn("is_train", F.col("split") == train)
-    rows = base.select("id", "split", "text_id", "check", "is_train")
     one = base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    texts = cut_lineage(one.withColumn("gs", _grams(F.col("w")))).withColumn("gs", _numbered(F.col("gs")))
-    grams = texts.select("text_id", "check", "in_train", "in_eval", F.size("w").alias("n"), F.explode("gs").alias("g"))
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
+    # written once, so that the short numbers of the texts stay
+    texts = cut_lineage(one.withColumn("gs", _grams(F.col("w"))).withColumn("tid", F.monotonically_increasing_id())).withColumn("gs", _numbered(F.col("gs")))
+    rows = base.select("id", "split", "text_id", "check", "is_train").join(texts.select("text_id", "check", "tid"), ["text_id", "check"]).select("id", "split", "is_train", "tid")
+    grams = texts.select("tid", "in_train", "in_eval", F.explode("gs").alias("g"))
+    freq = grams.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df"), (F.max("in_train") & F.max("in_eval")).alias("both"))
     # n-grams of one side only keep their place in the order but cannot join
-    ranked = grams.join(freq, "g")
-    per = ranked.groupBy("text_id", "check", "in_train", "in_eval", "n").agg(F.collect_list(F.struct("df", "g", (F.col("t") & F.col("e")).alias("both"))).alias("all"))
+    ranked = grams.select("tid", "g").join(freq, "g")
+    per = ranked.groupBy("tid").agg(F.collect_list(F.struct("df", "g", "both")).alias("all"))
+    per = per.join(texts.select("tid", "in_train", "in_eval", F.size("w").alias("n")), "tid")
     kept = F.transform(F.filter(F.slice(F.array_sort("all"), F.lit(1), F.lit(GRAM) * allowed(F.col("n")) + 2), lambda s: s["both"]), lambda s: s["g"])
-    per = cut_lineage(per.select("text_id", "check", "in_train", "in_eval", "n", kept.alias("k")))
+    per = cut_lineage(per.select("tid", "in_train", "in_eval", "n", kept.alias("k")))
     two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
     short = per.filter(F.col("n") * (SIX - 1) <= LONG * SIX).withColumn("g", F.explode(two))
     # one n-gram more than t = 1 needs loses nothing
     long_ = per.filter(F.col("n") * SIX > LONG * (SIX - 1)).withColumn("g", F.explode("k"))
-    probe = short.unionByName(long_).select("text_id", "check", "in_train", "in_eval", "n", "g")
-    ev = probe.filter("in_eval").select(F.col("text_id").alias("e_id"), F.col("check").alias("e_ck"), F.col("n").alias("e_n"), "g")
-    tr = probe.filter("in_train").select(F.col("text_id").alias("t_id"), F.col("check").alias("t_ck"), F.col("n").alias("t_n"), "g")
+    probe = short.unionByName(long_).select("tid", "in_train", "in_eval", "n", "g")
+    ev = probe.filter("in_eval").select(F.col("tid").alias("e_id"), F.col("n").alias("e_n"), "g")
+    tr = probe.filter("in_train").select(F.col("tid").alias("t_id"), F.col("n").alias("t_n"), "g")
     near = F.abs(F.col("e_n") - F.col("t_n")) * SIX <= F.greatest("e_n", "t_n")
-    cand = ev.join(tr, "g").filter(near).select("e_id", "e_ck", "t_id", "t_ck").distinct()
-    a = texts.select(F.col("text_id").alias("e_id"), F.col("check").alias("e_ck"), F.col("w").alias("ew"), F.col("gs").alias("eg"))
-    b = texts.select(F.col("text_id").alias("t_id"), F.col("check").alias("t_ck"), F.col("w").alias("tw"), F.col("gs").alias("tg"))
-    pair = cand.join(a, ["e_id", "e_ck"]).join(b, ["t_id", "t_ck"])
+    cand = ev.join(tr, "g").filter(near).select("e_id", "t_id").distinct()
+    a = texts.select(F.col("tid").alias("e_id"), F.col("w").alias("ew"), F.col("gs").alias("eg"))
+    b = texts.select(F.col("tid").alias("t_id"), F.col("w").alias("tw"), F.col("gs").alias("tg"))
+    pair = cand.join(a, "e_id").join(b, "t_id")
     pair = pair.withColumn("limit", F.floor(F.greatest(F.size("ew"), F.size("tw")) / SIX).cast("int")).withColumn("shared", F.size(F.array_intersect("eg", "tg"))).withColumn("ngrams", F.size("eg"))
     pair = pair.filter(F.col("shared") >= F.col("ngrams") - F.lit(GRAM) * F.col("limit"))
 
@@ -106,7 +108,7 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
         return pd.Series([word_distance(list(p), list(q)) for p, q in zip(x, y)], dtype="int32")
 
     links = pair.withColumn("distance", distance("ew", "tw")).filter(F.col("distance") <= F.col("limit"))
-    links = links.select("e_id", "e_ck", "t_id", "t_ck", "distance", (F.col("shared") / F.col("ngrams")).alias("containment"))
+    links = links.select("e_id", "t_id", "distance", (F.col("shared") / F.col("ngrams")).alias("containment"))
     return Overlaps(texts, links, rows)
 
 
@@ -123,6 +125,6 @@ def _numbered(g: Column) -> Column:
 
 def row_pairs(o: Overlaps) -> DataFrame:
     """Pairs of rows, the smaller id first; one of train and one of an evaluation split."""
-    e = o.rows.filter(~F.col("is_train")).select(F.col("id").alias("e_row"), F.col("text_id").alias("e_id"), F.col("check").alias("e_ck"))
-    t = o.rows.filter("is_train").select(F.col("id").alias("t_row"), F.col("text_id").alias("t_id"), F.col("check").alias("t_ck"))
-    return o.links.join(e, ["e_id", "e_ck"]).join(t, ["t_id", "t_ck"]).select(F.least("e_row", "t_row").alias("row_id_a"), F.greatest("e_row", "t_row").alias("row_id_b"), "distance", "containment")
+    e = o.rows.filter(~F.col("is_train")).select(F.col("id").alias("e_row"), F.col("tid").alias("e_id"))
+    t = o.rows.filter("is_train").select(F.col("id").alias("t_row"), F.col("tid").alias("t_id"))
+    return o.links.join(e, "e_id").join(t, "t_id").select(F.least("e_row", "t_row").alias("row_id_a"), F.greatest("e_row", "t_row").alias("row_id_b"), "distance", "containment")
