@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.runtime import bounded_rows, cut_lineage
+from parlance.runtime import bounded_rows, cut_lineage, spread
 
 #: Encodings that UTF-8 bytes may have been read in, and (read in, meant) pairs of single-byte encodings.
 MISREAD = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r", "cp866", "cp1253", "cp1254")
@@ -283,7 +283,8 @@ def find(df: DataFrame, id_col: str, text_col: str) -> Repair:
             out.append((new, decoded or lost or bool(_BROKEN.search(t)), not lost))
         return pd.DataFrame(out, columns=["restored", "garbled", "complete"])
 
-    # a fixed number of partitions, for the search is long and its rows are short
-    found = texts.repartition(1 + texts.count() // TEXTS_A_TASK, F.xxhash64("__t")).select(F.col("__t").alias("__ft"), search("__t").alias("r"))
+    # a fixed number of partitions, for the search is long and its rows are short; written once, or filters on the result
+    # would be pushed below the exchange and inferred for the other side of the join, searching every text again
+    found = cut_lineage(spread(texts, TEXTS_A_TASK).select(F.col("__t").alias("__ft"), search("__t").alias("r")))
     out = rows.join(found, F.col("__t") == F.col("__ft"), "left")
     return Repair(out.select(F.col("__id").alias(id_col), F.col("__t").alias(text_col), F.coalesce("r.restored", "__t").alias("restored"), F.coalesce("r.garbled", F.lit(False)).alias("garbled"), F.coalesce("r.complete", F.lit(True)).alias("complete")))
