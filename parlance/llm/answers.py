@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from parlance.llm import endings, language
 from parlance.llm.overlap import words
-from parlance.runtime import cut_lineage
+from parlance.runtime import cut_lineage, spread
 
 #: Whole answers that are only place holders (compared without marks, in lower case).
 PLACEHOLDERS = ["", "null", "none", "nil", "nan", "n a", "na", "eos", "s", "pad", "undefined", "empty", "no answer", "no output", "no response", "tbd", "todo", "output", "answer", "response", "reaction", "intention", "reason", "mental state"]
 #: An answer copies its inputs if so many of its words stand in them in runs of COPY_GRAM words.
 COPY_SHARE, COPY_GRAM = 0.7, 4
+#: Answers whose languages one task tells.
+ANSWERS_A_TASK = 5_000
 #: Log-odds per character that the expected language needs over the likeliest other class.
 MARGIN = 0.45
 _NOT = r"(?:can ?not|ca ?n[o']?t|wo ?n[o']?t|will not|do not|unable|not able|not allowed|not permitted|not comfortable|decline|refuse|rather not)"
@@ -80,12 +82,13 @@ def find(prompts: DataFrame, answers: DataFrame, key: str, inputs: str, answer_i
     p = prompts.select(F.col(key).alias("__k"), text.alias("__in")).filter("__k is not null").groupBy("__k").agg(F.max("__in").alias("__in"))
     a = answers.select(F.col(key).alias("__k"), F.col(answer_id).alias("__id"), F.col(output).alias("__out"))
     j = a.join(p, "__k", "left").withColumn("__h", F.xxhash64("__out", F.lit(3)))
-    j = cut_lineage(j.withColumn("__w", words(F.col("__out"))).withColumn("__iw", words(F.col("__in"))))
+    j = spread(cut_lineage(j.withColumn("__w", words(F.col("__out"))).withColumn("__iw", words(F.col("__in")))), ANSWERS_A_TASK)
     step = j.withColumn("__empty", is_empty(F.col("__out"))).withColumn("__copy", F.coalesce(copies(F.col("__w"), F.col("__iw")), F.lit(False))).drop("__w", "__iw")
     step = step.withColumn("__refuse", refuses(F.col("__out")))
     first = language.fit(labelled, labelled_id, text_col, lang_col)
     own = step.filter(~(F.col("__empty") | F.col("__copy"))).select("__out", "__in")
-    own = own.filter(language.classify(first, F.col("__out"), F.col("__in"), expected).getField("lang") == expected)
+    # written once: the fit reads it several times
+    own = cut_lineage(own.filter(language.classify(first, F.col("__out"), F.col("__in"), expected).getField("lang") == expected))
     model = language.fit(labelled, labelled_id, text_col, lang_col, more={expected: [p.select("__in"), own.select("__out")]})
     step = step.withColumn("__rl", language.classify(model, F.col("__out"), F.col("__in"), expected)).withColumn("__pl", language.classify(model, F.col("__in"), F.lit(""), expected))
     step = cut_lineage(step)
