@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.runtime import bounded_rows, cut_lineage, spread
@@ -22,6 +22,8 @@ MISREAD = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250
 SWAPPED = (("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "cp1253"), ("cp1252", "iso8859_2"), ("cp1252", "koi8_r"), ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp437", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"))
 #: Price of reading as UTF-8 (well-formed by accident hardly ever), of another single-byte encoding, of an unescape, gain that a changed text must bring, states looked at, operations in a row.
 STEP, SWAP, UNESCAPE, GAIN, STATES, DEEPEST = 0.2, 1.5, 0.1, 0.1, 400, 4
+#: Price of a nat of context evidence.
+NAT = 0.3
 #: Texts that one task searches.
 TEXTS_A_TASK = 500
 #: Code points up to which context counts are kept; the table has at most LAST^2 rows.
@@ -167,7 +169,7 @@ class Plausibility:
                     elif kb == "L" and c in "¿¡" and ka not in "ZPC":
                         total += 1.0
                 seen = self.contexts.get(_fold(a) + c, 0) + self.contexts.get(c + _fold(b), 0) if ord(c) < LAST else 50
-                total += max(0.0, 1.2 - 0.3 * math.log1p(seen))
+                total += max(0.0, 1.2 - NAT * math.log1p(seen))
         scripts = set()
         for m in _TOKEN.finditer(text):
             w = m[0]
@@ -230,6 +232,39 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
     return best[1], best[2]
 
 
+def _pairs(text: str, i: int) -> tuple[str, str]:
+    """The contexts of a character: with the neighbour before it, and with the one behind it."""
+    return _fold(text[i - 1] if i else " ") + text[i], text[i] + _fold(text[i + 1] if i + 1 < len(text) else " ")
+
+
+def swap(text: str, rows: int, model: Plausibility, sound: dict[str, int]) -> str | None:
+    """The text as another single-byte encoding has it, if the contexts of restored texts tell so, else null.
+
+    Only letters that become letters within words count: a wrong letter costs as much as the right one, so the log-odds
+    of their contexts decide, summed over the whole text: ratios, which do not fade as tables grow. ``sound`` counts
+    contexts over the rows of all restored texts; the ``rows`` of this text do not testify for it.
+    """
+    own: dict[str, int] = {}
+    for m in _NON_ASCII.finditer(text):
+        for i in range(m.start(), m.end()):
+            for p in _pairs(text, i):
+                own[p] = own.get(p, 0) + rows
+    log = lambda p: math.log(max(sound.get(p, 0) - own.get(p, 0), 0) + 0.5)
+    letter = lambda c: kind(c)[0][0] == "L"
+    best, at = (-GAIN, None), None
+    for e, meant in SWAPPED:
+        new, odds = as_other(text, e, meant), 0.0
+        for m in _NON_ASCII.finditer(text):
+            for i in range(m.start(), m.end()):
+                if new[i] != text[i] and letter(new[i]) and letter(text[i]) and (letter(text[i - 1 : i] or " ") or letter(text[i + 1 : i + 2] or " ")):
+                    odds += sum(map(log, _pairs(new, i))) - sum(map(log, _pairs(text, i)))
+        if NAT * odds <= SWAP:
+            continue
+        at = model.cost(text) if at is None else at
+        best = min(best, (SWAP + model.cost(new) - at - NAT * odds, new), key=lambda x: x[0])
+    return best[1]
+
+
 #: What is left of a mark of three bytes whose last two were dropped: a lone letter within or between English words.
 _LOST = re.compile(r"[a-z]â(?:s|d|re|ve|ll)\b|nât\b|\bIâ(?:m|d|ve|ll)\b|(?<=[A-Za-z.,!?] )â(?= [A-Za-z])|[âÃÂ][\xa1-\xaa\xac-\xba\xbc-\xbf€]|[a-z]â(?=[A-Z])|[a-z]{2}â(?![\w])|(?<!\w)â(?=[A-Z])|(?<!\w)Ã(?= ?[a-z])")
 _BROKEN = re.compile("[\x80-\x9f�]")
@@ -240,8 +275,8 @@ class Repair:
     rows: DataFrame
 
 
-def contexts(texts: DataFrame, text: str) -> dict[str, int]:
-    """Counts of (neighbour, character) pairs around characters above ASCII and below LAST, over all texts."""
+def contexts(texts: DataFrame, text: str, rows: Column | None = None) -> dict[str, int]:
+    """Counts of (neighbour, character) pairs around characters above ASCII and below LAST, over all texts (or their rows)."""
 
     @F.pandas_udf("array<string>")
     def pairs(s: pd.Series) -> pd.Series:
@@ -250,13 +285,12 @@ def contexts(texts: DataFrame, text: str) -> dict[str, int]:
             for m in _NON_ASCII.finditer(t or ""):
                 for i in range(m.start(), m.end()):
                     if ord(t[i]) < LAST:
-                        out.append(_fold(t[i - 1] if i else " ") + t[i])
-                        out.append(t[i] + _fold(t[i + 1] if i + 1 < len(t) else " "))
+                        out += _pairs(t, i)
             return out
 
         return s.map(one)
 
-    counts = texts.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.explode(pairs(text)).alias("p")).groupBy("p").count()
+    counts = texts.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.explode(pairs(text)).alias("p"), (F.lit(1) if rows is None else rows).alias("n")).groupBy("p").agg(F.sum("n").alias("count"))
     return {r["p"]: r["count"] for r in bounded_rows(counts, LAST * LAST * 2, "the context table")}
 
 
@@ -267,24 +301,38 @@ def find(df: DataFrame, id_col: str, text_col: str) -> Repair:
     tells that decoding was needed, or that signs of a wrong decoding remain which cannot be undone (replacement and C1
     control characters, remains of dropped bytes): ``complete`` is then false. HTML entities alone are unescaped but
     are not garbled. Null texts stay null and are not garbled; so are texts in ASCII without escapes, which are not
-    searched. Equal texts are searched once and get equal results; repeated rows and ids are kept. Context counts cover
-    all rows. Extra columns are not carried. An empty table gives an empty result.
+    searched. Equal texts are searched once and get equal results; repeated rows and ids are kept. The search counts
+    contexts over distinct texts. Letters of another single-byte encoding are then told by contexts over the rows of all
+    restored texts (``swap``). Extra columns are not carried. An empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     texts = cut_lineage(rows.filter("__t is not null").filter(F.col("__t").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;|\\[ux][0-9a-fA-F]")).groupBy("__t").agg(F.count(F.lit(1)).alias("__n")))
     model = Plausibility(contexts(texts, "__t"))
 
-    @F.pandas_udf("restored string, garbled boolean, complete boolean")
+    @F.pandas_udf("new string, garbled boolean")
     def search(s: pd.Series) -> pd.DataFrame:
         out = []
         for t in s:
             new, decoded = repair(t, model)
-            lost = bool(_BROKEN.search(new) or _LOST.search(new))
-            out.append((new, decoded or lost or bool(_BROKEN.search(t)), not lost))
-        return pd.DataFrame(out, columns=["restored", "garbled", "complete"])
+            out.append((new, decoded or bool(_BROKEN.search(t))))
+        return pd.DataFrame(out, columns=["new", "garbled"])
 
     # a fixed number of partitions, for the search is long and its rows are short; written once, or filters on the result
     # would be pushed below the exchange and inferred for the other side of the join, searching every text again
-    found = cut_lineage(spread(texts, TEXTS_A_TASK).select(F.col("__t").alias("__ft"), search("__t").alias("r")))
+    found = cut_lineage(spread(texts, TEXTS_A_TASK).select(F.col("__t").alias("__ft"), "__n", search("__t").alias("r")).select("__ft", "__n", "r.*"))
+    news = cut_lineage(found.groupBy("new").agg(F.sum("__n").alias("m")))
+    sound = contexts(news, "new", F.col("m"))
+
+    @F.pandas_udf("restored string, swapped boolean, lost boolean")
+    def finish(s: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, m in zip(s, n):
+            other = swap(t, m, model, sound)
+            new = t if other is None else other
+            out.append((new, other is not None, bool(_BROKEN.search(new) or _LOST.search(new))))
+        return pd.DataFrame(out, columns=["restored", "swapped", "lost"])
+
+    last = cut_lineage(spread(news, TEXTS_A_TASK).select("new", finish("new", "m").alias("f")).select("new", "f.*"))
+    found = found.join(last, "new").select("__ft", F.struct("restored", (F.col("garbled") | F.col("swapped") | F.col("lost")).alias("garbled"), (~F.col("lost")).alias("complete")).alias("r"))
     out = rows.join(found, F.col("__t") == F.col("__ft"), "left")
     return Repair(out.select(F.col("__id").alias(id_col), F.col("__t").alias(text_col), F.coalesce("r.restored", "__t").alias("restored"), F.coalesce("r.garbled", F.lit(False)).alias("garbled"), F.coalesce("r.complete", F.lit(True)).alias("complete")))

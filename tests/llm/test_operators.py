@@ -275,6 +275,26 @@ def test_round_trips_through_wrong_encodings():
     assert tried == 5 * len(CLEAN)
 
 
+POLISH = ["Nie wiem, dlaczego się śmiejesz.", "Dziękuję za śniadanie.", "Lubię cię, naprawdę.", "Książę zgubił świece w łazience.", "Gdzie są moje rękawiczki?", "Śpię, jem i śmieję się."]
+FRENCH = ["C’était la fête chez ma tante.", "Très bien, mon frère rêve.", "Une bête, peut-être même deux.", "Le cœur de l’œuvre."]
+
+
+def test_swapped_letters_without_signs_in_words(spark):
+    bad = ["Nie wiem, dlaczego siê œmiejesz.", "Lubiê ciê, naprawdê.", "Œpiê."]
+    texts = (POLISH + FRENCH) * 25 + bad
+    got = {r["utterance"]: r for r in encoding.find(spark.createDataFrame(list(enumerate(texts)), "row_id long, utterance string"), "row_id", "utterance").rows.collect()}
+    assert [(got[t]["garbled"], got[t]["restored"]) for t in bad] == [(True, t.encode("cp1252").decode("cp1250")) for t in bad]
+    assert not any(got[t]["garbled"] or got[t]["restored"] != t for t in POLISH + FRENCH)
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_swap_evidence_does_not_fade_with_size(times):
+    sound = {k: n * times for k, n in {"iê": 60, "ê ": 60, "ię": 6000, "ę ": 6000, "ñe": 900, "eñ": 900, "ńe": 40, "eń": 40}.items()}
+    model = encoding.Plausibility(sound)
+    assert encoding.swap("siê ", 1, model, sound) == "się "
+    assert encoding.swap("señer", 1, model, sound) is None
+
+
 def test_garbled_rows_and_edges(spark):
     rows = [(1, "R&amp;B night"), (2, "S�o Jo�o"), (3, "It wasnât me."), (4, "â is a letter, so is Ã."), (5, "CafÃ© &eacute;"), (6, "Wait\x85 what"), *[(10 + i, t) for i, t in enumerate(EDGE_TEXTS)], (None, "CafÃ© &eacute;"), (30, "Le café décoré " * 3_000)]
     df = spark.createDataFrame(rows, "row_id long, utterance string").withColumn("restored", F.lit(1))
