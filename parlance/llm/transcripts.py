@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.runtime import bounded_rows, cut_lineage, outer_trim
 
-#: A cast is a bounded table; distinct labels that one transcript's clustering takes, and seconds of one window slice.
-MAX_CAST, MAX_LABELS, SLICE_S = 10_000, 5_000, 600
+#: A cast is a bounded table; seconds of one window slice.
+MAX_CAST, SLICE_S = 10_000, 600
+#: Bins that count the characters of a label.
+BINS = 32
 #: Hesitation sounds; a line of nothing else is left out.
 _HESITATION = r"(?:u+h+m*|u+m+|e+r+m*|e+h+m*|a+h+|h+m+|m+h*m+|h+u+h+|m+|hem|ahem)"
 #: Fillers that are dropped from spoken text where commas set them off.
@@ -49,22 +53,62 @@ def norm_label(label: str) -> str:
     return re.sub(r"[^\w.' -]+", " ", re.sub(r"\s+", " ", s)).strip().lower()
 
 
-def similarity(a: str, b: str) -> float:
-    """1 - restricted Damerau-Levenshtein distance over the longer length."""
+def _places(a: str) -> dict[str, int]:
+    """The places of every character as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def similarity(a: str, b: str, at: dict[str, int] | None = None) -> float:
+    """1 - restricted Damerau-Levenshtein distance over the longer length; a column of the table is one integer.
+
+    ``at``: the places of ``a``, if it is compared with many.
+    """
     if a == b:
         return 1.0
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
-    two, one = [], list(range(m + 1))
-    for i in range(1, n + 1):
-        cur = [i] + [0] * m
-        for j in range(1, m + 1):
-            cur[j] = min(one[j] + 1, cur[j - 1] + 1, one[j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cur[j] = min(cur[j], two[j - 2] + 1)
-        two, one = one, cur
-    return 1 - one[m] / max(n, m)
+    at = _places(a) if at is None else at
+    every, last = (1 << n) - 1, 1 << n - 1
+    up, down, zero, before, d = every, 0, 0, 0, n
+    for c in b:
+        here = at.get(c, 0)
+        swapped = ((~zero & here) << 1) & before
+        zero = ((((here & up) + up) ^ up) | here | down | swapped) & every
+        right, left = (down | ~(zero | up)) & every, zero & up
+        d += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down, before = left | ~(zero | right) & every, right & zero, here
+    return 1 - d / max(n, m)
+
+
+class Near:
+    """Labels that may be similar (0.7 or more) to a label, lengths within 3; none that is gets lost.
+
+    A distance of d changes at most d characters of either label's bag, so labels are compared by counts in BINS first.
+    """
+
+    def __init__(self, labels: list[str]):
+        self.rank = sorted(range(len(labels)), key=lambda i: len(labels[i]))
+        self.lengths = [len(labels[i]) for i in self.rank]
+        self.bags = np.stack([self._bag(labels[i]) for i in self.rank]) if labels else np.zeros((0, BINS), "int8")
+        self.order, self.sizes = np.array(self.rank, "int64"), np.array(self.lengths, "int64")
+
+    @staticmethod
+    def _bag(label: str) -> np.ndarray:
+        return np.minimum(np.bincount([ord(c) % BINS for c in label], minlength=BINS), 100).astype("int8")
+
+    def before(self, label: str, end: int) -> list[int]:
+        """Numbers below ``end`` of such labels."""
+        n = len(label)
+        lo, hi = bisect_left(self.lengths, n - 3), bisect_right(self.lengths, n + 3)
+        sizes = self.sizes[lo:hi]
+        apart = np.abs(self.bags[lo:hi] - self._bag(label)).sum(1, dtype="int32")
+        ok = (apart + np.abs(sizes - n) <= 2 * (3 * np.maximum(sizes, n) // 10)) & (self.order[lo:hi] < end)
+        return self.order[lo:hi][ok].tolist()
 
 
 class Cast:
@@ -104,7 +148,8 @@ def cluster(labels: list[str], cast: Cast) -> dict[str, str | None]:
     """Canonical speakers of one transcript's labels (normalised) by union-find.
 
     Labels are joined if one is the other with an initial for the first name, or if they are similar; labels that mean
-    two different members for certain are never joined. A cluster takes its certain member, else the nearest one.
+    two different members for certain are never joined. A cluster takes its certain member, else the nearest one. Any
+    number of labels is clustered; each is compared with those that ``Near`` leaves.
     """
     todo = sorted(set(labels))
     root = {x: x for x in todo}
@@ -133,8 +178,13 @@ def cluster(labels: list[str], cast: Cast) -> dict[str, str | None]:
         if len(parts) >= 2:
             k = (parts[0][:1], parts[-1])
             join(initial.setdefault(k, x), x)
+    # certain labels and the open ones so far
+    certain = [x for x in todo if sure[x]]
+    every = certain + open_
+    near = Near(every)
     for i, x in enumerate(open_):
-        rivals = [(similarity(x, y), y) for y in [*open_[:i], *(y for y in todo if sure[y])] if y != x and abs(len(x) - len(y)) <= 3]
+        at = _places(x)
+        rivals = [(similarity(x, every[j], at), every[j]) for j in near.before(x, len(certain) + i)]
         best = max(rivals, default=(0.0, ""))
         if best[0] >= 0.7 and len({sure[find(y)] for s, y in rivals if s == best[0]} - {None}) <= 1:
             join(x, best[1])
@@ -159,8 +209,7 @@ def rebuild(df: DataFrame, cast: DataFrame, line_id: str, dialog: str, speaker:
     by line id. Lines with a null dialogue form a dialogue of their own. An empty table gives no turns.
 
     A turn is a longest run of lines of one speaker: ``turns`` has dialogue, first_line_id, speaker, turn_no, lines,
-    start, end and text. Labels are clustered per transcript (distinct labels only; beyond MAX_LABELS of them each label
-    is matched by itself). Runs are found in slices of SLICE_S seconds and joined across slices, so that a transcript
+    start, end and text. Labels are clustered per transcript (distinct labels only). Runs are found in slices of SLICE_S seconds and joined across slices, so that a transcript
     that holds most lines is ordered by many tasks.
     """
     members = [(r[0], r[1] or r[0]) for r in bounded_rows(cast.select("name", "full_name").filter("name is not null"), MAX_CAST, "the cast")]
@@ -228,10 +277,7 @@ def _speakers(labels: DataFrame, members: list[tuple[str, str]]) -> DataFrame:
         group: list[str] = []
 
         def done() -> pd.DataFrame:
-            if len(group) > MAX_LABELS:
-                found = {x: cast.sure(x) or cast.near(x) for x in group}
-            else:
-                found = cluster(group, cast)
+            found = cluster(group, cast)
             return pd.DataFrame({"d": held, "n": list(found), "member": list(found.values())})
 
         for b in batches:

@@ -246,6 +246,39 @@ def test_union_find_keeps_members_apart():
     assert got == {"umberto": "Umberto", "umbreto": "Umberto", "u. pinderhaugh": "Umberto", "umberfold": "Nerissa", "nerisa": "Nerissa"}
 
 
+def _osa(a, b):
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_similar_labels_are_all_found():
+    rng = random.Random(6)
+    labels = sorted({"".join(rng.choice("abcå .") for _ in range(rng.randrange(1, 15))) for _ in range(400)})
+    near = transcripts.Near(labels)
+    for i, x in enumerate(labels):
+        true = {y: 1 - _osa(x, y) / max(len(x), len(y)) for y in labels[:i] if abs(len(x) - len(y)) <= 3}
+        got = [labels[j] for j in near.before(x, i)]
+        assert {y for y, v in true.items() if v >= 0.7} <= set(got) <= set(true)
+        assert all(transcripts.similarity(x, y) == v for y, v in true.items())
+
+
+def test_many_labels_are_clustered_alike(spark):
+    members = [("Umberto", "Umberto Pinderhaugh"), ("Nerissa", "Nerissa Umberfold")]
+    some = ["umberto pinderhaugh", "u. k. m. w. pinderhaugh", "nerissa", "nerissima", "nerissimaa b"]
+    rng = random.Random(7)
+    many = {"".join(rng.choice("bcdfghjklqvwxz") for _ in range(9)) for _ in range(6_000)}
+    df = spark.createDataFrame([("few", x) for x in some] + [("hot", x) for x in [*some, *many]], "d string, n string")
+    rows = transcripts._speakers(df, members).collect()
+    assert len(rows) == len(df.collect())
+    for d in ("few", "hot"):
+        assert [{r["n"]: r["member"] for r in rows if r["d"] == d}[x] for x in some] == ["Umberto", "Umberto", "Nerissa", "Nerissa", "Nerissa"]
+
+
 # --- 2: encodings
 
 CLEAN = ["The décor is très chic.", "Über-cool, dude.", "I’ve never been so sure…", "Señor Orlando called.", "Ты правда думаешь, что это смешно?", "Może jutro pójdziemy na łąkę.", "São João is not here.", "20 °C and €40", "“Nobody,” she said.", "你好, Tamsin!", "No 😂 way"]
