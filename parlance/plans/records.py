@@ -153,18 +153,42 @@ FROM t JOIN h USING (row_id) JOIN utterance u ON u.row_id = t.row_id LEFT JOIN g
 
 @query("prompt_records", _PROMPT)
 def prompt_records(s, sf):
+    """As ``prompt_records_all``, but a vector's only example is its first labelled training turn, as the SQL has it."""
+    return _prompts(s, sf, False)
+
+
+#: Every labelled training turn of a vector, by rank of the vector, then row id.
+_PROMPT_ALL = (
+    _PROMPT.replace("e AS (SELECT vec, min(row_id) row_id FROM x WHERE split = 'train' AND label <> 'unknown' GROUP BY vec),\n", "")
+    .replace("y AS (SELECT e.vec, x.idx, x.dialog_id FROM e JOIN x ON x.row_id = e.row_id)", "y AS (SELECT vec, idx, dialog_id, row_id demo_row FROM x WHERE split = 'train' AND label <> 'unknown')")
+    .replace("y.dialog_id, r.rank, row_number() OVER (PARTITION BY x.row_id, y.dialog_id ORDER BY r.rank)", "y.dialog_id, r.rank, y.demo_row, row_number() OVER (PARTITION BY x.row_id, y.dialog_id ORDER BY r.rank, y.demo_row)")
+    .replace("row_number() OVER (PARTITION BY row_id ORDER BY rank) AS no", "row_number() OVER (PARTITION BY row_id ORDER BY rank, demo_row) AS no")
+)
+
+
+@query("prompt_records_all", _PROMPT_ALL)
+def prompt_records_all(s, sf):
     """The flagship: history, voice, and demonstrations of the nearest labelled turns of other dialogues.
 
-    Turns share the vectors of the embedding table (row id modulo their number); a vector's example is its first labelled
-    training turn. Neighbours are searched once per vector, not per turn, and joined; one example a dialogue, two in all.
+    Turns share the vectors of the embedding table (row id modulo their number); all labelled training turns of a vector
+    are candidates, the smallest row id first. Neighbours are searched once per vector, not per turn, and joined; one
+    example a dialogue, two in all.
     """
+    return _prompts(s, sf, True)
+
+
+def _prompts(s, sf, every):
     from parlance.functions.labels import SHOWN
 
     e = read_table(s, sf, "embeddings")
     v = e.count()
     t = cut_lineage(turns(s, sf).withColumn("vec", F.pmod("row_id", F.lit(v))))
-    shown = t.filter("split = 'train' and label <> 'unknown'").groupBy(F.col("vec").alias("doc_id")).agg(F.min_by(F.struct(F.col("idx").alias("demo_idx"), F.col("dialog_id").alias("demo_dialog")), "row_id").alias("y")).select("doc_id", "y.*")
-    near = R.nearest(e, e, "vec_id", "embedding", PREFETCH).join(shown, "doc_id").select(F.col("query_id").alias("vec"), "demo_idx", "demo_dialog", "rank")
+    shown = t.filter("split = 'train' and label <> 'unknown'").select(F.col("vec").alias("doc_id"), F.col("idx").alias("demo_idx"), F.col("dialog_id").alias("demo_dialog"), F.col("row_id").alias("demo_row"))
+    # a target's own dialogue can take one place at most: the first DEMOS + 1 dialogues of a vector, and of a query, are enough
+    shown = R.first_per_group(shown, "doc_id", "demo_dialog", "demo_row", DEMOS + 1 if every else 1).drop("new_rank")
+    near = R.nearest(e, e, "vec_id", "embedding", PREFETCH).join(shown, "doc_id").select(F.col("query_id").alias("vec"), "demo_idx", "demo_dialog", F.struct("rank", "demo_row").alias("rank"))
+    if every:
+        near = R.first_per_group(near, "vec", "demo_dialog", "rank", DEMOS + 1).drop("new_rank")
     targets = t.filter("erc_target").select("row_id", "vec", "dialog_id")
     cand = targets.join(near, "vec").filter(F.col("demo_dialog") != F.col("dialog_id"))
     top = R.first_per_group(cand, "row_id", "demo_dialog", "rank", DEMOS).select("row_id", "demo_idx", F.col("new_rank").alias("no"))

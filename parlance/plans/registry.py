@@ -11,7 +11,7 @@ _LOADED = (relational, scalars, storage, streams, windows)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return records.prompt_records(spark, sf)
+    return records.prompt_records_all(spark, sf)
 
 
 def queries() -> dict:
