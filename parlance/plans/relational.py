@@ -366,6 +366,13 @@ def agg_bertscore(s, sf):
     return read_table(s, sf, "embeddings").select("vec_id", F.round(F.sqrt(v), 6).alias("norm"))
 
 
+@query("agg_bertscore_match")
+def agg_bertscore_match(s, sf):
+    """Mean precision, recall and F1 of the greedy match over all pairs; the encoder is the deterministic stand-in."""
+    m = _consecutive(s, sf).select(metrics.bertscore(F.col("p"), F.col("r")).alias("m"))
+    return m.agg(F.count(F.lit(1)).alias("pairs"), *[F.round(F.avg(f"m.{k}"), 6).alias(k) for k in ("precision", "recall", "f1")])
+
+
 @query("agg_group_iterate", "SELECT split, dialog_id, count(*) AS rows FROM utterance GROUP BY 1, 2")
 def agg_group_iterate(s, sf):
     return read_table(s, sf, "utterance").groupBy("split", "dialog_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -3,10 +3,14 @@
 import glob
 import os
 
+import numpy as np
 import pytest
 import test_contract
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from parlance.operators import metrics
+from parlance.plans import relational
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +29,20 @@ def test_every_labelled_training_turn_can_be_shown(spark, few_vectors):
         test_contract.test_against_sql(spark, few_vectors, name)
     a, b = ({r["idx"]: r["prompt"] for r in entry.queries()[n](spark, few_vectors).collect()} for n in ("prompt_records_all", "prompt_records"))
     assert set(a) == set(b) and a != b
+
+
+def test_greedy_match(spark, sf):
+    at = {"a": [2.0, 0.0], "b": [0.0, 1.0], "c": [3.0, 4.0], "0": [0.0, 0.0]}
+    df = spark.createDataFrame([(1, ["a", "c"], ["b", "c", "a"]), (2, ["a"], ["b"]), (3, [], ["a"]), (4, None, ["a"]), (5, ["c"], ["a", "0"])], "i int, p array<string>, r array<string>")
+    got = {r["i"]: tuple(r["m"]) for r in df.select("i", metrics.bertscore(F.col("p"), F.col("r"), lambda ws: np.array([at[w] for w in ws])).alias("m")).collect()}
+    assert got[1] == pytest.approx((1.0, 2.8 / 3, 5.6 / 5.8)) and got[5] == pytest.approx((0.6, 0.3, 0.4))
+    assert got[2] == got[3] == got[4] == (0.0, 0.0, 0.0)
+    # the query: a loop over all pairs, token by token
+    pairs = [(list(r["p"]), list(r["r"])) for r in relational._consecutive(spark, sf).select("p", "r").collect()]
+    cos = lambda x, y: float(metrics.word_vectors([x])[0] @ metrics.word_vectors([y])[0])
+    want = [(sum(max(cos(x, y) for y in r) for x in p) / len(p), sum(max(cos(x, y) for x in p) for y in r) / len(r)) if p and r else (0.0, 0.0) for p, r in pairs]
+    row = entry.queries()["agg_bertscore_match"](spark, sf).first()
+    assert row["pairs"] == len(pairs) > 100
+    assert row["precision"] == pytest.approx(sum(p for p, _ in want) / len(want), abs=2e-6)
+    assert row["recall"] == pytest.approx(sum(r for _, r in want) / len(want), abs=2e-6)
+    assert row["f1"] == pytest.approx(sum(2 * p * r / (p + r) if p + r else 0 for p, r in want) / len(want), abs=2e-6)
