@@ -46,3 +46,12 @@ def test_greedy_match(spark, sf):
     assert row["precision"] == pytest.approx(sum(p for p, _ in want) / len(want), abs=2e-6)
     assert row["recall"] == pytest.approx(sum(r for _, r in want) / len(want), abs=2e-6)
     assert row["f1"] == pytest.approx(sum(2 * p * r / (p + r) if p + r else 0 for p, r in want) / len(want), abs=2e-6)
+
+
+def test_every_line_has_a_position(spark, sf, tmp_path):
+    test_contract.test_against_sql(spark, sf, "win_turn_order_all")
+    nan = float("nan")
+    rows = [(1, "d", None, 1.0), (2, "d", nan, 0.5), (3, "d", 5.0, nan), (4, "d", 5.0, 6.0), (5, "d", 5.0, None), (6, "d", None, None), (7, "e", nan, nan), (8, None, 1.0, 2.0)]
+    spark.createDataFrame(rows, "line_id long, dialog_id string, start_sec double, end_sec double").write.parquet(str(tmp_path / "transcript_line.parquet"))
+    got = entry.queries()["win_turn_order_all"](spark, str(tmp_path)).collect()
+    assert {r["line_id"]: r["pos"] for r in got} == {4: 0, 3: 1, 5: 2, 2: 3, 1: 4, 6: 5, 7: 0, 8: 0}
