@@ -32,6 +32,12 @@ def audio_phrase(rate: Column, pitch: Column, intensity: Column) -> Column:
     return F.concat(rate, F.lit(" speech rate, "), pitch, F.lit(" pitch, and "), intensity, F.lit(" intensity"))
 
 
+def pack(blocks: Column, wanted: Column) -> Column:
+    """Demonstrations as one text: numbered, parted by a blank line and stripped, or joined by lines if only one was wanted."""
+    numbered = F.transform(blocks, lambda x, i: F.concat(F.lit("Demonstration "), (i + 1).cast("string"), F.lit(":\n"), x))
+    return F.when(wanted <= 1, F.array_join(blocks, "\n")).otherwise(strip(F.array_join(numbered, "\n\n")))
+
+
 def key(prefix: Column, dialog: Column, turn: Column) -> Column:
     return F.concat_ws("_", prefix, dialog.cast("string"), turn.cast("string"))
 

@@ -126,6 +126,13 @@ def str_demo_pack(s, sf):
     return g.select("dialog_id", F.array_join(block, "\n\n").alias("packed"))
 
 
+@query("str_demo_pack_all", T + r", g AS (SELECT dialog_id, list(utterance ORDER BY turn_idx) a FROM t GROUP BY dialog_id) SELECT dialog_id, CASE WHEN len(a) <= 1 THEN array_to_string(a, chr(10)) ELSE regexp_replace(array_to_string(list_transform(a, lambda x, i: 'Demonstration ' || i || ':' || chr(10) || x), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') END AS packed FROM g")
+def str_demo_pack_all(s, sf):
+    """All turns of a dialogue, numbered in their order; the turn of a dialogue of one has no number."""
+    g = turns(s, sf).groupBy("dialog_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "utterance"))).alias("a"))
+    return g.select("dialog_id", X.pack(F.transform("a", lambda x: x["utterance"]), F.size("a")).alias("packed"))
+
+
 TEMPLATE = "Examples:\n{demonstrations}\n\nConversation:\n{history}\n\nSpeaker {speaker_id} says: {utterance}\nVoice: {audio_features}\nAnswer with one of: {candidate_emotions}\n"
 
 

@@ -9,6 +9,7 @@ import test_contract
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from parlance.functions import text as X
 from parlance.operators import metrics
 from parlance.plans import relational
 
@@ -55,3 +56,14 @@ def test_every_line_has_a_position(spark, sf, tmp_path):
     spark.createDataFrame(rows, "line_id long, dialog_id string, start_sec double, end_sec double").write.parquet(str(tmp_path / "transcript_line.parquet"))
     got = entry.queries()["win_turn_order_all"](spark, str(tmp_path)).collect()
     assert {r["line_id"]: r["pos"] for r in got} == {4: 0, 3: 1, 5: 2, 2: 3, 1: 4, 6: 5, 7: 0, 8: 0}
+
+
+def test_all_demonstrations_are_packed(spark, sf):
+    df = spark.createDataFrame([(1, ["x "]), (2, ["x "]), (3, ["a", "b", "c", "d", "e \n"]), (4, [])], "i int, a array<string>")
+    got = {r["i"]: r for r in df.select("i", X.pack(F.col("a"), F.lit(1)).alias("one"), X.pack(F.col("a"), F.lit(5)).alias("many")).collect()}
+    assert got[1]["one"] == "x " and got[2]["many"] == "Demonstration 1:\nx" and got[4]["many"] == ""
+    assert got[3]["many"] == "\n\n".join(f"Demonstration {i}:\n{x}" for i, x in enumerate("abcde", 1))
+    test_contract.test_against_sql(spark, sf, "str_demo_pack_all")
+    turns = relational.turns(spark, sf).groupBy("dialog_id").count().collect()
+    packed = {r["dialog_id"]: r["packed"] for r in entry.queries()["str_demo_pack_all"](spark, sf).collect()}
+    assert all((f"Demonstration {r['count']}:" in packed[r["dialog_id"]]) == (r["count"] > 1) for r in turns) and max(r["count"] for r in turns) > 3
