@@ -193,7 +193,27 @@ def _fold(c: str) -> str:
 
 
 def repair(text: str, model: Plausibility) -> tuple[str, bool]:
-    """Best-first search for the cheapest text; whether the way there decodes again (unescaping alone does not).
+    """The cheapest text; whether the way there decodes again."""
+    return search_whole(text, model)[:2]
+
+
+def search_whole(text: str, model: Plausibility) -> tuple[str, bool, bool]:
+    """As ``repair``, and whether the search came to its end.
+
+    A search that stops at its bounds goes on from the best text, as long as that gets cheaper.
+    """
+    decoded = False
+    while True:
+        new, dec, at_bound, whole = _search(text, model)
+        decoded |= dec
+        if new == text or (whole and not at_bound):
+            return new, decoded, whole
+        text = new
+
+
+def _search(text: str, model: Plausibility) -> tuple[str, bool, bool, bool]:
+    """Best-first search for the cheapest text; whether the way there decodes again (unescaping alone does not), whether
+    it has as many operations as are looked at, and whether no way that could be cheaper was left when states ran out.
 
     States are texts; visited ones are kept by hash. A text of n characters costs O(n) a state, and at most STATES states
     are looked at.
@@ -202,7 +222,7 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
     text = unescape(text)
     heap: list[tuple[float, int, int, str, bool, float]] = [(model.cost(text), 0, 0, text, False, 0.0)]
     start = heap[0][0]
-    seen, best, n = {hash(text)}, (start, text, False), 0
+    seen, best, n = {hash(text)}, (start, text, False, 0), 0
     while heap and n < STATES:
         at, _, depth, now, decoded, spent = heapq.heappop(heap)
         n += 1
@@ -223,13 +243,14 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
             seen.add(h)
             c, paid = model.cost(new), spent + price
             if c + paid < best[0] - 1e-9:
-                best = (c + paid, new, dec)
+                best = (c + paid, new, dec, depth + 1)
             # ways that only make it worse are not followed
             if c <= at - spent + 1.0:
                 heapq.heappush(heap, (c + paid, n, depth + 1, new, dec, paid))
+    whole = not any(e[5] + UNESCAPE < best[0] for e in heap)
     if best[2] and start - best[0] < GAIN:
-        return text, False
-    return best[1], best[2]
+        return text, False, False, whole
+    return best[1], best[2], best[3] >= DEEPEST, whole
 
 
 def _pairs(text: str, i: int) -> tuple[str, str]:
@@ -299,7 +320,7 @@ def find(df: DataFrame, id_col: str, text_col: str) -> Repair:
 
     ``restored`` is the cheapest text reachable from the whole value by encoding, decoding and unescaping; ``garbled``
     tells that decoding was needed, or that signs of a wrong decoding remain which cannot be undone (replacement and C1
-    control characters, remains of dropped bytes): ``complete`` is then false. HTML entities alone are unescaped but
+    control characters, remains of dropped bytes): ``complete`` is then false, as it is where the search ran out of states. HTML entities alone are unescaped but
     are not garbled. Null texts stay null and are not garbled; so are texts in ASCII without escapes, which are not
     searched. Equal texts are searched once and get equal results; repeated rows and ids are kept. The search counts
     contexts over distinct texts. Letters of another single-byte encoding are then told by contexts over the rows of all
@@ -309,13 +330,13 @@ def find(df: DataFrame, id_col: str, text_col: str) -> Repair:
     texts = cut_lineage(rows.filter("__t is not null").filter(F.col("__t").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;|\\[ux][0-9a-fA-F]")).groupBy("__t").agg(F.count(F.lit(1)).alias("__n")))
     model = Plausibility(contexts(texts, "__t"))
 
-    @F.pandas_udf("new string, garbled boolean")
+    @F.pandas_udf("new string, garbled boolean, whole boolean")
     def search(s: pd.Series) -> pd.DataFrame:
         out = []
         for t in s:
-            new, decoded = repair(t, model)
-            out.append((new, decoded or bool(_BROKEN.search(t))))
-        return pd.DataFrame(out, columns=["new", "garbled"])
+            new, decoded, whole = search_whole(t, model)
+            out.append((new, decoded or bool(_BROKEN.search(t)), whole))
+        return pd.DataFrame(out, columns=["new", "garbled", "whole"])
 
     # a fixed number of partitions, for the search is long and its rows are short; written once, or filters on the result
     # would be pushed below the exchange and inferred for the other side of the join, searching every text again
@@ -333,6 +354,6 @@ def find(df: DataFrame, id_col: str, text_col: str) -> Repair:
         return pd.DataFrame(out, columns=["restored", "swapped", "lost"])
 
     last = cut_lineage(spread(news, TEXTS_A_TASK).select("new", finish("new", "m").alias("f")).select("new", "f.*"))
-    found = found.join(last, "new").select("__ft", F.struct("restored", (F.col("garbled") | F.col("swapped") | F.col("lost")).alias("garbled"), (~F.col("lost")).alias("complete")).alias("r"))
+    found = found.join(last, "new").select("__ft", F.struct("restored", (F.col("garbled") | F.col("swapped") | F.col("lost")).alias("garbled"), (F.col("whole") & ~F.col("lost")).alias("complete")).alias("r"))
     out = rows.join(found, F.col("__t") == F.col("__ft"), "left")
     return Repair(out.select(F.col("__id").alias(id_col), F.col("__t").alias(text_col), F.coalesce("r.restored", "__t").alias("restored"), F.coalesce("r.garbled", F.lit(False)).alias("garbled"), F.coalesce("r.complete", F.lit(True)).alias("complete")))

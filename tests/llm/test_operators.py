@@ -308,6 +308,15 @@ def test_round_trips_through_wrong_encodings():
     assert tried == 5 * len(CLEAN)
 
 
+def test_search_beyond_its_bounds(monkeypatch):
+    model, text = _model(), "My café here"
+    for _ in range(6):
+        text = text.encode().decode("latin-1")
+    assert encoding.search_whole(text, model) == ("My café here", True, True)
+    monkeypatch.setattr(encoding, "STATES", 1)
+    assert not encoding.search_whole("S\u00c3\u00a3o Jo\u0441 \u00c5\u201eo", model)[2]
+
+
 POLISH = ["Nie wiem, dlaczego się śmiejesz.", "Dziękuję za śniadanie.", "Lubię cię, naprawdę.", "Książę zgubił świece w łazience.", "Gdzie są moje rękawiczki?", "Śpię, jem i śmieję się."]
 FRENCH = ["C’était la fête chez ma tante.", "Très bien, mon frère rêve.", "Une bête, peut-être même deux.", "Le cœur de l’œuvre."]
 
