@@ -12,6 +12,8 @@ from parlance.runtime import cut_lineage, plain
 
 #: One word in SIX may differ; n-grams of GRAM words; up to LONG words records are looked up by pairs of n-grams.
 SIX, GRAM, MIN_WORDS, LONG = 6, 2, 8, 60
+#: Evaluation records that share one key, beyond which the key is split.
+HOT = 1_000
 
 
 def words(text: Column) -> Column:
@@ -58,10 +60,10 @@ class Overlaps:
     rows: DataFrame
 
 
-def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test")) -> Overlaps:
+def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), min_words: int = MIN_WORDS) -> Overlaps:
     """All pairs of an evaluation and a training record whose word sequences differ in at most one word in six.
 
-    Rows with fewer than MIN_WORDS words, null texts, null or other splits take no part (splits: spelling aside). Equal
+    Rows with fewer than ``min_words`` words, null texts, null or other splits take no part (splits: spelling aside). Equal
     word sequences are one text; ``texts`` maps rows to texts, ``links`` has the pairs of different or equal texts with
     ``distance`` and ``containment`` (share of the evaluation record's n-grams in the training record), so copies are
     not multiplied. ``rows``: split, text and row id, for expanding.
@@ -71,45 +73,68 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     by hashes of pairs of these (t = 2), which are far rarer than single ones; beyond LONG words, where pairs would be too
     many, by single ones (t = 1); records between LONG * 5/6 and LONG * 6/5 words do both, so partners on either side of
     LONG meet. The hashes of both sides are partitioned and joined; no pair is lost. The k-th occurrence of an
-    n-gram in a record is a gram of its own. Candidates with too few n-grams in common are dropped, the rest is verified by exact word distance over whole texts. Empty tables give empty results.
+    n-gram in a record is a gram of its own. Candidates whose word signatures differ too much, then those with too few n-grams in common, are
+    dropped; the rest is verified by exact word distance over whole texts. Nothing that grows is broadcast. Empty tables give empty results.
     """
     base = df.select(F.col(id_col).cast("long").alias("id"), plain(F.col(split_col)).alias("split"), words(F.col(text_col)).alias("w"))
-    base = base.filter(F.col("split").isin(train, *evaluation) & (F.size("w") >= MIN_WORDS))
+    base = base.filter(F.col("split").isin(train, *evaluation) & (F.size("w") >= min_words))
     base = base.withColumn("text_id", F.xxhash64(F.concat_ws(" ", "w"))).withColumn("check", F.crc32(F.concat_ws(" ", "w"))).withColumn("is_train", F.col("split") == train)
     one = base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
     # written once, so that the short numbers of the texts stay
-    texts = cut_lineage(one.withColumn("gs", _grams(F.col("w"))).withColumn("tid", F.monotonically_increasing_id())).withColumn("gs", _numbered(F.col("gs")))
-    rows = base.select("id", "split", "text_id", "check", "is_train").join(texts.select("text_id", "check", "tid"), ["text_id", "check"]).select("id", "split", "is_train", "tid")
-    grams = texts.select("tid", "in_train", "in_eval", F.explode("gs").alias("g"))
+    texts = cut_lineage(one.withColumn("tid", F.monotonically_increasing_id()))
+    rows = base.select("id", "split", "text_id", "check", "is_train").join(texts.select("text_id", "check", "tid").hint("merge"), ["text_id", "check"]).select("id", "split", "is_train", "tid")
+    # grams, probes and candidates are numbers only; whole texts meet the candidates that their signatures leave
+    sides = texts.select("tid", "in_train", "in_eval", F.size("w").cast("short").alias("n"), _signature(F.col("w")).alias("sig"), _numbered(_grams(F.col("w"))).alias("gs"))
+    grams = sides.select("tid", "in_train", "in_eval", F.explode("gs").alias("g"))
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df"), (F.max("in_train") & F.max("in_eval")).alias("both"))
     # n-grams of one side only keep their place in the order but cannot join
-    ranked = grams.select("tid", "g").join(freq, "g")
-    per = ranked.groupBy("tid").agg(F.collect_list(F.struct("df", "g", "both")).alias("all"))
-    per = per.join(texts.select("tid", "in_train", "in_eval", F.size("w").alias("n")), "tid")
+    per = grams.select("tid", "g").join(freq.hint("merge"), "g").groupBy("tid").agg(F.collect_list(F.struct("df", "g", "both")).alias("all"))
+    per = per.join(sides.drop("gs").hint("merge"), "tid")
     kept = F.transform(F.filter(F.slice(F.array_sort("all"), F.lit(1), F.lit(GRAM) * allowed(F.col("n")) + 2), lambda s: s["both"]), lambda s: s["g"])
-    per = cut_lineage(per.select("tid", "in_train", "in_eval", "n", kept.alias("k")))
+    per = cut_lineage(per.select("tid", "in_train", "in_eval", "n", "sig", kept.alias("k")).filter(F.size("k") > 0))
     two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
     short = per.filter(F.col("n") * (SIX - 1) <= LONG * SIX).withColumn("g", F.explode(two))
     # one n-gram more than t = 1 needs loses nothing
     long_ = per.filter(F.col("n") * SIX > LONG * (SIX - 1)).withColumn("g", F.explode("k"))
-    probe = short.unionByName(long_).select("tid", "in_train", "in_eval", "n", "g")
-    ev = probe.filter("in_eval").select(F.col("tid").alias("e_id"), F.col("n").alias("e_n"), "g")
-    tr = probe.filter("in_train").select(F.col("tid").alias("t_id"), F.col("n").alias("t_n"), "g")
-    near = F.abs(F.col("e_n") - F.col("t_n")) * SIX <= F.greatest("e_n", "t_n")
-    cand = ev.join(tr, "g").filter(near).select("e_id", "t_id").distinct()
-    a = texts.select(F.col("tid").alias("e_id"), F.col("w").alias("ew"), F.col("gs").alias("eg"))
-    b = texts.select(F.col("tid").alias("t_id"), F.col("w").alias("tw"), F.col("gs").alias("tg"))
-    pair = cand.join(a, "e_id").join(b, "t_id")
-    pair = pair.withColumn("limit", F.floor(F.greatest(F.size("ew"), F.size("tw")) / SIX).cast("int")).withColumn("shared", F.size(F.array_intersect("eg", "tg"))).withColumn("ngrams", F.size("eg"))
-    pair = pair.filter(F.col("shared") >= F.col("ngrams") - F.lit(GRAM) * F.col("limit"))
+    cand = _meet(short.unionByName(long_).select("tid", "in_train", "in_eval", "n", "sig", "g"))
+    a = texts.select(F.col("tid").alias("e_id"), F.col("w").alias("ew"))
+    b = texts.select(F.col("tid").alias("t_id"), F.col("w").alias("tw"))
+    pair = cand.join(a.hint("merge"), "e_id").join(b.hint("merge"), "t_id")
 
     @F.pandas_udf("int")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([word_distance(list(p), list(q)) for p, q in zip(x, y)], dtype="int32")
 
-    links = pair.withColumn("distance", distance("ew", "tw")).filter(F.col("distance") <= F.col("limit"))
-    links = links.select("e_id", "t_id", "distance", (F.col("shared") / F.col("ngrams")).alias("containment"))
-    return Overlaps(texts, links, rows)
+    # containment of the hits first; what cannot be within the limit by it needs no distance
+    hits = pair.withColumn("eg", _numbered(_grams(F.col("ew")))).withColumn("limit", F.floor(F.greatest(F.size("ew"), F.size("tw")) / SIX).cast("int"))
+    hits = hits.withColumn("ngrams", F.size("eg")).withColumn("shared", F.size(F.array_intersect("eg", _numbered(_grams(F.col("tw"))))))
+    hits = hits.filter(F.col("shared") >= F.col("ngrams") - F.lit(GRAM) * F.col("limit"))
+    # written before the filter, which would evaluate the distance a second time
+    links = cut_lineage(hits.select("e_id", "t_id", "limit", (F.col("shared") / F.col("ngrams")).alias("containment"), distance.asNondeterministic()("ew", "tw").alias("distance")))
+    return Overlaps(texts, links.filter(F.col("distance") <= F.col("limit")).select("e_id", "t_id", "distance", "containment"), rows)
+
+
+def _signature(w: Column) -> Column:
+    """64 bits, one set per word: a word that one side has alone sets at most one bit that the other lacks."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+
+def _meet(probe: DataFrame) -> DataFrame:
+    """(e_id, t_id) of records of both sides that share a key, with lengths and signatures within the limit.
+
+    A key with more than HOT evaluation records is split: these are spread over salts, the training records of the key
+    are repeated once a salt. k differences leave at most k words of either side without partner, so at most k bits of
+    one signature are not in the other.
+    """
+    load = probe.groupBy("g").agg(F.count_if("in_eval").alias("es"), F.count_if("in_train").alias("ts"))
+    load = load.filter(F.col("es") * F.col("ts") > HOT * HOT).select("g", F.ceil(F.col("es") / HOT).cast("int").alias("salts"))
+    salted = probe.join(load.hint("merge"), "g", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    ev = salted.filter("in_eval").select(F.col("tid").alias("e_id"), F.col("n").alias("e_n"), F.col("sig").alias("e_sig"), "g", F.pmod(F.xxhash64("tid"), "salts").cast("int").alias("salt"))
+    tr = salted.filter("in_train").select(F.col("tid").alias("t_id"), F.col("n").alias("t_n"), F.col("sig").alias("t_sig"), "g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    limit = F.floor(F.greatest("e_n", "t_n") / SIX)
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    near = (F.abs(F.col("e_n") - F.col("t_n")) <= limit) & (apart("e_sig", "t_sig") <= limit) & (apart("t_sig", "e_sig") <= limit)
+    return ev.join(tr.hint("merge"), ["g", "salt"]).filter(near).select("e_id", "t_id").distinct()
 
 
 def _grams(w: Column) -> Column:
@@ -127,4 +152,4 @@ def row_pairs(o: Overlaps) -> DataFrame:
     """Pairs of rows, the smaller id first; one of train and one of an evaluation split."""
     e = o.rows.filter(~F.col("is_train")).select(F.col("id").alias("e_row"), F.col("tid").alias("e_id"))
     t = o.rows.filter("is_train").select(F.col("id").alias("t_row"), F.col("tid").alias("t_id"))
-    return o.links.join(e, "e_id").join(t, "t_id").select(F.least("e_row", "t_row").alias("row_id_a"), F.greatest("e_row", "t_row").alias("row_id_b"), "distance", "containment")
+    return o.links.join(e.hint("merge"), "e_id").join(t.hint("merge"), "t_id").select(F.least("e_row", "t_row").alias("row_id_a"), F.greatest("e_row", "t_row").alias("row_id_b"), "distance", "containment")
