@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -81,15 +82,16 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     base = base.withColumn("text_id", F.xxhash64(F.concat_ws(" ", "w"))).withColumn("check", F.crc32(F.concat_ws(" ", "w"))).withColumn("is_train", F.col("split") == train)
     one = base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
     # written once, so that the short numbers of the texts stay
-    texts = cut_lineage(one.withColumn("tid", F.monotonically_increasing_id()))
+    # grams and signatures are written too: lambdas over an expression would evaluate it once an element
+    texts = cut_lineage(one.withColumn("tid", F.monotonically_increasing_id()).withColumn("gs", _grams(F.col("w"))).withColumn("sig", _signature(F.col("w"))))
     rows = base.select("id", "split", "text_id", "check", "is_train").join(texts.select("text_id", "check", "tid").hint("merge"), ["text_id", "check"]).select("id", "split", "is_train", "tid")
     # grams, probes and candidates are numbers only; whole texts meet the candidates that their signatures leave
-    sides = texts.select("tid", "in_train", "in_eval", F.size("w").cast("short").alias("n"), _signature(F.col("w")).alias("sig"), _numbered(_grams(F.col("w"))).alias("gs"))
-    grams = sides.select("tid", "in_train", "in_eval", F.explode("gs").alias("g"))
+    sides = texts.select("tid", "in_train", "in_eval", F.size("w").cast("short").alias("n"), "sig")
+    grams = texts.select("tid", "in_train", "in_eval", F.explode(_numbered(F.col("gs"))).alias("g"))
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df"), (F.max("in_train") & F.max("in_eval")).alias("both"))
     # n-grams of one side only keep their place in the order but cannot join
     per = grams.select("tid", "g").join(freq.hint("merge"), "g").groupBy("tid").agg(F.collect_list(F.struct("df", "g", "both")).alias("all"))
-    per = per.join(sides.drop("gs").hint("merge"), "tid")
+    per = per.join(sides.hint("merge"), "tid")
     kept = F.transform(F.filter(F.slice(F.array_sort("all"), F.lit(1), F.lit(GRAM) * allowed(F.col("n")) + 2), lambda s: s["both"]), lambda s: s["g"])
     per = cut_lineage(per.select("tid", "in_train", "in_eval", "n", "sig", kept.alias("k")).filter(F.size("k") > 0))
     two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
@@ -100,18 +102,33 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     a = texts.select(F.col("tid").alias("e_id"), F.col("w").alias("ew"))
     b = texts.select(F.col("tid").alias("t_id"), F.col("w").alias("tw"))
     pair = cand.join(a.hint("merge"), "e_id").join(b.hint("merge"), "t_id")
+    # written before the filter, which would evaluate the comparison a second time
+    links = cut_lineage(pair.select("e_id", "t_id", _compare(F.col("ew"), F.col("tw")).alias("c")).select("e_id", "t_id", "c.distance", "c.containment"))
+    return Overlaps(texts, links.filter("distance is not null"), rows)
 
-    @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([word_distance(list(p), list(q)) for p, q in zip(x, y)], dtype="int32")
 
-    # containment of the hits first; what cannot be within the limit by it needs no distance
-    hits = pair.withColumn("eg", _numbered(_grams(F.col("ew")))).withColumn("limit", F.floor(F.greatest(F.size("ew"), F.size("tw")) / SIX).cast("int"))
-    hits = hits.withColumn("ngrams", F.size("eg")).withColumn("shared", F.size(F.array_intersect("eg", _numbered(_grams(F.col("tw"))))))
-    hits = hits.filter(F.col("shared") >= F.col("ngrams") - F.lit(GRAM) * F.col("limit"))
-    # written before the filter, which would evaluate the distance a second time
-    links = cut_lineage(hits.select("e_id", "t_id", "limit", (F.col("shared") / F.col("ngrams")).alias("containment"), distance.asNondeterministic()("ew", "tw").alias("distance")))
-    return Overlaps(texts, links.filter(F.col("distance") <= F.col("limit")).select("e_id", "t_id", "distance", "containment"), rows)
+def _compare(eval_words: Column, train_words: Column) -> Column:
+    """struct<distance, containment>: the share of the evaluation record's n-grams that the training record holds too.
+
+    k differences destroy at most GRAM * k n-grams: where fewer are shared than the limit leaves, or the exact word
+    distance is beyond it, the distance is null.
+    """
+
+    def grams(w: list[str]) -> Counter:
+        return Counter(zip(*[w[i:] for i in range(GRAM)]))
+
+    @F.pandas_udf("distance int, containment double")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = []
+        for e, t in zip(x, y):
+            e, t = list(e), list(t)
+            own, limit = grams(e), max(len(e), len(t)) // SIX
+            n, shared = own.total(), (own & grams(t)).total()
+            d = word_distance(e, t) if shared >= n - GRAM * limit else limit + 1
+            out.append((d if d <= limit else None, shared / n))
+        return pd.DataFrame(out, columns=["distance", "containment"]).astype({"distance": "Int32", "containment": "float64"})
+
+    return run.asNondeterministic()(eval_words, train_words)
 
 
 def _signature(w: Column) -> Column:
@@ -120,15 +137,16 @@ def _signature(w: Column) -> Column:
 
 
 def _meet(probe: DataFrame) -> DataFrame:
-    """(e_id, t_id) of records of both sides that share a key, with lengths and signatures within the limit.
+    """(e_id, t_id) of records of both sides that share a key (keys of one side only are dropped first), with lengths and signatures within the limit.
 
     A key with more than HOT evaluation records is split: these are spread over salts, the training records of the key
     are repeated once a salt. k differences leave at most k words of either side without partner, so at most k bits of
     one signature are not in the other.
     """
-    load = probe.groupBy("g").agg(F.count_if("in_eval").alias("es"), F.count_if("in_train").alias("ts"))
-    load = load.filter(F.col("es") * F.col("ts") > HOT * HOT).select("g", F.ceil(F.col("es") / HOT).cast("int").alias("salts"))
-    salted = probe.join(load.hint("merge"), "g", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    probe = probe.repartition("g")
+    load = probe.groupBy("g").agg(F.count_if("in_eval").alias("es"), F.count_if("in_train").alias("ts")).filter("es > 0 and ts > 0")
+    load = load.select("g", F.when(F.col("es") * F.col("ts") > HOT * HOT, F.ceil(F.col("es") / HOT).cast("int")).otherwise(1).alias("salts"))
+    salted = probe.join(load.hint("merge"), "g")
     ev = salted.filter("in_eval").select(F.col("tid").alias("e_id"), F.col("n").alias("e_n"), F.col("sig").alias("e_sig"), "g", F.pmod(F.xxhash64("tid"), "salts").cast("int").alias("salt"))
     tr = salted.filter("in_train").select(F.col("tid").alias("t_id"), F.col("n").alias("t_n"), F.col("sig").alias("t_sig"), "g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     limit = F.floor(F.greatest("e_n", "t_n") / SIX)
