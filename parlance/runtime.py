@@ -19,6 +19,7 @@ def build_session(app: str = "parlance", master: str = "local[8]", **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in conf.items():
         b = b.config(k, v)
