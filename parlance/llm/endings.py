@@ -1,29 +1,38 @@
 """Problem 10 (and the truncation test of problem 1): does a text stop before its last sentence is finished?
 
-A backward model reads from the end of a text: the last word by its characters, then the words before it, each by its
-last characters given the one behind it and its distance from the end. The same model is counted for two kinds of
-places of the corpus itself: where a sentence ends (a final mark follows), and where the text goes on, at the end of a
-word or within one. The log-odds of the two for a text's final context are compared with a threshold per group.
+A backward character n-gram model reads from the end of a text. Its last word: how often the corpus ends a sentence, and
+how often it goes on, behind each suffix of that word, the longer suffix leaning on the shorter one. The words before:
+every character given the ORDER characters behind it and the number of words to the end, in sentences that end there,
+against the same in running text. The log-odds of going on and ending are compared with a threshold per group.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.runtime import bounded_rows, cut_lineage, plain
+from parlance.runtime import cut_lineage, plain
 
-#: Words read backwards, characters kept of the words before the last one, weights of the backoff distributions.
-DEPTH, TAIL, BACK, CHARS = 6, 6, 2.0, 1.0
-MAX_GROUPS = 100_000
+#: Characters of context, words read backwards, characters of the last word that are read.
+ORDER, DEPTH, SUFFIX = 4, 6, 16
+#: Characters that are counted at a time, and counts that a task holds before it adds them up.
+CHUNK, HELD = 1_000_000, 1_000_000
+#: Copies of the counts of contexts of up to one character, which most texts look up.
+SALTS = 32
 #: A trailing signature, bracketed note, sign or emoji; stripped again and again from the end.
 _SIGN = r"(?:\s|\p{So}|\p{Sk}|\p{Cf}|\x{FE0F}|[*_~#|•♥♪]|<3|[:;]-?[)(DPp]|\((?:[^()]{0,60})\)|\[(?:[^\[\]]{0,60})\]|\n\s*[—–-]{1,2}\s*\p{Lu}[^\n]{0,60})+$"
-_MARK = r"""[.!?。！？]["'”’»)\]]*$"""
-_OPENS = r"""^["'“«‘(\[¿¡—–]*[\p{Lu}\p{N}\p{Lo}]"""
-_DOTS = r"""(?:\.\s?\.\s?\.+|…)["'”’»)\]]*$"""
+#: A final mark with closing quotes, and what may open the next sentence; a mark that is the last of several dots.
+_END = re.compile(r"""[.!?。！？]["'”’»)\]]*(?=\s+["'“«‘(\[¿¡—–]*(\S)|$)""")
+_DOTTED, _DOTS = re.compile(r"(?:\.\s?\.|…)$"), re.compile(r"\.\s?\.\s?\.+|…")
+_LOOSE = re.compile(r"(?:\s+[^\w\s]+)+$")
 
 
 def body(text: Column) -> Column:
@@ -31,157 +40,250 @@ def body(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*[—–-]{1,2}\s*\p{Lu}[^\n]{0,60}\s*$", ""), _SIGN, "")
 
 
-def finished(text: Column) -> Column:
-    """Whether the body ends with a final mark that is not an ellipsis."""
-    return body(text).rlike(_MARK) & ~body(text).rlike(_DOTS)
-
-
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def _word(tok: Column) -> Column:
-    """A token without opening and closing quotes or final marks; commas and colons stay, for they forbid an end."""
-    return F.lower(F.regexp_replace(F.regexp_replace(tok, r"""^["'“«‘(\[¿¡]+""", ""), r"""[.!?…"'”’»)\]]+$""", ""))
-
-
-def _read(text: Column) -> Column:
-    """Tokens of a text as struct<w, mark, dots, opens>; every pattern is matched once a token."""
-    return F.transform(
-        _tokens(text),
-        lambda x: F.struct(_word(x).alias("w"), x.rlike(_MARK).alias("mark"), x.rlike(_DOTS).alias("dots"), x.rlike(_OPENS).alias("opens")),
-    )
-
-
-def _tail(w: Column) -> Column:
-    return F.substring(w, -TAIL, TAIL)
-
-
-def _contexts(toks: Column, at: Column) -> Column:
-    """Words at distances 2..DEPTH before the (0-based) position ``at``; ends of earlier sentences keep a mark."""
-
-    def back(d: int) -> Column:
-        tok = F.get(toks, at - d + 1)
-        return F.when(tok.isNull(), "^").otherwise(F.concat(_tail(tok["w"]), F.when(tok["mark"], ".").otherwise("")))
-
-    return F.array(*[back(d) for d in range(2, DEPTH + 1)])
+class _Letters(dict):
+    """Characters as the model reads them: lower case, digits alike, any blank as one, no quotes and brackets."""
+
+    def __missing__(self, o: int) -> str:
+        c = chr(o)
+        got = "0" if c.isdigit() else " " if c.isspace() else "" if c in "\"'“”«»‘’([])\x00" else c.lower()
+        if len(self) < 100_000:
+            self[o] = got
+        return got
+
+
+_LETTERS = _Letters()
+
+
+def _norm(s: str) -> str:
+    return " ".join(s.translate(_LETTERS).split())
+
+
+def sentences(text: str) -> tuple[list[str], str | None]:
+    """The finished sentences of a body without their marks, and the unfinished rest (None without any)."""
+    out, at = [], 0
+    for m in _END.finditer(text):
+        after = m[1]
+        if after is not None and not (after.isupper() or after.isdigit() or (after.isalpha() and not after.islower())):
+            continue
+        if _DOTTED.search(text[max(at, m.start() - 3) : m.start() + 1]):
+            continue
+        out.append(_norm(text[at : m.start()]))
+        at = m.end()
+    rest = text[at:]
+    return [s for s in out if s], (rest if rest.strip() else None)
+
+
+def open_end(rest: str | None) -> str | None:
+    """The unfinished rest of a text as the model reads it; None if it has no letter or digit."""
+    if rest is None:
+        return None
+    s = _norm(_LOOSE.sub("", _DOTS.sub("", rest)))
+    return s if re.search(r"\w", s) else None
+
+
+def _key(h: np.ndarray, order: int, distance: np.ndarray | int) -> np.ndarray:
+    """One number for a context, its length and the words to the end (0: anywhere)."""
+    x = h + np.uint64(order * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + np.asarray(distance, "uint64") * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _contexts(parts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: hash of the context behind every character, which of them are whole, characters and words to the end."""
+    a = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le"), "<u4").astype("uint64")
+    ends = np.cumsum(np.array([len(p) + 1 for p in parts])) - 1
+    end = np.repeat(ends, [len(p) + 1 for p in parts])
+    blank = a == 32
+    run = np.cumsum(blank)
+    words = run[end] - run + blank
+    at = np.arange(len(a))
+    h, whole = np.zeros(len(a), "uint64"), at < end
+    for order in range(ORDER + 1):
+        if order:
+            whole = whole & (at + order < end)
+            h = h * np.uint64(0x100000001B3) + np.append(a[order:], np.zeros(order, "uint64")) + np.uint64(1)
+        yield order, h, whole, a, words
+
+
+def _tally(key: np.ndarray, c: np.ndarray, order: int) -> pd.DataFrame:
+    codes, _ = pd.factorize(key * np.uint64(0x9E3779B97F4A7C15) + c)
+    n = np.bincount(codes)
+    first = np.zeros(len(n), "int64")
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return pd.DataFrame({"x": key[first].view("int64"), "c": c[first].astype("int64"), "k": order, "n": n})
+
+
+_COUNTS = "x long, c long, k int, n long, w string, e long, o long"
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a partition: (context, character) and words (n in all, e at sentence ends, o at unfinished ends)."""
+    grams: list[pd.DataFrame] = []
+    every, last, open_ = Counter(), Counter(), Counter()
+    parts: list[str] = []
+    ended: list[bool] = []
+
+    def flush() -> None:
+        if not parts:
+            return
+        is_end = np.repeat(np.array(ended), [len(p) + 1 for p in parts])
+        for order, h, whole, a, words in _contexts(parts):
+            grams.append(_tally(_key(h, order, 0)[whole], a[whole], order))
+            near = whole & is_end & (words >= 1) & (words < DEPTH)
+            if near.any():
+                grams.append(_tally(_key(h, order, words)[near], a[near], order))
+        parts.clear(), ended.clear()
+        if sum(map(len, grams)) > HELD:
+            grams[:] = [pd.concat(grams).groupby(["x", "c", "k"], as_index=False)["n"].sum()]
+
+    size = 0
+    for b in batches:
+        for t in b.iloc[:, 0]:
+            done, rest = sentences(t)
+            tail = open_end(rest)
+            for s, e in [*((s, True) for s in done), *([(tail, False)] if tail else [])]:
+                parts.append("^" + s)
+                ended.append(e)
+                size += len(s)
+                w = s.split(" ")
+                every.update(w[1:])
+                every["^" + w[0]] += 1
+                (last if e else open_)[w[-1] if len(w) > 1 else "^" + w[0]] += 1
+            if size > CHUNK:
+                flush()
+                size = 0
+    flush()
+    if grams:
+        g = pd.concat(grams).groupby(["x", "c", "k"], as_index=False)["n"].sum()
+        yield g.assign(w=None, e=0, o=0)
+    if every:
+        w = list(every)
+        yield pd.DataFrame({"x": None, "c": None, "k": None, "n": [every[x] for x in w], "w": w, "e": [last[x] for x in w], "o": [open_[x] for x in w]})
 
 
 @dataclass
 class EndModel:
-    pairs: DataFrame
-    singles: DataFrame
-    given: DataFrame
-    words: DataFrame
-    starts: DataFrame
+    grams: DataFrame
     suffixes: DataFrame
-    totals: list
+    ends: int
+    places: int
 
 
 def fit(texts: DataFrame, text: str) -> EndModel:
-    """Count the backward model over all positions of all texts."""
-    # contexts are picked within the array of a text and exploded without it, then counted map-side
-    toks = texts.filter(F.col(text).isNotNull()).select(_read(body(F.col(text))).alias("t"), finished(F.col(text)).alias("ok"))
-    toks = toks.filter("size(t) > 0").withColumn("n", F.size("t"))
-
-    def place(i: Column) -> Column:
-        tok, last = F.get("t", i), i == F.col("n") - 1
-        ends = tok["mark"] & ~tok["dots"] & F.when(last, F.col("ok")).otherwise(F.get("t", i + 1)["opens"])
-        # the end of an unfinished text is no evidence, nor is a mark that may not end a sentence
-        return F.struct(ends.alias("e"), (ends | ~(last | tok["mark"] | tok["dots"])).alias("use"), tok["w"].alias("w"), _contexts(F.col("t"), i).alias("c"))
-
-    full = toks.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)).alias("p")).filter("p.use").select("p.e", "p.w", "p.c")
-    keys = F.array(
-        F.struct(F.lit(1).alias("d"), F.col("w").alias("w"), F.lit("").alias("g")),
-        F.struct(F.lit(2).alias("d"), F.col("c")[0].alias("w"), _tail(F.col("w")).alias("g")),
-        *[F.struct(F.lit(d).alias("d"), F.col("c")[d - 2].alias("w"), F.col("c")[d - 3].alias("g")) for d in range(3, DEPTH + 1)],
-    )
-    pairs = full.select("e", F.explode(keys).alias("k")).groupBy("k.d", "k.w", "k.g").agg(F.count_if("e").alias("ce"), F.count_if(~F.col("e")).alias("cc"))
-    pairs = cut_lineage(pairs)
-    total = lambda df, *by: df.groupBy(*by).agg(F.sum("ce").alias("ce"), F.sum("cc").alias("cc"))
-    rest = pairs.filter("d > 1")
-    words = pairs.filter("d = 1").select("w", "ce", "cc")
-    cuts = words.select("w", (F.col("ce") + F.col("cc")).alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("w") - 1, F.lit(1)))).alias("j")).filter(F.col("j") < F.length("w"))
-    cuts = cuts.select(F.expr("substring(w, 1, j)").alias("p"), "n")
-    starts = cut_lineage(cuts.groupBy("p").agg(F.sum("n").alias("cm")))
-    s1 = words.select(F.substring("w", -3, 3).alias("s"), "ce", "cc", F.lit(0).cast("long").alias("cm"))
-    s2 = starts.select(F.substring("p", -3, 3).alias("s"), F.lit(0).cast("long").alias("ce"), F.lit(0).cast("long").alias("cc"), "cm")
-    suffixes = s1.unionByName(s2).groupBy("s").agg(F.sum("ce").alias("se"), F.sum("cc").alias("sc"), F.sum("cm").alias("sm"))
-    t = words.agg(F.sum("ce"), F.sum("cc"), F.count(F.lit(1))).first()
-    m = starts.agg(F.sum("cm")).first()[0]
-    kinds = {r["d"]: r["v"] for r in rest.groupBy("d").agg(F.count_distinct("w").alias("v")).collect()}
-    return EndModel(rest, total(rest, "d", "w"), total(rest, "d", "g"), words, starts, suffixes, [t[0] or 0, t[1] or 0, m or 0, kinds])
+    """Count the backward model over all positions of all texts.
+
+    Places of continuation are all characters but blanks behind which a sentence goes on; the end of an unfinished text
+    is no evidence.
+    """
+    got = cut_lineage(texts.filter(F.col(text).isNotNull()).select(body(F.col(text)).alias("t")).mapInPandas(_count, _COUNTS))
+    one = got.filter("w is null").groupBy("x", "c", "k").agg(F.sum("n").alias("n"))
+    # contexts of up to one character are few and looked up by every text
+    grams = one.groupBy("x", "k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("by"))
+    grams = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("k") <= 1, SALTS - 1).otherwise(0))))
+    words = got.filter("w is not null").groupBy("w").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
+    # a word within running text has a blank in front, which is part of it; the first of a sentence has its sign
+    words = words.select(F.when(F.col("w").startswith("^"), F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("w"), "n", "e", "o")
+    inner = words.select(F.explode(F.expr("transform(sequence(2, length(w)), i -> struct(substring(w, 1, i) as p, if(i < length(w), n, n - o) as a, if(i < length(w), 0L, e) as e))")).alias("p"))
+    starts = cut_lineage(inner.select("p.*").groupBy("p").agg(F.sum("a").alias("a"), F.sum("e").alias("e")))
+    ends, places = starts.agg(F.sum("e"), F.sum("a")).first()
+    tails = starts.select(F.explode(F.expr(f"transform(sequence(1, least(length(p), {SUFFIX})), i -> substring(p, -i, i))")).alias("s"), "a", "e")
+    return EndModel(cut_lineage(grams), cut_lineage(tails.groupBy("s").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))), ends or 0, places or 0)
+
+
+def _window(t: pd.Series) -> pd.DataFrame:
+    """The last word of an unfinished body and, for every character of the words before it, words to the end + what is
+    read backwards to it: up to ORDER characters behind it, then itself. Null for finished texts."""
+    out = []
+    for x in t:
+        s = open_end(sentences(x)[1])
+        if s is None:
+            out.append((None, []))
+            continue
+        s = "^" + s
+        cut = s.rfind(" ")
+        units, d = [], 0
+        for j in range(max(cut, 0), -1, -1):
+            d += s[j] == " "
+            if d >= DEPTH:
+                break
+            units.append(f"{max(d, 1)}{s[j : j + ORDER + 1]}" if d else "")
+        out.append((s[cut:] if cut >= 0 else s, [u for u in units if u]))
+    return pd.DataFrame(out, columns=["w", "units"])
+
+
+def _lookups(u: pd.Series) -> pd.Series:
+    """Per order of a unit: its character and the numbers of its context anywhere and at that distance."""
+    out: list[list] = [[] for _ in u]
+    words = np.array([int(x[0]) for x in u], "uint64")
+    firsts = np.cumsum([0, *(len(x) for x in u)])[:-1]
+    for order, h, whole, a, _ in _contexts([x[1:] for x in u]):
+        b, e = _key(h[firsts], order, 0).view("int64"), _key(h[firsts], order, words).view("int64")
+        for i in np.flatnonzero(whole[firsts]):
+            out[i].append((order, int(a[firsts[i]]), int(b[i]), int(e[i])))
+    return pd.Series(out)
+
+
+def _odds(model: EndModel, units: DataFrame) -> DataFrame:
+    """(u, lr): log of running text over sentence end for each unit, orders 0 to ORDER, each leaning on the one below.
+
+    Unseen characters share as much as there are kinds in a context; a context never seen at sentence ends says nothing.
+    """
+    look = cut_lineage(units.select("u", F.explode(F.pandas_udf(_lookups, "array<struct<k:int,c:long,b:long,e:long>>")("u")).alias("q")).select("u", "q.k", "q.c", F.explode(F.array(F.struct(F.lit(False).alias("at"), F.col("q.b").alias("x")), F.struct(F.lit(True).alias("at"), F.col("q.e").alias("x")))).alias("y")).select("u", "k", "c", "y.*"))
+    look = look.withColumn("salt", F.when(F.col("k") <= 1, F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
+    got = look.join(model.grams.drop("k").hint("merge"), ["x", "salt"]).select("u", "k", "at", "n", "kinds", F.coalesce(F.col("by")[F.col("c")], F.lit(0)).alias("m"))
+    cells = [F.max(F.when((F.col("k") == k) & (F.col("at") == at), F.struct("n", "kinds", "m"))).alias(f"{'e' if at else 'b'}{k}") for k in range(ORDER + 1) for at in (False, True)]
+    wide = got.groupBy("u").agg(*cells).withColumn("p", F.lit(1 / 200)).withColumn("r", F.lit(1.0))
+    for k in range(ORDER + 1):
+        b, e = (lambda f: F.col(f"b{k}.{f}")), (lambda f: F.col(f"e{k}.{f}"))
+        wide = wide.withColumn("p", F.coalesce((b("m") + b("kinds") * F.col("p")) / (b("n") + b("kinds")), "p"))
+        wide = wide.withColumn("r", F.coalesce((e("m") + e("kinds") * F.col("p") * F.col("r")) / ((e("n") + e("kinds")) * F.col("p")), "r"))
+    return wide.select("u", (-F.log("r")).alias("lr"))
 
 
 def scores(model: EndModel, df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, log_odds): log of continuation over end likelihood of every unfinished text's final context.
+    """(key, log_odds): log of continuation over end of every unfinished text's final context.
 
     ``key`` must be unique. Texts with a final mark or without any word give no row.
     """
-    ne, nc, nm, kinds = model.totals
-    open_ = df.filter(F.col(text).isNotNull()).withColumn("__b", F.regexp_replace(body(F.col(text)), _DOTS, ""))
-    # opening brackets and dashes left at the very end say nothing by themselves
-    open_ = open_.withColumn("__b", F.regexp_replace("__b", r"""(?:\s+[^\p{L}\p{N}\s]+)+$""", ""))
-    open_ = open_.filter(~finished(F.col(text)) & F.col("__b").rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), _tokens(F.col("__b")).alias("t")).filter("size(t) > 0").withColumn("r", _read(F.concat_ws(" ", F.slice("t", -F.least(F.size("t"), F.lit(DEPTH)), F.lit(DEPTH)))))
-    fin = open_.select("k", F.lower(F.regexp_replace(F.element_at("t", -1), r"""^["'“«‘(\[¿¡]+|["'”’»]+$""", "")).alias("w"), _contexts(F.col("r"), F.size("r") - 1).alias("c"))
-    fin = cut_lineage(fin)
-    a, b = CHARS, BACK
-    first = (
-        fin.select("k", "w", F.substring("w", -3, 3).alias("s"))
-        .join(model.words, "w", "left").join(model.starts.withColumnRenamed("p", "w"), "w", "left").join(model.suffixes, "s", "left")
-    )
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    p = lambda c, s, tot: (n(c) + F.lit(a) * (n(s) + 0.01) / F.lit(tot + 1.0)) / F.lit(tot + a)
-    first = first.select("k", F.log(p("ce", "se", ne)).alias("le"), F.log(p("cc", "sc", nc)).alias("lc"), F.log(p("cm", "sm", nm)).alias("lm"))
-    steps = F.array(F.struct(F.lit(2).alias("d"), F.col("c")[0].alias("w"), _tail(F.col("w")).alias("g")), *[F.struct(F.lit(d).alias("d"), F.col("c")[d - 2].alias("w"), F.col("c")[d - 3].alias("g")) for d in range(3, DEPTH + 1)])
-    ctx = fin.select("k", F.explode(steps).alias("x")).select("k", "x.*")
-    ctx = (
-        ctx.join(model.pairs.select("d", "w", "g", F.col("ce").alias("pe"), F.col("cc").alias("pc")), ["d", "w", "g"], "left")
-        .join(model.singles.select("d", "w", F.col("ce").alias("ue"), F.col("cc").alias("uc")), ["d", "w"], "left")
-        .join(model.given.select("d", "g", F.col("ce").alias("ge"), F.col("cc").alias("gc")), ["d", "g"], "left")
-    )
-    v = F.lit(float(max(list(kinds.values()) or [1])))
-    base = lambda u, tot: (n(u) + 0.1) / (F.lit(float(tot)) + 0.1 * v)
-    cond = lambda pr, u, g, tot: (n(pr) + F.lit(b) * base(u, tot)) / (n(g) + b)
-    step = F.log(cond("pc", "uc", "gc", nc) / cond("pe", "ue", "ge", ne))
-    # what stands before a word that is cut within stands before any word, last ones included
-    both_sum = ctx.select("*", (n("pe") + n("pc")).alias("pa"), (n("ue") + n("uc")).alias("ua"), (n("ge") + n("gc")).alias("ga"))
-    within = F.log(cond("pa", "ua", "ga", ne + nc) / cond("pe", "ue", "ge", ne))
-    loose = F.log(base("ua", ne + nc) / base("ue", ne))
-    # no single word may decide alone more than e^6
-    cap = lambda c: F.least(F.greatest(c, F.lit(-6.0)), F.lit(6.0))
-    ctx = both_sum.groupBy("k").agg(F.sum(cap(step)).alias("r"), F.sum(F.when(F.col("d") == 2, cap(loose)).otherwise(cap(within))).alias("rm"))
-    share = math.log((nc + 1) / (nc + nm + 2)), math.log((nm + 1) / (nc + nm + 2))
-    both = first.join(ctx, "k")
-    x, y = F.col("lc") + F.col("r") + share[0], F.col("lm") + F.col("rm") + share[1]
-    top = F.greatest(x, y)
-    return both.select(F.col("k").alias(key), (top + F.log(F.exp(x - top) + F.exp(y - top)) - F.col("le")).alias("log_odds"))
-
-
-def thresholds(scored: DataFrame, group: str, totals: DataFrame, steps: int = 20) -> list[tuple]:
-    """Per group the log-odds over which a text counts as cut: log of (whole : cut) by expectation maximisation.
-
-    ``scored``: group, log_odds; ``totals``: group and number of all texts (finished ones included). Works on a
-    histogram of rounded log-odds, bounded by 1,201 bins a group. Groups of few texts lean on the share of all.
+    win = cut_lineage(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.pandas_udf(_window, "w string, units array<string>")(body(F.col(text))).alias("v")).select("k", "v.*").filter("w is not null"))
+    words = win.select("w").distinct()
+    tails = words.select("w", F.posexplode(F.expr(f"transform(sequence(1, least(length(w), {SUFFIX})), i -> substring(w, -i, i))")).alias("i", "s"))
+    seen = tails.join(model.suffixes.hint("merge"), "s").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("i", "a", "e"))).alias("v"))
+    p0 = (model.ends + 1.0) / (model.places + 2.0)
+    # a longer suffix leans on the shorter one; none is known beyond the first that never occurred
+    p = F.aggregate("v", F.lit(p0), lambda p, x: (x["e"] + p) / (x["a"] + 1.0))
+    first = words.join(seen.withColumn("p", p).select("w", "p").hint("merge"), "w", "left").select("w", F.least(F.coalesce("p", F.lit(p0)), F.lit(1 - 1e-9)).alias("p"))
+    first = first.select("w", (F.log((1 - F.col("p")) / F.col("p")) - math.log((1 - p0) / p0)).alias("l0"))
+    marks = win.select("k", F.explode("units").alias("u"))
+    before = marks.join(_odds(model, marks.select("u").distinct()).hint("merge"), "u").groupBy("k").agg(F.sum("lr").alias("lr"))
+    out = win.select("k", "w").join(first.hint("merge"), "w").join(before.hint("merge"), "k", "left")
+    return out.select(F.col("k").alias(key), (F.col("l0") + F.coalesce("lr", F.lit(0.0))).alias("log_odds"))
+
+
+def thresholds(scored: DataFrame, group: str, steps: int = 20) -> DataFrame:
+    """(group, limit): the log-odds over which an unfinished text counts as cut, log of (whole : cut) by expectation
+    maximisation of the share of cut ones.
+
+    ``scored``: group, log_odds. Works on a histogram of rounded log-odds, at most 601 bins a group, each group in a task
+    of its own; groups of few texts lean on the share of all, whose bins are added up on the driver.
     """
-    h = scored.groupBy(F.col(group).alias("g"), F.round(F.least(F.greatest("log_odds", F.lit(-30.0)), F.lit(30.0)), 1).alias("x")).count()
-    hist = bounded_rows(h, MAX_GROUPS, "the histogram of log-odds")
-    n = {r[0]: r[1] for r in bounded_rows(totals, MAX_GROUPS, "the groups")}
-    all_n = sum(n.values()) or 1
 
-    def em(bins: list, size: float, prior: float, weight: float) -> float:
+    def em(x: np.ndarray, n: np.ndarray, prior: float, weight: float) -> float:
         share = prior
         for _ in range(steps):
-            hit = sum(c / (1 + math.exp(-(x + math.log(share / (1 - share))))) for x, c in bins)
-            share = min(0.5, max(1e-4, (hit + weight * prior) / (size + weight)))
+            hit = float((n / (1 + np.exp(-(x + math.log(share / (1 - share)))))).sum())
+            share = min(0.999, max(1e-4, (hit + weight * prior) / (n.sum() + weight)))
         return share
 
-    every = em([(r["x"], r["count"]) for r in hist], all_n, 0.1, 1.0)
-    out = []
-    for g, size in n.items():
-        s = em([(r["x"], r["count"]) for r in hist if r["g"] == g], size, every, 50.0)
-        out.append((g, math.log((1 - s) / s)))
-    return out
+    h = cut_lineage(scored.groupBy(F.col(group).alias("g"), F.round(F.least(F.greatest("log_odds", F.lit(-30.0)), F.lit(30.0)), 1).alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    bins = h.groupBy("x").agg(F.sum("n").alias("n")).toPandas()  # at most 601 rows
+    every = em(bins["x"].to_numpy(), bins["n"].to_numpy(), 0.3, 1.0) if len(bins) else 0.3
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        s = em(b["x"].to_numpy(), b["n"].to_numpy(), every, 50.0)
+        return pd.DataFrame({"g": [b["g"].iloc[0]], "limit": [math.log((1 - s) / s)]})
+
+    return h.groupBy("g").applyInPandas(one, "g string, limit double")
 
 
 @dataclass
@@ -198,15 +300,13 @@ def detect(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
     Ids should be unique; rows with equal ids and texts get equal flags. The model is counted over all texts, whole.
     ``report``: source (spelling aside, null kept), texts, cut_texts, cut_rate. Empty tables give empty results.
     """
-    spark = df.sparkSession
     src = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.coalesce(F.nullif(plain(F.col(lang_col)), F.lit("")), F.lit("und")).alias("__g"), plain(F.col(source_col)).alias("__s"))
-    src = cut_lineage(src.withColumn("__k", F.xxhash64("__t", F.lit(10))))
+    src = src.withColumn("__k", F.xxhash64("__t", F.lit(10)))
     model = fit(src, "__t")
     sc = cut_lineage(scores(model, src.select("__k", "__t").dropDuplicates(["__k"]), "__k", "__t"))
-    rows = src.join(sc, "__k", "left")
-    th = thresholds(rows.filter("log_odds is not null").select("__g", "log_odds"), "__g", src.groupBy("__g").count())
-    lim = spark.createDataFrame([(g, float(x)) for g, x in th], "__lg string, __lim double")
-    rows = rows.join(F.broadcast(lim), F.col("__g") == F.col("__lg"), "left")
+    rows = src.drop("__t").join(sc.hint("merge"), "__k", "left")
+    rated = src.select("__k", "__g").join(sc.hint("merge"), "__k")
+    rows = rows.join(thresholds(rated, "__g").select(F.col("g").alias("__lg"), F.col("limit").alias("__lim")), F.col("__g") == F.col("__lg"), "left")
     flags = rows.select(F.col("__id").alias(id_col), "log_odds", F.coalesce(F.col("log_odds") > F.col("__lim"), F.lit(False)).alias("cut"), F.col("__s").alias(source_col))
     report = flags.groupBy(source_col).agg(F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut_texts"), (F.count_if("cut") / F.count(F.lit(1))).alias("cut_rate"))
     return Truncation(flags.drop(source_col) if source_col != id_col else flags, report)

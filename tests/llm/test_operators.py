@@ -420,3 +420,24 @@ def test_answers(spark):
     assert len(got) == len(out)
     assert {k: v for k, v in got.items() if v} == truth
     assert answers.find(p, a.limit(0), "iden", "inputs", "ann_id", "output", docs, "text", "lang", "doc_id").count() == 0
+
+
+def test_refusals_are_not_first_person_denials():
+    for t in ["I do not want to lose my brother.", "We won't be late for dinner, I promise.", "I cannot wait to see her!", "No answer can be found in her eyes.", "I can't help laughing about it.", "She refused to answer.", 'He says "I cannot answer that" and leaves.', "I won't describe him as angry, but tense.", None, ""]:
+        assert not answers.refuses(t), t
+    for t in ["I can't help with that.", "Sorry, I won't speculate about private feelings", "As a language model, I can't provide an answer", "I\u2019d rather not answer that.", "No response can be generated for this prompt.", "I am unable to answer this question.", "Not something I can help with."]:
+        assert answers.refuses(t), t
+
+
+def test_language_of_the_prompt_counts():
+    bins = [(True, 0.9 + i / 100, 200) for i in range(-15, 16)] + [(True, -1.0 + i / 10, 1) for i in range(10)] + [(False, 0.9, 5), *((False, -1.0 + i / 10, 5) for i in range(10))]
+    at = language.split_points(bins)
+    assert -0.1 < at[True] < at[False] < 0.75
+    assert language.split_points([]) == {False: float("-inf"), True: float("-inf")}
+
+
+def test_sentences_and_open_ends():
+    done, rest = endings.sentences('He left. "Why?" she asked... The end of it: 3.5 and so on')
+    assert done[0] == "he left" and rest.endswith("so on")
+    assert endings.open_end(endings.sentences("All is well.")[1]) is None and endings.open_end(" … ") is None
+    assert endings.open_end(endings.sentences("All is well. And then we")[1]) == "and then we"
