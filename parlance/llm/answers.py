@@ -111,9 +111,8 @@ def find(prompts: DataFrame, answers: DataFrame, key: str, inputs: str, answer_i
     foreign = ~F.coalesce(F.col("__rl.margin") >= F.when(F.col("__same"), F.lit(least[True])).otherwise(F.lit(least[False])), F.lit(False))
     sound = step.filter(~(F.col("__s.empty") | F.col("__s.copy") | F.col("__s.refuse")) & ~foreign)
     # the end model reads sound answers as well as the prompts' lines, whole
-    lines = p.select(F.explode(F.split("__in", "\n")).alias("t")).unionByName(sound.select(F.col("__out").alias("t")))
-    ends = endings.fit(lines, "t")
-    sc = cut_lineage(endings.scores(ends, sound.select("__h", "__out").dropDuplicates(["__h"]), "__h", "__out").withColumn("__g", F.lit(expected)))
+    lines = p.select(F.explode(F.split("__in", "\n")).alias("t"), F.lit(None).cast("long").alias("h")).unionByName(sound.select(F.col("__out").alias("t"), F.col("__h").alias("h")))
+    sc = cut_lineage(endings.scores(endings.fit(lines, "t", "h")).select(F.col("id").alias("__h"), "log_odds", F.lit(expected).alias("__g")))
     limit = endings.thresholds(sound.select("__h").join(sc.hint("merge"), "__h"), "__g").first()  # one group
     out = step.join(sc.select("__h", "log_odds").hint("merge"), "__h", "left")
     defect = (

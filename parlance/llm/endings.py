@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.runtime import cut_lineage, plain
@@ -27,17 +28,30 @@ ORDER, DEPTH, SUFFIX = 4, 6, 16
 CHUNK, HELD = 1_000_000, 1_000_000
 #: Copies of the counts of contexts of up to one character, which most texts look up.
 SALTS = 32
-#: A trailing signature, bracketed note, sign or emoji; stripped again and again from the end.
-_SIGN = r"(?:\s|\p{So}|\p{Sk}|\p{Cf}|\x{FE0F}|[*_~#|•♥♪]|<3|[:;]-?[)(DPp]|\((?:[^()]{0,60})\)|\[(?:[^\[\]]{0,60})\]|\n\s*[—–-]{1,2}\s*\p{Lu}[^\n]{0,60})+$"
+#: A trailing bracketed note, smiley or heart; a signature line.
+_NOTE = re.compile(r"(?:<3|[:;]-?[)(DPp]|\([^()]{0,60}\)|\[[^\[\]]{0,60}\])$")
+_SIGNED = re.compile(r"\s*[—–-]{1,2}\s*(\S).{0,60}$")
 #: A final mark with closing quotes, and what may open the next sentence; a mark that is the last of several dots.
 _END = re.compile(r"""[.!?。！？]["'”’»)\]]*(?=\s+["'“«‘(\[¿¡—–]*(\S)|$)""")
 _DOTTED, _DOTS = re.compile(r"(?:\.\s?\.|…)$"), re.compile(r"\.\s?\.\s?\.+|…")
 _LOOSE = re.compile(r"(?:\s+[^\w\s]+)+$")
 
 
-def body(text: Column) -> Column:
-    """A text without trailing blanks, signs, notes and signatures."""
-    return F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*[—–-]{1,2}\s*\p{Lu}[^\n]{0,60}\s*$", ""), _SIGN, "")
+def body(text: str) -> str:
+    """A text without trailing blanks, signs, notes and signatures, stripped one by one from the end."""
+    while text := text.rstrip():
+        c = text[-1]
+        if not c.isalnum() and (c in "*_~#|•♥♪\ufe0f" or unicodedata.category(c) in ("So", "Sk", "Cf")):
+            text = text[:-1]
+            continue
+        line = text.rfind("\n")
+        if line >= 0 and len(text) - line < 200 and (m := _SIGNED.match(text, line + 1)) and m[1].isupper():
+            text = text[:line]
+        elif c in ")](DPp3" and (m := _NOTE.search(text, max(0, len(text) - 70))):
+            text = text[: m.start()]
+        else:
+            break
+    return text
 
 
 class _Letters(dict):
@@ -88,138 +102,158 @@ def _key(h: np.ndarray, order: int, distance: np.ndarray | int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _contexts(parts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: hash of the context behind every character, which of them are whole, characters and words to the end."""
-    a = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le"), "<u4").astype("uint64")
-    ends = np.cumsum(np.array([len(p) + 1 for p in parts])) - 1
-    end = np.repeat(ends, [len(p) + 1 for p in parts])
-    blank = a == 32
-    run = np.cumsum(blank)
-    words = run[end] - run + blank
-    at = np.arange(len(a))
-    h, whole = np.zeros(len(a), "uint64"), at < end
+def _expand(grams: np.ndarray, distance: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per order: the rows of ``grams`` (a character, then the ORDER characters behind it, 0 beyond the sentence) whose
+    context is whole, and its number."""
+    h, whole = np.zeros(len(grams), "uint64"), np.ones(len(grams), bool)
     for order in range(ORDER + 1):
         if order:
-            whole = whole & (at + order < end)
-            h = h * np.uint64(0x100000001B3) + np.append(a[order:], np.zeros(order, "uint64")) + np.uint64(1)
-        yield order, h, whole, a, words
+            whole = whole & (grams[:, order] > 0)
+            h = h * np.uint64(0x100000001B3) + grams[:, order] + np.uint64(1)
+        at = np.flatnonzero(whole)
+        yield order, at, _key(h[at], order, distance[at])
 
 
-def _tally(key: np.ndarray, c: np.ndarray, order: int) -> pd.DataFrame:
-    codes, _ = pd.factorize(key * np.uint64(0x9E3779B97F4A7C15) + c)
-    n = np.bincount(codes)
-    first = np.zeros(len(n), "int64")
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and counts of the different numbers."""
+    codes, kinds = pd.factorize(h)
+    first = np.zeros(len(kinds), "int64")
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    return pd.DataFrame({"x": key[first].view("int64"), "c": c[first].astype("int64"), "k": order, "n": n})
+    return first, np.bincount(codes, minlength=len(kinds))
+
+
+def _tally(parts: list[str], ended: list[bool]) -> pd.DataFrame:
+    """Counts of characters in contexts, anywhere and by the words to the end of a sentence.
+
+    Grams of full length are counted over all characters; the shorter contexts are summed from the different ones.
+    """
+    a = np.frombuffer(("\x00" * ORDER).join([*parts, ""]).encode("utf-32-le"), "<u4").astype("uint64")
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes + ORDER) - ORDER
+    h = a[: len(a) - ORDER].copy()
+    for k in range(1, ORDER + 1):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += a[k : len(a) - ORDER + k]
+    real = np.flatnonzero(a[: len(a) - ORDER])
+    blank = np.cumsum(a == 32, dtype="int32")
+    of = np.repeat(np.arange(len(parts)), sizes)
+    words = blank[ends - 1][of] - blank[real] + (a[real] == 32)
+    near = np.array(ended)[of] & (words >= 1) & (words < DEPTH)
+    out = []
+    for at, d in ((real, np.zeros(len(real), "int32")), (real[near], words[near])):
+        first, n = _distinct(h[at] * np.uint64(64) + d.astype("uint64") + (h[at] >> np.uint64(40)))
+        grams = np.stack([a[at[first] + k] for k in range(ORDER + 1)], 1) if len(first) else np.zeros((0, ORDER + 1), "uint64")
+        for order, rows, key in _expand(grams, d[first]):
+            out.append(pd.DataFrame({"x": key.view("int64"), "c": grams[rows, 0].astype("int64"), "k": order, "n": n[rows]}))
+    return pd.concat(out).groupby(["x", "c", "k"], as_index=False)["n"].sum()
+
 
+def _window(s: str) -> tuple[str, list[str]]:
+    """The last word of an unfinished end and, for every character of the words before it, a unit: words to the end,
+    the character and up to ORDER characters behind it."""
+    s = "^" + s
+    cut = s.rfind(" ")
+    units, d = [], 0
+    for j in range(cut, -1, -1):
+        d += s[j] == " "
+        if d >= DEPTH:
+            break
+        units.append(f"{d}{s[j : j + ORDER + 1]}")
+    return (s[cut:] if cut >= 0 else s), units
 
-_COUNTS = "x long, c long, k int, n long, w string, e long, o long"
+
+_READ = "x long, c long, k int, n long, w string, e long, o long, id long, units array<string>"
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of a partition: (context, character) and words (n in all, e at sentence ends, o at unfinished ends)."""
+    """Counts of a partition: (context, character) and words (n in all, e at sentence ends, o at unfinished ends); and
+    the window of every unfinished text that has an id."""
     grams: list[pd.DataFrame] = []
     every, last, open_ = Counter(), Counter(), Counter()
     parts: list[str] = []
     ended: list[bool] = []
+    columns = [c.split()[0] for c in _READ.split(", ")]
+
+    def full(f: pd.DataFrame) -> pd.DataFrame:
+        return f.assign(**{c: pd.Series([None] * len(f), dtype=object) for c in columns if c not in f})[columns]
 
     def flush() -> None:
-        if not parts:
-            return
-        is_end = np.repeat(np.array(ended), [len(p) + 1 for p in parts])
-        for order, h, whole, a, words in _contexts(parts):
-            grams.append(_tally(_key(h, order, 0)[whole], a[whole], order))
-            near = whole & is_end & (words >= 1) & (words < DEPTH)
-            if near.any():
-                grams.append(_tally(_key(h, order, words)[near], a[near], order))
+        if parts:
+            grams.append(_tally(parts, ended))
         parts.clear(), ended.clear()
         if sum(map(len, grams)) > HELD:
             grams[:] = [pd.concat(grams).groupby(["x", "c", "k"], as_index=False)["n"].sum()]
 
     size = 0
     for b in batches:
-        for t in b.iloc[:, 0]:
-            done, rest = sentences(t)
+        windows = []
+        for i, t in zip(b["id"], b["t"]):
+            done, rest = sentences(body(t))
             tail = open_end(rest)
+            if tail and not pd.isna(i):
+                windows.append((i, *_window(tail)))
             for s, e in [*((s, True) for s in done), *([(tail, False)] if tail else [])]:
                 parts.append("^" + s)
                 ended.append(e)
                 size += len(s)
-                w = s.split(" ")
-                every.update(w[1:])
-                every["^" + w[0]] += 1
-                (last if e else open_)[w[-1] if len(w) > 1 else "^" + w[0]] += 1
+                w = parts[-1].split(" ")
+                every.update(w)
+                (last if e else open_)[w[-1]] += 1
             if size > CHUNK:
                 flush()
                 size = 0
+        if windows:
+            yield full(pd.DataFrame(windows, columns=["id", "w", "units"]))
     flush()
     if grams:
-        g = pd.concat(grams).groupby(["x", "c", "k"], as_index=False)["n"].sum()
-        yield g.assign(w=None, e=0, o=0)
+        yield full(pd.concat(grams).groupby(["x", "c", "k"], as_index=False)["n"].sum())
     if every:
         w = list(every)
-        yield pd.DataFrame({"x": None, "c": None, "k": None, "n": [every[x] for x in w], "w": w, "e": [last[x] for x in w], "o": [open_[x] for x in w]})
+        yield full(pd.DataFrame({"n": [every[x] for x in w], "w": w, "e": [last[x] for x in w], "o": [open_[x] for x in w]}))
 
 
 @dataclass
 class EndModel:
     grams: DataFrame
     suffixes: DataFrame
+    windows: DataFrame
     ends: int
     places: int
 
 
-def fit(texts: DataFrame, text: str) -> EndModel:
-    """Count the backward model over all positions of all texts.
+def fit(texts: DataFrame, text: str, key: str) -> EndModel:
+    """Count the backward model over all positions of all texts, and note the windows of unfinished ones.
 
     Places of continuation are all characters but blanks behind which a sentence goes on; the end of an unfinished text
-    is no evidence.
+    is no evidence. ``key``: number of a text that is to be rated (equal texts have equal numbers), or null.
     """
-    got = cut_lineage(texts.filter(F.col(text).isNotNull()).select(body(F.col(text)).alias("t")).mapInPandas(_count, _COUNTS))
-    one = got.filter("w is null").groupBy("x", "c", "k").agg(F.sum("n").alias("n"))
+    got = texts.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    got = cut_lineage(got.mapInPandas(_count, _READ))
+    one = got.filter("x is not null").groupBy("x", "c", "k").agg(F.sum("n").alias("n"))
     # contexts of up to one character are few and looked up by every text
     grams = one.groupBy("x", "k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("by"))
     grams = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("k") <= 1, SALTS - 1).otherwise(0))))
-    words = got.filter("w is not null").groupBy("w").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
+    words = got.filter("n is not null and w is not null").groupBy("w").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
     # a word within running text has a blank in front, which is part of it; the first of a sentence has its sign
     words = words.select(F.when(F.col("w").startswith("^"), F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("w"), "n", "e", "o")
     inner = words.select(F.explode(F.expr("transform(sequence(2, length(w)), i -> struct(substring(w, 1, i) as p, if(i < length(w), n, n - o) as a, if(i < length(w), 0L, e) as e))")).alias("p"))
     starts = cut_lineage(inner.select("p.*").groupBy("p").agg(F.sum("a").alias("a"), F.sum("e").alias("e")))
     ends, places = starts.agg(F.sum("e"), F.sum("a")).first()
     tails = starts.select(F.explode(F.expr(f"transform(sequence(1, least(length(p), {SUFFIX})), i -> substring(p, -i, i))")).alias("s"), "a", "e")
-    return EndModel(cut_lineage(grams), cut_lineage(tails.groupBy("s").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))), ends or 0, places or 0)
-
-
-def _window(t: pd.Series) -> pd.DataFrame:
-    """The last word of an unfinished body and, for every character of the words before it, words to the end + what is
-    read backwards to it: up to ORDER characters behind it, then itself. Null for finished texts."""
-    out = []
-    for x in t:
-        s = open_end(sentences(x)[1])
-        if s is None:
-            out.append((None, []))
-            continue
-        s = "^" + s
-        cut = s.rfind(" ")
-        units, d = [], 0
-        for j in range(max(cut, 0), -1, -1):
-            d += s[j] == " "
-            if d >= DEPTH:
-                break
-            units.append(f"{max(d, 1)}{s[j : j + ORDER + 1]}" if d else "")
-        out.append((s[cut:] if cut >= 0 else s, [u for u in units if u]))
-    return pd.DataFrame(out, columns=["w", "units"])
+    windows = got.filter("id is not null").select("id", "w", "units").dropDuplicates(["id"])
+    return EndModel(cut_lineage(grams), cut_lineage(tails.groupBy("s").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))), cut_lineage(windows), ends or 0, places or 0)
 
 
 def _lookups(u: pd.Series) -> pd.Series:
     """Per order of a unit: its character and the numbers of its context anywhere and at that distance."""
     out: list[list] = [[] for _ in u]
-    words = np.array([int(x[0]) for x in u], "uint64")
-    firsts = np.cumsum([0, *(len(x) for x in u)])[:-1]
-    for order, h, whole, a, _ in _contexts([x[1:] for x in u]):
-        b, e = _key(h[firsts], order, 0).view("int64"), _key(h[firsts], order, words).view("int64")
-        for i in np.flatnonzero(whole[firsts]):
-            out[i].append((order, int(a[firsts[i]]), int(b[i]), int(e[i])))
+    if not len(u):
+        return pd.Series(out)
+    grams = np.frombuffer("".join(x[1:].ljust(ORDER + 1, "\x00") for x in u).encode("utf-32-le"), "<u4").astype("uint64").reshape(-1, ORDER + 1)
+    words = np.array([int(x[0]) for x in u])
+    for (order, rows, b), (_, _, e) in zip(_expand(grams, np.zeros(len(u), "int64")), _expand(grams, words)):
+        for i, x, y in zip(rows.tolist(), b.view("int64").tolist(), e.view("int64").tolist()):
+            out[i].append((order, int(grams[i, 0]), x, y))
     return pd.Series(out)
 
 
@@ -240,12 +274,12 @@ def _odds(model: EndModel, units: DataFrame) -> DataFrame:
     return wide.select("u", (-F.log("r")).alias("lr"))
 
 
-def scores(model: EndModel, df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, log_odds): log of continuation over end of every unfinished text's final context.
+def scores(model: EndModel) -> DataFrame:
+    """(id, log_odds): log of continuation over end of the final context of every unfinished text that has an id.
 
-    ``key`` must be unique. Texts with a final mark or without any word give no row.
+    Texts with a final mark or without any word give no row.
     """
-    win = cut_lineage(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.pandas_udf(_window, "w string, units array<string>")(body(F.col(text))).alias("v")).select("k", "v.*").filter("w is not null"))
+    win = model.windows
     words = win.select("w").distinct()
     tails = words.select("w", F.posexplode(F.expr(f"transform(sequence(1, least(length(w), {SUFFIX})), i -> substring(w, -i, i))")).alias("i", "s"))
     seen = tails.join(model.suffixes.hint("merge"), "s").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("i", "a", "e"))).alias("v"))
@@ -254,10 +288,10 @@ def scores(model: EndModel, df: DataFrame, key: str, text: str) -> DataFrame:
     p = F.aggregate("v", F.lit(p0), lambda p, x: (x["e"] + p) / (x["a"] + 1.0))
     first = words.join(seen.withColumn("p", p).select("w", "p").hint("merge"), "w", "left").select("w", F.least(F.coalesce("p", F.lit(p0)), F.lit(1 - 1e-9)).alias("p"))
     first = first.select("w", (F.log((1 - F.col("p")) / F.col("p")) - math.log((1 - p0) / p0)).alias("l0"))
-    marks = win.select("k", F.explode("units").alias("u"))
-    before = marks.join(_odds(model, marks.select("u").distinct()).hint("merge"), "u").groupBy("k").agg(F.sum("lr").alias("lr"))
-    out = win.select("k", "w").join(first.hint("merge"), "w").join(before.hint("merge"), "k", "left")
-    return out.select(F.col("k").alias(key), (F.col("l0") + F.coalesce("lr", F.lit(0.0))).alias("log_odds"))
+    marks = win.select("id", F.explode("units").alias("u"))
+    before = marks.join(_odds(model, marks.select("u").distinct()).hint("merge"), "u").groupBy("id").agg(F.sum("lr").alias("lr"))
+    out = win.select("id", "w").join(first.hint("merge"), "w").join(before.hint("merge"), "id", "left")
+    return out.select("id", (F.col("l0") + F.coalesce("lr", F.lit(0.0))).alias("log_odds"))
 
 
 def thresholds(scored: DataFrame, group: str, steps: int = 20) -> DataFrame:
@@ -302,8 +336,7 @@ def detect(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
     """
     src = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.coalesce(F.nullif(plain(F.col(lang_col)), F.lit("")), F.lit("und")).alias("__g"), plain(F.col(source_col)).alias("__s"))
     src = src.withColumn("__k", F.xxhash64("__t", F.lit(10)))
-    model = fit(src, "__t")
-    sc = cut_lineage(scores(model, src.select("__k", "__t").dropDuplicates(["__k"]), "__k", "__t"))
+    sc = cut_lineage(scores(fit(src, "__t", "__k")).withColumnRenamed("id", "__k"))
     rows = src.drop("__t").join(sc.hint("merge"), "__k", "left")
     rated = src.select("__k", "__g").join(sc.hint("merge"), "__k")
     rows = rows.join(thresholds(rated, "__g").select(F.col("g").alias("__lg"), F.col("limit").alias("__lim")), F.col("__g") == F.col("__lg"), "left")
