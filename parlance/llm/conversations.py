@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,61 +24,63 @@ def says_something(text: Column) -> Column:
     return F.coalesce(bare.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
-def kahn(keys: list[int], parents: list[int | None], order: list[tuple]) -> list[int]:
-    """Level of every node (0 for roots), -1 for leftovers: nodes on or behind a cycle or a parent that is absent.
+def levels(convs: np.ndarray, keys: np.ndarray, parents: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Kahn's algorithm over all conversations at once: every round releases all messages whose parents have left.
 
-    A node may occur several times under one key (rival messages); children wait for all of them. Ready nodes leave in
-    the order of (level, ``order``), so ties within a level are broken by time.
+    Gives the level of every message (0 for roots), -1 for leftovers: messages on or behind a cycle or a parent that is
+    absent. A key may occur several times in a conversation (rival messages); children wait for all of them.
     """
-    at: dict[int, list[int]] = {}
-    for i, k in enumerate(keys):
-        at.setdefault(k, []).append(i)
-    waiting, children = [0] * len(keys), {}
-    for i, p in enumerate(parents):
-        if p is not None:
-            before = at.get(p)
-            waiting[i] = len(before) if before else 1
-            children.setdefault(p, []).append(i)
-    level = [-1] * len(keys)
-    ready = [(0, order[i], i) for i in range(len(keys)) if not waiting[i]]
-    heapq.heapify(ready)
-    while ready:
-        lev, _, i = heapq.heappop(ready)
-        level[i] = lev
-        for c in children.get(keys[i], ()):
-            waiting[c] -= 1
-            if not waiting[c]:
-                heapq.heappush(ready, (lev + 1, order[c], c))
+    codes, kinds = pd.factorize(np.concatenate([keys, parents]))
+    own, up = convs * len(kinds) + codes[: len(keys)], convs * len(kinds) + codes[len(keys) :]
+    group, known = pd.factorize(own)
+    parent = np.where(root, -1, pd.Index(known).get_indexer(up))
+    rivals = np.bincount(group, minlength=len(known))
+    waiting = np.where(root, 0, np.where(parent >= 0, rivals[parent], 1))
+    order = np.argsort(parent, kind="stable")
+    begin, end = np.searchsorted(parent[order], np.arange(len(known))), np.searchsorted(parent[order], np.arange(len(known)), "right")
+    level, ready, now = np.full(len(keys), -1), np.flatnonzero(waiting == 0), 0
+    while len(ready):
+        level[ready] = now
+        left, times = np.unique(group[ready], return_counts=True)
+        many = end[left] - begin[left]
+        if not many.sum():
+            break
+        at = np.repeat(begin[left] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        children = order[at]
+        waiting[children] -= np.repeat(times, many)
+        ready, now = children[waiting[children] == 0], now + 1
     return level
 
 
+def kahn(keys: list[int], parents: list[int | None], order: Sequence = ()) -> list[int]:
+    """``levels`` of one conversation; ``order`` breaks ties within a level, so it does not change them."""
+    root = np.array([p is None for p in parents], bool)
+    return levels(np.zeros(len(keys), "int64"), np.array(keys, "int64"), np.array([p or 0 for p in parents], "int64"), root).tolist()
+
+
 def _levels_in_tasks(nodes: DataFrame) -> DataFrame:
-    """Kahn's algorithm, one conversation at a time over partitions that are clustered by conversation."""
+    """Kahn's algorithm over partitions that are clustered by conversation, all whole conversations of a batch at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def levels(g: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for _, one in g.groupby("__conv", sort=False):
-                par = [None if pd.isna(p) else int(p) for p in one["__parent"]]
-                lev = kahn([int(k) for k in one["__node"]], par, list(zip(one["__ts"], one["__id"])))
-                out.append(one[["__conv", "__id"]].assign(__level=lev))
-            return pd.concat(out)
+        def done(g: pd.DataFrame) -> pd.DataFrame:
+            root = g["__parent"].isna().to_numpy()
+            lev = levels(pd.factorize(g["__conv"])[0], g["__node"].to_numpy("int64"), g["__parent"].fillna(0).to_numpy("int64"), root)
+            return g[["__conv", "__id"]].assign(__level=lev)
 
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             if not len(b):
                 continue
-            last = b["__conv"].iloc[-1]
-            open_ = b["__conv"] == last
-            held, done = b[open_], b[~open_]
-            if len(done):
-                yield levels(done)
+            open_ = b["__conv"] == b["__conv"].iloc[-1]
+            held, whole = b[open_], b[~open_]
+            if len(whole):
+                yield done(whole)
         if held is not None and len(held):
-            yield levels(held)
+            yield done(held)
 
-    small = nodes.select("__conv", "__node", "__parent", "__ts", "__id")
+    small = nodes.select("__conv", "__node", "__parent", "__id")
     return small.repartition("__conv").sortWithinPartitions("__conv").mapInPandas(run, "__conv string, __id long, __level long")
 
 
@@ -112,17 +114,19 @@ class Conversations:
     status: DataFrame
 
 
-def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id: str, ts: str, max_in_task: int = MAX_IN_TASK) -> Conversations:
+def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id: str, ts: str, max_in_task: int = MAX_IN_TASK, reply: str | None = None) -> Conversations:
     """Put message rows together to ordered conversations.
 
-    A message replies to the one with the next lower turn number of its conversation; turn 0 opens it. Redelivered rows
-    (same turn, speaker and text, spelling aside) are one message, that of the earliest row. The reply graphs are sorted
-    by Kahn's algorithm, ties by time and row id; leftover messages reveal gaps and cycles.
+    ``reply`` names the column with the turn number that a message replies to (null: it opens the conversation); without
+    it a message replies to the next lower turn number, and turn 0 opens. Redelivered rows (same turn, speaker and text,
+    spelling aside) are one message, that of the earliest row. The reply graphs are sorted by Kahn's algorithm, ties
+    within a level by time and row id; leftover messages reveal gaps and cycles. A conversation of more than
+    ``max_in_task`` messages is no task's: its levels, which are the same, come from pointers that double their reach.
 
     ``status``: one row per conversation with ``defect``, the first that applies: ``empty`` (no message has a letter or
     digit outside brackets), ``broken`` (a row without turn number, leftover messages, one turn number with two
     messages, a message that says something without speaker), ``no_reply`` (fewer than two speakers, spelling aside, say
-    anything), else null; and ``alternates``: no two neighbouring messages have one speaker.
+    anything), else null; and ``alternates``: no message replies to one of its own speaker.
     ``messages``: conversation, position (dense from 0; null for leftovers), turn, speaker (outer blanks removed), text, row id, of all
     conversations; join to ``status`` to leave out defective ones. Rows with a null conversation are left out. Negative
     turn numbers are leftovers. Null texts say nothing. An empty table gives empty results.
@@ -130,13 +134,14 @@ def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id
     src = df.filter(F.col(conv).isNotNull()).select(
         F.col(conv).cast("string").alias("__conv"), F.col(turn).cast("long").alias("__turn"), F.nullif(outer_trim(F.col(speaker)), F.lit("")).alias("__who"),
         F.col(text).alias("__text"), F.col(row_id).cast("long").alias("__id"), F.col(ts).cast("timestamp").alias("__at"),
+        (F.when(F.col(turn).cast("long") != 0, F.col(turn).cast("long") - 1) if reply is None else F.col(reply).cast("long")).alias("__parent"),
     )
     src = src.withColumn("__says", says_something(F.col("__text"))).withColumn("__w", F.lower("__who")).withColumn("__x", plain(F.col("__text")))
-    first = F.min_by(F.struct("__who", "__text", "__id", "__at"), F.struct("__at", "__id"))
+    first = F.min_by(F.struct("__who", "__text", "__id", "__at", "__parent"), F.struct("__at", "__id"))
     msg = src.groupBy("__conv", "__turn", "__w", "__x").agg(first.alias("m"), F.max("__says").alias("__says"))
     msg = cut_lineage(msg.select("__conv", "__turn", "__w", "__says", "m.*"))
     nodes = msg.filter(F.col("__turn").isNotNull()).select(
-        "__conv", F.col("__turn").alias("__node"), F.when(F.col("__turn") != 0, F.col("__turn") - 1).alias("__parent"), F.coalesce(F.unix_micros("__at"), F.lit(0)).alias("__ts"), "__id",
+        "__conv", F.col("__turn").alias("__node"), "__parent", "__id",
     )
     sizes = nodes.groupBy("__conv").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_in_task).select("__conv")
     levels = _levels_in_tasks(nodes.join(sizes, "__conv", "left_anti"))
@@ -146,13 +151,13 @@ def rebuild(df: DataFrame, conv: str, turn: str, speaker: str, text: str, row_id
     m = msg.alias("a").join(lev.alias("b"), (F.col("a.__conv") == F.col("b.__conv")) & (F.col("__id") == F.col("__lid")), "left").select("a.*", F.coalesce("__level", F.lit(-1)).alias("__level"))
     m = cut_lineage(m)
     # per turn first, so that a conversation that holds most rows is counted in many tasks
-    turns = m.groupBy("__conv", "__turn").agg(F.count(F.lit(1)).alias("n"), F.min("__level").alias("low"), F.max("__says").alias("says"), F.max(F.col("__says") & F.col("__who").isNull()).alias("mute"), F.min("__w").alias("w"), F.max("__w").alias("w2"))
+    turns = m.groupBy("__conv", "__turn").agg(F.count(F.lit(1)).alias("n"), F.min("__level").alias("low"), F.max("__says").alias("says"), F.max(F.col("__says") & F.col("__who").isNull()).alias("mute"), F.min("__w").alias("w"), F.max("__w").alias("w2"), F.max("__parent").alias("up"))
     per = turns.groupBy("__conv").agg(
         F.max("says").alias("says"), F.max(F.col("__turn").isNull() | (F.col("n") > 1) | (F.col("low") < 0) | F.col("mute")).alias("broken"),
     )
     voices = m.filter("__says and __w is not null").groupBy("__conv").agg((F.min("__w") != F.max("__w")).alias("two"))
-    before = turns.select(F.col("__conv").alias("__pc"), (F.col("__turn") + 1).alias("__pt"), F.col("w2").alias("pw"))
-    same = turns.join(before, (F.col("__conv") == F.col("__pc")) & (F.col("__turn") == F.col("__pt"))).groupBy("__conv").agg(F.max(F.col("w") == F.col("pw")).alias("same"))
+    before = turns.select(F.col("__conv").alias("__pc"), F.col("__turn").alias("__pt"), F.col("w2").alias("pw"))
+    same = turns.join(before, (F.col("__conv") == F.col("__pc")) & (F.col("up") == F.col("__pt"))).groupBy("__conv").agg(F.max(F.col("w") == F.col("pw")).alias("same"))
     status = per.join(voices, "__conv", "left").join(same, "__conv", "left")
     defect = F.when(~F.col("says"), "empty").when(F.col("broken"), "broken").when(~F.coalesce("two", F.lit(False)), "no_reply")
     status = status.select(F.col("__conv").alias(conv), defect.alias("defect"), (~F.coalesce("same", F.lit(False))).alias("alternates"))
