@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from parlance.runtime import bounded_rows, cut_lineage, outer_trim
 
-#: A cast is a bounded table; seconds of one window slice.
-MAX_CAST, SLICE_S = 10_000, 600
+#: A cast is a bounded table.
+MAX_CAST = 10_000
 #: Bins that count the characters of a label.
 BINS = 32
 #: Hesitation sounds; a line of nothing else is left out.
@@ -209,8 +209,9 @@ def rebuild(df: DataFrame, cast: DataFrame, line_id: str, dialog: str, speaker:
     by line id. Lines with a null dialogue form a dialogue of their own. An empty table gives no turns.
 
     A turn is a longest run of lines of one speaker: ``turns`` has dialogue, first_line_id, speaker, turn_no, lines,
-    start, end and text. Labels are clustered per transcript (distinct labels only). Runs are found in slices of SLICE_S seconds and joined across slices, so that a transcript
-    that holds most lines is ordered by many tasks.
+    start, end and text. Labels are clustered per transcript (distinct labels only). Runs are found in slices of about equal
+    numbers of lines, ranges in the order of lines, and joined across slices: a transcript that holds most lines, timed
+    or not, is ordered by many tasks. The text of one turn is one value.
     """
     members = [(r[0], r[1] or r[0]) for r in bounded_rows(cast.select("name", "full_name").filter("name is not null"), MAX_CAST, "the cast")]
     names = sorted({x for n, f in members for x in (n, f, f.split()[-1], f"{f[:1]}. {f.split()[-1]}", f"{f.split()[-1]}, {f.split()[0]}")}) or ["\x00"]
@@ -241,8 +242,9 @@ def rebuild(df: DataFrame, cast: DataFrame, line_id: str, dialog: str, speaker:
     src = cut_lineage(src.select("d", "i", label.alias("lab"), at.alias("t"), F.greatest("s", "e").alias("t2"), "z", _norm(label).alias("n")))
     who = _speakers(src.select("d", "n").filter("n is not null").distinct(), members)
     src = src.join(who, ["d", "n"], "left").withColumn("w", F.coalesce("member", "n"))
-    src = src.withColumn("b", F.coalesce(F.floor(F.least(F.greatest(F.col("t"), F.lit(-1e12)), F.lit(1e12)) / SLICE_S), F.lit(1 << 40)))
-    src = cut_lineage(src)
+    # slices of about equal size, whatever the dialogues and times are like: ranges of (dialogue, time, line)
+    keys = [F.col("d"), F.col("t").isNull(), F.col("t"), F.col("i")]
+    src = cut_lineage(src.repartitionByRange(*keys).withColumn("b", F.spark_partition_id()))
     order = [F.col("t").asc_nulls_last(), F.col("i")]
     w = Window.partitionBy("d", "b").orderBy(*order)
     ends = src.groupBy("d", "b").agg(F.max_by(F.struct("w"), F.struct(F.col("t").isNull(), "t", "i")).alias("z"))
