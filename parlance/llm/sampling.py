@@ -66,8 +66,9 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str, split_col: str, label_c
     compared spelling aside. The sample size of a split is sample_frac times its rows with a listed label, rounded.
     Rows with a null or unlisted label or split are never drawn and do not count. Repeated rows count as rows; equal
     ids share a random key and are taken in any order. Null ids are allowed. Empty tables give an empty sample and a
-    report with availability 0. The report has every target row: available, wanted (real number), quota and short
-    (available < wanted). Extra columns of ``df`` are kept, whatever their names.
+    report with availability 0. The report has every target row: available, wanted (real number), quota, drawn (rows of
+    the sample) and short: the sample drawn holds fewer rows than wanted, and there are no more to be had (a target
+    missed because the floors of others took its room is not short). Extra columns of ``df`` are kept, whatever their names.
     """
     spark = df.sparkSession
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__tie"), plain(F.col(split_col)).alias("__split"), plain(F.col(label_col)).alias("__label"))
@@ -86,8 +87,9 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str, split_col: str, label_c
         got = allocate(round(frac * size), [p["share"] or 0.0 for p in own], [p["low"] or 0 for p in own], [p["n"] for p in own])
         for p, q in zip(own, got):
             wanted = (p["share"] or 0.0) * (p["frac"] or 0.0) * size
-            report.append((p["__ts"], p["__tl"], p["n"], float(wanted), int(q), bool(p["n"] < wanted)))
-            quotas.append((f"{split}\x1f{p['__k2']}", int(q)))
+            grp = f"{split}\x1f{p['__k2']}"
+            report.append((p["__ts"], p["__tl"], grp, p["n"], float(wanted), int(q)))
+            quotas.append((grp, int(q)))
     budget = spark.createDataFrame(quotas, "__grp string, __budget long")
     keyed = (
         rows.filter(F.col("__split").isNotNull() & F.col("__label").isNotNull())
@@ -96,5 +98,8 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str, split_col: str, label_c
         .withColumn("__one", F.lit(1).cast("long"))
     )
     taken = take_smallest(keyed, "__grp", "__key", "__tie", "__one", budget)
-    schema = f"`{split_col}` string, `{label_col}` string, available long, wanted double, quota long, short boolean"
-    return Sample(taken.select("__row.*"), spark.createDataFrame(report, schema))
+    drawn = taken.groupBy(F.col("__grp").alias("__dg")).agg(F.count(F.lit(1)).alias("drawn"))
+    schema = f"`{split_col}` string, `{label_col}` string, __grp string, available long, wanted double, quota long"
+    full = spark.createDataFrame(report, schema).join(drawn, F.col("__grp") == F.col("__dg"), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    full = full.withColumn("short", (F.col("drawn") < F.col("wanted")) & (F.col("available") < F.col("wanted"))).drop("__grp", "__dg")
+    return Sample(taken.select("__row.*"), full)
