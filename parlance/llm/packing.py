@@ -77,7 +77,8 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, seed: int = 8
     start and length within the item, container and offset in it. Items of size 0 or null need no room: container is
     null. Negative sizes count as 0. Repeated ids are separate items; null ids are allowed. An empty table gives no
     pieces. The histogram has at most ``capacity`` lengths, whatever the number of items, and is planned on the driver.
-    Containers with a rest come first, then those filled by one cut piece. Extra columns of ``df`` are not carried.
+    Containers with a rest come first, then those filled by one cut piece. ``over_capacity``: ids and sizes of the items that were
+    cut. Extra columns of ``df`` are not carried.
     """
     if capacity <= 0:
         raise ValueError("capacity must be positive")
@@ -86,22 +87,25 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, seed: int = 8
     items = items.withColumn("__full", F.floor(F.col("__n") / capacity)).withColumn("__len", F.col("__n") % capacity)
     hist = bounded_rows(items.groupBy("__len").agg(F.count(F.lit(1)).alias("c"), F.sum("__full").alias("f")), capacity, "the length histogram")
     slots = plan({r["__len"]: r["c"] for r in hist if r["__len"] > 0}, capacity)
+    # a hot length, or the whole containers, are numbered by as many tasks as there are millions of items
+    buckets = 64 + sum(r["c"] + (r["f"] or 0) for r in hist) // 1_000_000
     opened = max([s[3] + -(-s[2] // s[4]) for s in slots], default=0)
     table = spark.createDataFrame(slots, "__sl long, __rank long, __items long, __first long, __per long, __off long")
-    ranked = rank_in_group(items.filter("__len > 0").withColumn("__key", hash_key(seed, F.col("__id"))), "__len", "__key", "__id", "__r")
-    # the plan has a bounded number of runs (its size depends on the capacity only)
-    placed = ranked.join(F.broadcast(table), (F.col("__len") == F.col("__sl")) & (F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__items")))
+    ranked = rank_in_group(items.filter("__len > 0").withColumn("__key", hash_key(seed, F.col("__id"))), "__len", "__key", "__id", "__r", buckets)
+    # the size of the plan is known, so the way of joining is left to the planner
+    placed = ranked.join(table, (F.col("__len") == F.col("__sl")) & (F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__items")))
     step = F.col("__r") - F.col("__rank")
     rest = placed.select(
         F.col("__id"), F.col("__full").cast("long").alias("piece"), (F.col("__full") * capacity).cast("long").alias("start"), F.col("__len").alias("length"),
-        (F.col("__first") + F.floor(step / F.col("__per"))).cast("long").alias("container"), (F.col("__off") + (step % F.col("__per")) * F.col("__len")).cast("long").alias("offset"),
+        (F.col("__first") + F.floor(step / F.col("__per"))).cast("long").alias("container"), (F.col("__off") + (step % F.col("__per")) * F.col("__len")).cast("long").alias("offset"), F.col("__n").alias("__size"),
     )
     # whole containers: numbered after the planned ones by a running sum of the cuts over hash buckets
     cut = items.filter("__full > 0").withColumn("__all", F.lit(1)).withColumn("__key", hash_key(seed, F.col("__id")))
     pieces = cut.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full").cast("long") - 1)))
-    numbered = rank_in_group(pieces.withColumn("__key", hash_key(seed, F.col("__id"), F.col("piece"))), "__all", "__key", "__id", "__r")
-    full = numbered.select("__id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), (F.lit(opened) + F.col("__r")).cast("long").alias("container"), F.lit(0).cast("long").alias("offset"))
+    numbered = rank_in_group(pieces.withColumn("__key", hash_key(seed, F.col("__id"), F.col("piece"))), "__all", "__key", "__id", "__r", buckets)
+    full = numbered.select("__id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), (F.lit(opened) + F.col("__r")).cast("long").alias("container"), F.lit(0).cast("long").alias("offset"), F.col("__n").alias("__size"))
     nil = F.lit(None).cast("long")
-    zero = items.filter("__n = 0").select("__id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), nil.alias("container"), nil.alias("offset"))
+    zero = items.filter("__n = 0").select("__id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), nil.alias("container"), nil.alias("offset"), F.col("__n").alias("__size"))
     out = rest.unionByName(full).unionByName(zero).withColumnRenamed("__id", id_col)
-    return Packing(out, items.filter(F.col("__n") > capacity).select(F.col("__id").alias(id_col), F.col("__n").alias("n_tokens")))
+    # an item longer than a container is one that had to be cut: it has a second piece
+    return Packing(out.drop("__size"), out.filter("piece = 1").select(id_col, F.col("__size").alias("n_tokens")))
