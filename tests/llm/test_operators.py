@@ -441,3 +441,45 @@ def test_sentences_and_open_ends():
     assert done[0] == "he left" and rest.endswith("so on")
     assert endings.open_end(endings.sentences("All is well.")[1]) is None and endings.open_end(" … ") is None
     assert endings.open_end(endings.sentences("All is well. And then we")[1]) == "and then we"
+
+
+def test_reply_column_shows_cycles(spark):
+    rows = [("tree", 0, None, "A", 1), ("tree", 5, 0, "B", 2), ("tree", 9, 0, "B", 3), ("tree", 7, 5, "A", 4), ("loop", 0, None, "A", 1), ("loop", 1, 2, "B", 2), ("loop", 2, 1, "A", 3), ("orphan", 0, None, "A", 1), ("orphan", 1, 8, "B", 2)]
+    df = spark.createDataFrame([(d, t, p, s, f"text {i}", i, n) for i, (d, t, p, s, n) in enumerate(rows)], "d string, t long, p long, s string, x string, i long, n long").withColumn("at", F.timestamp_seconds("n"))
+    for bound in (100, 0):
+        c = conversations.rebuild(df, "d", "t", "s", "x", "i", "at", max_in_task=bound, reply="p")
+        assert {r["d"]: r["defect"] for r in c.status.collect()} == {"tree": None, "loop": "broken", "orphan": "broken"}
+        got = {r["i"]: r["position"] for r in c.messages.collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: None, 6: None, 7: 0, 8: None}
+
+
+def test_levels_of_many_conversations():
+    import numpy as np
+
+    rng = random.Random(12)
+    conv, key, par, root, want = [], [], [], [], []
+    for c in range(60):
+        n = rng.randrange(1, 12)
+        parents = [None if i == 0 or rng.random() < 0.1 else rng.randrange(0, n + 1) for i in range(n)]
+        conv += [c] * n
+        key += range(n)
+        par += [p or 0 for p in parents]
+        root += [p is None for p in parents]
+        for i in range(n):
+            at, lev, seen = i, 0, set()
+            while at is not None and at < n and at not in seen:
+                seen.add(at)
+                at, lev = parents[at], lev + 1
+            want.append(lev - 1 if at is None else -1)
+    assert conversations.levels(np.array(conv), np.array(key), np.array(par), np.array(root)).tolist() == want
+
+
+def test_untimed_and_simultaneous_lines_keep_their_order(spark):
+    cast = spark.createDataFrame([("A", "A Aa"), ("B", "B Bb")], "name string, full_name string")
+    rng = random.Random(13)
+    for times in (lambda i: (None, None), lambda i: (5.0, 6.0)):
+        rows = [(i, "d", rng.choice("AB"), *times(i), f"word {i}") for i in range(400)]
+        df = spark.createDataFrame(rows, "line_id long, dialog_id string, speaker string, start_sec double, end_sec double, utterance string")
+        t = transcripts.rebuild(df, cast, "line_id", "dialog_id", "speaker", "start_sec", "end_sec", "utterance").turns
+        want = [r[0] for i, r in enumerate(rows) if i == 0 or rows[i - 1][2] != r[2]]
+        assert [r["first_line_id"] for r in t.orderBy("turn_no").collect()] == want
