@@ -29,7 +29,7 @@ TEXTS_A_TASK = 500
 #: Code points up to which context counts are kept; the table has at most LAST^2 rows.
 LAST = 0x530
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN, _WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[^ \t\r\n]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _TABLES: dict[str, tuple[dict[str, int], dict[int, str]]] = {}
 
@@ -74,9 +74,26 @@ def as_utf8(text: str, enc: str) -> str:
 
 
 def as_other(text: str, enc: str, meant: str) -> str:
-    """Characters above ASCII put back to bytes of ``enc`` and read as ``meant``, those outside ``enc`` stay."""
+    """Words put back to bytes of ``enc`` and read as ``meant``.
+
+    A wrong reading explains every character of a word, so a word with one outside ``enc`` was not read in it and stays.
+    So does one whose letters beside letters would become signs, other than an apostrophe between letters.
+    """
     back, (_, there) = _table(enc)[0], _table(meant)
-    return _NON_ASCII.sub(lambda m: "".join(there[back[c]] if c in back else c for c in m[0]), text)
+
+    def word(m: re.Match) -> str:
+        w = m[0]
+        if w.isascii() or any(c > "\x7f" and c not in back for c in w):
+            return w
+        new = "".join(c if c < "\x80" else there[back[c]] for c in w)
+        for i, (c, n) in enumerate(zip(w, new)):
+            if c > "\x7f" and c.isalpha() and not n.isalpha():
+                before, after = w[i - 1 : i].isalpha(), w[i + 1 : i + 2].isalpha()
+                if (before or after) and not (n == "’" and before and after):
+                    return w
+        return new
+
+    return _WORD.sub(word, text)
 
 
 def as_windows(text: str) -> str:
@@ -160,6 +177,8 @@ class Plausibility:
                 if cat[0] == "L":
                     if cat == "Lu" and a.islower() and ka == "L":
                         total += 2.0
+                elif cat[0] == "M" and script not in ("-", kind(a)[1]):  # a mark of another script than its letter
+                    total += 3.0
                 elif cat != "Zs" and c not in "’'·" and cat[0] != "M":
                     # marks and signs within a word, or glued to the next one without a blank
                     if ka == "L" and kb == "L":
@@ -228,6 +247,7 @@ def _search(text: str, model: Plausibility) -> tuple[str, bool, bool, bool]:
         n += 1
         if depth >= DEEPEST:
             continue
+        slack = float(max(1, len(_NON_ASCII.findall(now))))
         ways: list[tuple[Callable[[], str], bool, float]] = [(lambda: unescape(now), decoded, UNESCAPE)]
         if not now.isascii():
             ways.append((lambda: as_windows(now), True, STEP))
@@ -244,8 +264,8 @@ def _search(text: str, model: Plausibility) -> tuple[str, bool, bool, bool]:
             c, paid = model.cost(new), spent + price
             if c + paid < best[0] - 1e-9:
                 best = (c + paid, new, dec, depth + 1)
-            # ways that only make it worse are not followed
-            if c <= at - spent + 1.0:
+            # ways that only make it worse are not followed: a step between may cost some more for every damaged place
+            if c <= at - spent + slack:
                 heapq.heappush(heap, (c + paid, n, depth + 1, new, dec, paid))
     whole = not any(e[5] + UNESCAPE < best[0] for e in heap)
     if best[2] and start - best[0] < GAIN:

@@ -483,3 +483,17 @@ def test_untimed_and_simultaneous_lines_keep_their_order(spark):
         t = transcripts.rebuild(df, cast, "line_id", "dialog_id", "speaker", "start_sec", "end_sec", "utterance").turns
         want = [r[0] for i, r in enumerate(rows) if i == 0 or rows[i - 1][2] != r[2]]
         assert [r["first_line_id"] for r in t.orderBy("turn_no").collect()] == want
+
+
+SOUND = ["Zażółć gęślą jaźń.", "Árvíztűrő tükörfúrógép, ütvefúró.", "Pijamalı hasta yağız şoföre çabucak güvendi.", "Příliš žluťoučký kůň úpěl ďábelské ódy.", "À noite, vovô Kowalsky vê o ímã cair no pé do pinguim.", "Съешь же ещё этих мягких булок.", "Où ça ? Là-bas, à l’hôtel — 5 €.", "Fünf Größen für süße Mädchen"]
+
+
+def test_sound_texts_stay_and_garbled_ones_return(spark):
+    # each sound sentence also stands in other rows, as a corpus has its letters more than once
+    rows = [t for t in SOUND for _ in range(20)] + ["Za¿ó³æ gêœl¹ jaŸñ.", SOUND[3].encode().decode("cp1250", "replace"), SOUND[5].encode("cp1251").decode("cp1252"), SOUND[7].encode().decode("cp1252")]
+    got = {r["utterance"]: r for r in encoding.find(spark.createDataFrame(list(enumerate(rows)), "row_id long, utterance string"), "row_id", "utterance").rows.collect()}
+    for t in SOUND:
+        assert not got[t]["garbled"] and got[t]["restored"] == t, t
+    assert all(got[t]["garbled"] for t in rows[-4:])
+    assert got["Za¿ó³æ gêœl¹ jaŸñ."]["restored"] == SOUND[0]
+    assert got[rows[-2]]["restored"] == SOUND[5] and got[rows[-1]]["restored"] == SOUND[7]
