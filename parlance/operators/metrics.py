@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,20 +40,34 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     return pairs.join(tot, "y").select("y", "p", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def shared_ngrams(pred: Column, ref: Column, most: int) -> Column:
+    """array<struct<hits, pred, ref>> for n-grams of 1 to ``most`` words: clipped matches and the n-grams of either side.
 
+    Counted in Arrow batches, in time linear in the texts; null arrays count as empty.
+    """
 
-def clipped(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, g: acc + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
+    def grams(w: list[str], n: int) -> Counter:
+        return Counter(zip(*[w[i:] for i in range(n)]))
+
+    @F.pandas_udf("array<struct<hits:long,pred:long,ref:long>>")
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):
+                x, y = ([] if v is None else list(v) for v in (x, y))
+                row = []
+                for n in range(1, most + 1):
+                    g, h = grams(x, n), grams(y, n)
+                    row.append(((g & h).total(), g.total(), h.total()))
+                out.append(row)
+            yield pd.Series(out)
+
+    return count(pred, ref)
 
 
-def rouge_n(pred: Column, ref: Column, n: int) -> Column:
-    """F measure of n-gram overlap over white-space words."""
-    a, b = ngrams(pred, n), ngrams(ref, n)
-    hit = clipped(a, b).cast("double")
-    return F.coalesce(F.try_divide(2 * hit, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
+def f_measure(counts: Column) -> Column:
+    """F measure of the n-gram counts of ``shared_ngrams``; 0 where neither side has any."""
+    return F.coalesce(F.try_divide(2 * counts["hits"].cast("double"), (counts["pred"] + counts["ref"]).cast("double")), F.lit(0.0))
 
 
 def rouge_l(pred: Column, ref: Column) -> Column:
@@ -105,8 +120,15 @@ def greedy_match(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     return p, r, 2 * p * r / (p + r) if p + r else 0.0
 
 
-def bertscore(pred: Column, ref: Column, encode: Callable[[list[str]], np.ndarray] = word_vectors) -> Column:
-    """Greedy match of the token vectors of two arrays of tokens, in Arrow batches; 0 where a side is empty or null."""
+def given(vectors: list) -> np.ndarray:
+    return np.stack([np.asarray(v, "float64") for v in vectors])
+
+
+def bertscore(pred: Column, ref: Column, encode: Callable[[list], np.ndarray] = word_vectors) -> Column:
+    """Greedy match of the token vectors of two arrays of tokens, in Arrow batches; 0 where a side is empty or null.
+
+    ``encode`` gives the vectors of a list of tokens; ``given`` is for arrays that hold the vectors themselves.
+    """
 
     @F.pandas_udf("precision double, recall double, f1 double")
     def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -119,11 +141,9 @@ def bertscore(pred: Column, ref: Column, encode: Callable[[list[str]], np.ndarra
 
 def bleu(df: DataFrame, pred: str, ref: str, most: int = 4) -> DataFrame:
     """Corpus BLEU over white-space words: clipped n-gram counts and lengths are summed, then combined."""
-    cols = []
-    for n in range(1, most + 1):
-        a, b = ngrams(F.col(pred), n), ngrams(F.col(ref), n)
-        cols += [F.sum(clipped(a, b)).alias(f"h{n}"), F.sum(F.size(a)).alias(f"t{n}")]
-    s = df.agg(*cols, F.sum(F.size(pred)).alias("lp"), F.sum(F.size(ref)).alias("lr"))
+    rows = df.select(pred, ref, shared_ngrams(F.col(pred), F.col(ref), most).alias("g"))
+    cols = [F.sum(F.col("g")[n - 1][part]).alias(f"{to}{n}") for n in range(1, most + 1) for part, to in (("hits", "h"), ("pred", "t"))]
+    s = rows.agg(*cols, F.sum(F.size(pred)).alias("lp"), F.sum(F.size(ref)).alias("lr"))
     logs = sum((F.log(F.try_divide(F.col(f"h{n}").cast("double"), F.col(f"t{n}").cast("double"))) for n in range(1, most + 1)), F.lit(0.0))
     short = F.when(F.col("lp") < F.col("lr"), F.exp(1 - F.col("lr") / F.col("lp"))).otherwise(1.0)
     return s.select(F.round(F.coalesce(short * F.exp(logs / most), F.lit(0.0)), 6).alias("bleu"))

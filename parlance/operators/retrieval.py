@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of either side; a task holds one block of queries and one of documents.
@@ -53,6 +53,18 @@ def nearest(queries: DataFrame, docs: DataFrame, id_col: str, vec_col: str, k: i
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def extend_cache(spark: SparkSession, path: str, collection: str, queries: DataFrame, docs: DataFrame, id_col: str, vec_col: str, k: int) -> None:
+    """Append (idx, rank from 0, neighbour) of the queries that a cache does not hold yet, a folder per collection."""
+    todo = queries
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.parquet(path).filter(F.col("collection") == collection).select(F.col("idx").alias(id_col)).distinct()
+        todo = queries.join(known, id_col, "left_anti")
+    near = nearest(todo, docs, id_col, vec_col, k)
+    rows = near.select(F.col("query_id").alias("idx"), (F.col("rank") - 1).cast("long").alias("rank"), F.col("doc_id").alias("neighbour"), F.lit(collection).alias("collection"))
+    rows.write.mode("append").partitionBy("collection").parquet(path)
+
+
 def prefetch_then_filter(ranked: DataFrame, query: str, rank: str, prefetch: int, keep: Column, n: int) -> DataFrame:
     """The first ``prefetch`` of every query, of these the kept ones, of these the first n: possibly fewer than n."""
     kept = ranked.filter(F.col(rank) <= prefetch).filter(keep)

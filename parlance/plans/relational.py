@@ -346,7 +346,8 @@ def _hits_sql(n: int) -> str:
  round(sum(coalesce(2.0::DOUBLE * h1.h / (h1.ta + h1.tb), 0)) / count(*), 6) AS rouge1, round(sum(coalesce(2.0::DOUBLE * h2.h / (h2.ta + h2.tb), 0)) / count(*), 6) AS rouge2
  FROM pr LEFT JOIN h1 USING (row_id) LEFT JOIN h2 USING (row_id)""")
 def agg_rouge(s, sf):
-    return _consecutive(s, sf).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(metrics.rouge_n(F.col("p"), F.col("r"), 1)), 6).alias("rouge1"), F.round(F.avg(metrics.rouge_n(F.col("p"), F.col("r"), 2)), 6).alias("rouge2"))
+    g = _consecutive(s, sf).select(metrics.shared_ngrams(F.col("p"), F.col("r"), 2).alias("g"))
+    return g.agg(F.count(F.lit(1)).alias("pairs"), *[F.round(F.avg(metrics.f_measure(F.col("g")[n - 1])), 6).alias(f"rouge{n}") for n in (1, 2)])
 
 
 @query("agg_rouge_l")
@@ -359,11 +360,16 @@ def agg_bleu(s, sf):
     return metrics.bleu(_consecutive(s, sf), "p", "r")
 
 
-@query("agg_bertscore", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+@query("agg_bertscore", """WITH t AS (SELECT vec_id // 6 g, vec_id % 6 < 3 pred, vec_id, embedding v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n FROM embeddings),
+ m AS (SELECT a.g, a.vec_id i, b.vec_id j, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * b.n) c FROM t a JOIN t b ON a.g = b.g AND a.pred AND NOT b.pred),
+ p AS (SELECT g, avg(c) p FROM (SELECT g, i, max(c) c FROM m GROUP BY 1, 2) GROUP BY 1), r AS (SELECT g, avg(c) r FROM (SELECT g, j, max(c) c FROM m GROUP BY 1, 2) GROUP BY 1)
+ SELECT count(*) AS pairs, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(2 * p * r / (p + r)), 6) AS f1 FROM p JOIN r USING (g)""")
 def agg_bertscore(s, sf):
-    """The measure's encoder is external; the part of the engine is cosine over vectors, whose norms are shown here."""
-    v = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return read_table(s, sf, "embeddings").select("vec_id", F.round(F.sqrt(v), 6).alias("norm"))
+    """Mean precision, recall and F1 of the greedy match; six neighbouring vectors are three tokens of either text."""
+    e = read_table(s, sf, "embeddings").select(F.floor(F.col("vec_id") / 6).alias("g"), (F.col("vec_id") % 6 < 3).alias("is_pred"), F.col("embedding").cast("array<double>").alias("v"))
+    sides = e.groupBy("g").agg(F.collect_list(F.when(F.col("is_pred"), F.col("v"))).alias("p"), F.collect_list(F.when(~F.col("is_pred"), F.col("v"))).alias("r"))
+    m = sides.filter("size(p) > 0 and size(r) > 0").select(metrics.bertscore(F.col("p"), F.col("r"), metrics.given).alias("m"))
+    return m.agg(F.count(F.lit(1)).alias("pairs"), *[F.round(F.avg(f"m.{k}"), 6).alias(k) for k in ("precision", "recall", "f1")])
 
 
 @query("agg_bertscore_match")

@@ -126,7 +126,7 @@ def str_format_path(s, sf):
     return read_table(s, sf, _U).select("row_id", F.format_string("dia%s_utt%s.wav", F.col("dialog_idx").cast("string"), F.coalesce(F.col("turn_idx").cast("string"), F.lit("null"))).alias("name"))
 
 
-@query("path_wav_meld", "SELECT row_id, '/wav/' || CASE WHEN lower(trim(split)) IN ('train', 'dev', 'test') THEN lower(trim(split)) ELSE 'dev' END || '/dia' || dialog_idx || '_utt' || turn_idx || '.wav' AS path FROM utterance WHERE source = 'meld' AND turn_idx IS NOT NULL")
+@query("path_wav_meld", "SELECT row_id, '/wav/audio/' || CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' WHEN 'testing' THEN 'test' ELSE 'dev' END || '_audio_splits/dia' || dialog_idx || '_utt' || turn_idx || '.wav' AS path FROM utterance WHERE source = 'meld' AND turn_idx IS NOT NULL")
 def path_wav_meld(s, sf):
     u = read_table(s, sf, _U).filter("source = 'meld' and turn_idx is not null")
     return u.select("row_id", io.wav_path(F.col("dialog_idx"), F.col("turn_idx"), F.col("split"), "/wav").alias("path"))

@@ -72,16 +72,36 @@ def scan_dir_pairs(s, sf):
     return left.join(s.read.option("recursiveFileLookup", True).text(b).select(stem.alias("dialog_id")), "dialog_id").select("dialog_id", "lines")
 
 
-@query("scan_wav", "SELECT n_nationkey, n_nationkey::DOUBLE AS seconds FROM nation")
+def _files(s, rows, name, folder):
+    """One text file a row below ``folder``; the column ``name`` is the file's path there."""
+    made = io.scratch(s, folder)
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        for b in batches:
+            for x, t in zip(b["name"], b["value"]):
+                os.makedirs(os.path.dirname(f"{root}/{x}"), exist_ok=True)
+                with open(f"{root}/{x}", "wb") as f:
+                    f.write(bytes(t))
+            yield pd.DataFrame({"name": b["name"]})
+
+    root = made.removeprefix("file:")
+    rows.select(F.col(name).alias("name"), F.col("value").cast("binary").alias("value")).mapInPandas(write, "name string").count()
+    return made
+
+
+@query("scan_wav", "SELECT n_nationkey, n_nationkey::DOUBLE AS seconds, 8000.0::DOUBLE AS rate_hz FROM nation")
 def scan_wav(s, sf):
-    """Audio files are read as binary rows and measured in batches; here files of known length are made first."""
-    p = io.scratch(s, "wav")
+    """Audio files are read as binary files and measured in batches; files of known length are made first."""
     head = (b"RIFF" + bytes(20) + (8000).to_bytes(4, "little") * 2 + bytes(12)).hex()
     content = F.unhex(F.concat(F.lit(head), F.repeat(F.lit("00"), F.col("n_nationkey") * 8000)))
-    rows = read_table(s, sf, "nation").select("n_nationkey", content.alias("content"))
-    rows.write.parquet(p)
-    files = s.read.parquet(p).select(F.col("n_nationkey").cast("string").alias("path"), "content")
-    return external.features(files, external.WaveLength()).select(F.col("path").cast("int").alias("n_nationkey"), "seconds")
+    p = _files(s, read_table(s, sf, "nation").select(F.concat(F.lit("a/"), F.col("n_nationkey").cast("string"), F.lit(".wav")).alias("name"), content.alias("value")), "name", "wav")
+    files = s.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(p).select("path", "content")
+    key = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("int")
+    return external.features(files, external.WaveLength()).select(key.alias("n_nationkey"), "seconds", "rate_hz")
 
 
 _JOBS = "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'final_videos_testdia' ELSE 'dia' END || n_nationkey || '.mp4' AS chosen FROM nation"
@@ -89,18 +109,24 @@ _JOBS = "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'final_videos_te
 
 @query("scan_mp4_jobs", _JOBS)
 def scan_mp4_jobs(s, sf):
-    """The prefixed file of a stem is taken where there is one."""
+    """A listing of a folder; the prefixed file of a stem is taken where there is one."""
     n = read_table(s, sf, "nation").select("n_nationkey", F.concat(F.lit("dia"), F.col("n_nationkey").cast("string"), F.lit(".mp4")).alias("name"))
-    final = n.filter("n_nationkey % 3 = 0").select(F.col("name").alias("stem"), F.concat(F.lit("final_videos_test"), "name").alias("final"))
-    return n.join(final, F.col("name") == F.col("stem"), "left").select("n_nationkey", F.coalesce("final", "name").alias("chosen"))
+    both = n.select("name").unionByName(n.filter("n_nationkey % 3 = 0").select(F.concat(F.lit("final_videos_test"), "name").alias("name")))
+    p = _files(s, both.withColumn("value", F.lit("x")), "name", "mp4")
+    found = io.listing(s, p, "*.mp4").select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    stem = F.regexp_replace("name", "^final_videos_test", "")
+    one = found.groupBy(stem.alias("stem")).agg(F.max_by("name", F.length("name")).alias("chosen"))
+    return one.select(F.regexp_extract("stem", r"(\d+)", 1).cast("int").alias("n_nationkey"), "chosen")
 
 
-@query("sink_wav", "SELECT n_nationkey, true AS done FROM nation")
+@query("sink_wav", "SELECT n_nationkey, n_nationkey % 2 = 0 AS done FROM nation")
 def sink_wav(s, sf):
-    """Jobs go through a converter outside; its return code is kept per file (no program here: 127)."""
-    jobs = read_table(s, sf, "nation").select("n_nationkey", F.concat(F.lit("/nowhere/"), F.col("n_nationkey").cast("string")).alias("src"))
-    done = io.mp4_to_wav(jobs.select("src", F.concat(F.lit("/tmp/parlance-wav/"), F.element_at(F.split("src", "/"), -1)).alias("dst")), "no-such-converter")
-    return jobs.join(done, "src").select("n_nationkey", (F.col("rc") != 0).alias("done"))
+    """Jobs go through a converter outside; a file is done if its return code is 0. The converter here fails on odd ones."""
+    jobs = read_table(s, sf, "nation").select("n_nationkey", F.format_string("in/%d.mp4", "n_nationkey").alias("src"))
+    dst = F.concat(F.lit(io.scratch(s, "wav-out").removeprefix("file:") + "/"), F.regexp_replace(F.element_at(F.split("src", "/"), -1), "mp4$", "wav"))
+    stub = ["sh", "-c", 'case "$3" in *[02468].mp4) exit 0;; *) exit 3;; esac', "stub"]
+    done = io.mp4_to_wav(jobs.select("src", dst.alias("dst")), stub)
+    return jobs.join(done, "src").select("n_nationkey", (F.col("rc") == 0).alias("done"))
 
 
 @query("scan_jsonl", _ANSWERS)
@@ -135,25 +161,30 @@ def scan_json_index(s, sf):
     return io.read_json_index(s, p, "n_nationkey int").select(F.col("key").alias("n_name"), "n_nationkey")
 
 
-@query("sink_json", "SELECT c_name, c_acctbal FROM customer")
+@query("sink_json", "SELECT n_name, n_nationkey FROM nation")
 def sink_json(s, sf):
-    """One record a line for results of any size; whole documents only for bounded ones."""
-    p = io.write_jsonl(read_table(s, sf, "customer").select("c_name", "c_acctbal"), io.scratch(s, "json"))
-    return io.read_jsonl(s, p, "c_name string, c_acctbal double")
+    """An indented document with the time in its name, for bounded results (larger ones are written as lines)."""
+    p = io.write_json(read_table(s, sf, "nation").select("n_name", "n_nationkey"), io.scratch(s, "json"), "nations")
+    return io.read_json_document(s, p, "n_name string, n_nationkey int")
 
 
-@query("scan_largest_artifact", "SELECT 'meld_size' || max(c_custkey) || '.json' AS path FROM customer")
+@query("scan_largest_artifact", "SELECT 'meld_size' || max(n_nationkey) || '.json' AS name FROM nation")
 def scan_largest_artifact(s, sf):
-    c = read_table(s, sf, "customer").select(F.concat(F.lit("MELD_size"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("path"))
-    return io.largest_artifact(c, F.col("path"), "meld_").select(F.lower("path").alias("path"))
+    """A listing of a folder; names whose size is no number count as 0, other prefixes do not count."""
+    n = read_table(s, sf, "nation").select(F.explode(F.array(*[F.format_string(f, "n_nationkey") for f in ("MELD_size%d.json", "MELD_size9%d_x.json", "IEMOCAP_size9%d.json", "MELD.size/%d.txt")])).alias("name"))
+    p = _files(s, n.withColumn("value", F.lit("{}")), "name", "artifacts")
+    return io.largest_artifact(io.listing(s, p, "*.json"), "path", "meld").select(F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"))
 
 
-@query("scan_hints", "SELECT iden, max(output) AS hint FROM speaker_chars WHERE annotator IN ('annotator-b', 'annotator-c') GROUP BY iden")
+_PREFIX = "reaction of potential listeners: "
+
+
+@query("scan_hints", f"""WITH a AS (SELECT iden, max(output) o FROM speaker_chars WHERE annotator = 'annotator-b' AND length(output) > 0 GROUP BY 1), b AS (SELECT iden, max(output) o FROM speaker_chars WHERE annotator = 'annotator-c' AND output IS NOT NULL GROUP BY 1)
+ SELECT iden, '{_PREFIX}' || coalesce(a.o, b.o) AS hint FROM a FULL JOIN b USING (iden)""")
 def scan_hints(s, sf):
+    """Hints of two models: the first wins where it says something."""
     x = read_table(s, sf, "speaker_chars")
-    a = x.filter(F.col("annotator") == "annotator-b").groupBy("iden").agg(F.max("output").alias("a"))
-    b = x.filter(F.col("annotator") == "annotator-c").groupBy("iden").agg(F.max("output").alias("b"))
-    return a.join(b, "iden", "full_outer").select("iden", F.greatest("a", "b").alias("hint"))
+    return io.merge_hints(x.filter(F.col("annotator") == "annotator-b"), x.filter(F.col("annotator") == "annotator-c"), "iden", "output", _PREFIX)
 
 
 @query("vector_open", "SELECT count(*) AS vectors FROM embeddings")
@@ -165,9 +196,16 @@ def vector_open(s, sf):
     return e.agg(F.count(F.lit(1)).alias("vectors"))
 
 
-@query("vector_exists", "SELECT true AS here")
+@query("vector_exists", "SELECT DISTINCT label, true AS here, false AS elsewhere FROM embeddings")
 def vector_exists(s, sf):
-    return s.createDataFrame([(not read_table(s, sf, "embeddings").isEmpty(),)], "here boolean")
+    """Collections are folders of a store; each label has one here, and none under another name."""
+    p = io.scratch(s, "store")
+    read_table(s, sf, "embeddings").select("vec_id", "label").write.partitionBy("label").parquet(p)
+    there = io.listing(s, p, "*.parquet").select(F.regexp_extract("path", r"/label=([^/]+)/", 1).alias("n")).distinct()
+    labels = read_table(s, sf, "embeddings").select("label").distinct()
+    named = labels.join(there, F.col("label").cast("string") == F.col("n"), "left").select("label", F.col("n").isNotNull().alias("here"))
+    other = there.select(F.col("n").alias("m"))
+    return named.join(other, F.concat(F.lit("other-"), F.col("label").cast("string")) == F.col("m"), "left").select("label", "here", F.col("m").isNotNull().alias("elsewhere"))
 
 
 @query("sink_csv", "SELECT doc_id, text FROM documents WHERE text <> ''")
@@ -184,20 +222,25 @@ def sink_parquet(s, sf):
     return s.read.parquet(p).select("doc_id", "text", F.unix_micros("captured_at").alias("at_us"))
 
 
-@query("sink_vectors", "SELECT doc_id, 64 AS dims FROM documents")
+@query("sink_vectors", "SELECT doc_id, 64 AS dims, doc_id % 10 = 0 AS fresh FROM documents")
 def sink_vectors(s, sf):
-    """Embed in Arrow batches, replace the collection."""
-    p = io.scratch(s, "vectors")
-    read_table(s, sf, "documents").select("doc_id", retrieval.hash_embedding(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(p)
-    return s.read.parquet(p).select("doc_id", F.size("embedding").alias("dims"))
+    """Embed in Arrow batches; vectors added again replace those of their ids (clear, then add)."""
+    d = read_table(s, sf, "documents").select("doc_id", retrieval.hash_embedding(F.col("text")).alias("embedding"))
+    old, p = io.scratch(s, "vectors"), io.scratch(s, "vectors")
+    d.withColumn("fresh", F.lit(False)).write.parquet(old)
+    io.replace_by_id(s.read.parquet(old), d.filter("doc_id % 10 = 0").withColumn("fresh", F.lit(True)), "doc_id", p)
+    return s.read.parquet(p).select("doc_id", F.size("embedding").alias("dims"), "fresh")
 
 
-@query("sink_cache", "SELECT vec_id, label FROM embeddings")
+@query("sink_cache", "WITH d AS (SELECT a.vec_id query_id, b.vec_id doc_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) x FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT query_id AS idx, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9), doc_id) - 1 AS rank, doc_id AS neighbour FROM d QUALIFY rank < 10")
 def sink_cache(s, sf):
-    """A cache is a table partitioned by collection."""
-    p = io.scratch(s, "cache")
-    read_table(s, sf, "embeddings").select("vec_id", "label", F.lit("flow_7").alias("collection")).write.partitionBy("collection").parquet(p)
-    return s.read.parquet(p).filter(F.col("collection") == "flow_7").select("vec_id", "label")
+    """The neighbours of every asked vector as rows (idx, rank, neighbour) of a table partitioned by collection; vectors
+    that are in the cache are not searched again."""
+    e = read_table(s, sf, "embeddings")
+    asked, p = e.filter("vec_id % 20 = 0"), io.scratch(s, "cache")
+    for part in (asked.filter("vec_id % 40 = 0"), asked):
+        retrieval.extend_cache(s, p, "flow_7", part, e, "vec_id", "embedding", 10)
+    return s.read.parquet(p).filter(F.col("collection") == "flow_7").select("idx", "rank", "neighbour")
 
 
 @query("sink_skip_if_exists", "SELECT count(*) AS n FROM region")
@@ -209,24 +252,31 @@ def sink_skip_if_exists(s, sf):
     return s.read.parquet(p).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_error_if_exists", "SELECT true AS refused")
+@query("sink_error_if_exists", "SELECT r_regionkey, 1 AS copies FROM region")
 def sink_error_if_exists(s, sf):
+    """The second write is refused, and what was there stays as it was."""
+    from pyspark.errors import AnalysisException
+
     p = io.scratch(s, "error")
-    r = read_table(s, sf, "region")
+    r = read_table(s, sf, "region").select("r_regionkey")
     r.write.parquet(p)
     try:
         r.write.mode("errorifexists").parquet(p)
-        refused = False
-    except Exception:  # noqa: BLE001
-        refused = True
-    return s.createDataFrame([(refused,)], "refused boolean")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+    else:
+        raise AssertionError("a folder that exists was written again")
+    return s.read.parquet(p).groupBy("r_regionkey").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
-@query("scan_checkpoints", "SELECT 'checkpoint-' || max(o_orderkey) AS newest FROM orders")
+@query("scan_checkpoints", "SELECT 'run-' || n_regionkey AS run, 'checkpoint-' || max(n_nationkey) AS newest FROM nation GROUP BY n_regionkey")
 def scan_checkpoints(s, sf):
-    """Newest of a listing by time, then name."""
-    o = read_table(s, sf, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").alias("modified"))
-    return o.distinct().agg(F.max_by("path", F.struct("modified", "path")).alias("newest"))
+    """Folders of checkpoints found in a listing, the last of each run by its number."""
+    n = read_table(s, sf, "nation").select(F.format_string("run-%d/checkpoint-%d/adapter.bin", "n_regionkey", "n_nationkey").alias("name"), F.lit("x").alias("value"))
+    more = n.withColumn("name", F.regexp_replace("name", "checkpoint-", "final_model-"))
+    found = io.listing(s, _files(s, n.unionByName(more), "name", "runs")).select(F.regexp_extract("path", "/(run-[^/]+)/", 1).alias("run"), F.regexp_extract("path", "/(checkpoint-[^/]+)/[^/]+$", 1).alias("c")).filter("c <> ''")
+    return found.groupBy("run").agg(F.max_by("c", F.regexp_extract("c", r"(\d+)$", 1).cast("int")).alias("newest"))
 
 
 @query("artifact_path", "SELECT 'db=flow_window=7_k=' || r_regionkey AS name FROM region")
