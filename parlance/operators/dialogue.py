@@ -31,6 +31,22 @@ def rank_distinct(keys: DataFrame, order: list[Column], out: str) -> DataFrame:
     return s.join(F.broadcast(n), F.col("__p") == F.col("__q")).withColumn(out, F.col("__before") + F.col("__m") - F.col("__m0")).drop("__p", "__m", "__q", "__m0", "__before")
 
 
+def running(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Running sums over a whole table in a unique order, the row itself included, without a window in one task.
+
+    Rows are sorted by range; a sum is that of earlier partitions plus the one within the row's own.
+    """
+    from parlance.runtime import cut_lineage
+
+    s = cut_lineage(df.select("*", *[c.alias(f"__v_{k}") for k, c in values.items()]).orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
+    first = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sums = s.groupBy("__p").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in values])
+    before = sums.select(F.col("__p").alias("__q"), *[F.coalesce(F.sum(f"__s_{k}").over(first), F.lit(0)).alias(f"__b_{k}") for k in values])
+    own = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    j = s.join(before, F.col("__p") == F.col("__q"))
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.sum(f"__v_{k}").over(own) + F.col(f"__b_{k}")).alias(k) for k in values])
+
+
 def factorize(df: DataFrame, keys: list[str], order: Column, out: str = "group_idx") -> DataFrame:
     """Number groups by first appearance, 0-based."""
     first = df.groupBy(*keys).agg(F.min(order).alias("__first"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import filling, records, relational, scalars, storage, streams, windows
+from parlance.plans import filling, prompting, records, relational, scalars, storage, streams, windows
 from parlance.plans.base import QUERIES, SQL
 
-_LOADED = (relational, scalars, storage, streams, windows)
+_LOADED = (prompting, relational, scalars, storage, streams, windows)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -180,16 +180,18 @@ def join_demo_range(s, sf):
     return g.select("idx", F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("demo"))
 
 
-@query("win_batch_id", T + "SELECT dialog_id, row_id, (row_number() OVER (PARTITION BY dialog_id ORDER BY turn_idx) - 1) // 16 AS batch FROM t")
+@query("win_batch_id", T + "SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 16 AS batch FROM t")
 def win_batch_id(s, sf):
-    n = F.row_number().over(Window.partitionBy("dialog_id").orderBy("turn_idx")) - 1
-    return turns(s, sf).select("dialog_id", "row_id", F.floor(n / 16).cast("long").alias("batch"))
+    """Batches of a fixed size over the whole table, in the order of rows."""
+    n = D.running(turns(s, sf).select("row_id"), [F.col("row_id")], {"n": F.lit(1)})
+    return n.select("row_id", F.floor((F.col("n") - 1) / 16).cast("long").alias("batch"))
 
 
-@query("win_running_accuracy", T + "SELECT row_id, round(avg((label = 'neutral')::INT::DOUBLE) OVER (PARTITION BY dialog_id ORDER BY turn_idx ROWS UNBOUNDED PRECEDING), 6) AS so_far FROM t")
+@query("win_running_accuracy", T + "SELECT row_id, round(avg((label = 'neutral')::INT::DOUBLE) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING), 6) AS so_far FROM t")
 def win_running_accuracy(s, sf):
-    w = Window.partitionBy("dialog_id").orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return turns(s, sf).select("row_id", F.round(F.avg((F.col("label") == "neutral").cast("double")).over(w), 6).alias("so_far"))
+    """Over all rows so far, in the order of rows."""
+    r = D.running(turns(s, sf).select("row_id", "label"), [F.col("row_id")], {"n": F.lit(1), "hits": (F.col("label") == "neutral").cast("int")})
+    return r.select("row_id", F.round(F.col("hits") / F.col("n"), 6).alias("so_far"))
 
 
 @query("win_last_wins", "SELECT dialog_id, turn_idx, arg_max(row_id, row_id) AS last_row FROM utterance WHERE turn_idx IS NOT NULL GROUP BY 1, 2")
