@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,29 @@ def nearest(queries: DataFrame, docs: DataFrame, id_col: str, vec_col: str, k: i
     best per query, which are merged by rank. A task never holds more than two blocks (about ``block`` rows each).
     Null vectors take no part. Ties go to the smaller document id. The query itself is not left out.
     """
-    q = queries.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    d = docs.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    q, d = _vectors(queries, id_col, vec_col), _vectors(docs, id_col, vec_col)
     nq, nd = max(1, -(-q.count() // block)), max(1, -(-d.count() // block))
-    cut = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = q.withColumn("bq", cut(q, nq)).withColumn("bd", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
-    d = d.withColumn("bd", cut(d, nd)).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    q = q.withColumn("bq", _cut(F.lit(nq))).withColumn("bd", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    d = d.withColumn("bd", _cut(F.lit(nd))).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    best = q.groupBy("bq", "bd").cogroup(d.groupBy("bq", "bd")).applyInPandas(_best(k), "query_id long, doc_id long, distance double")
+    return _ranked(best, k)
+
+
+def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+
+def _cut(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
+
+
+def _ranked(best: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best documents of a block for every query of a block."""
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -48,9 +66,63 @@ def nearest(queries: DataFrame, docs: DataFrame, id_col: str, vec_col: str, k: i
             out.append(pd.DataFrame({"query_id": a["id"].to_numpy()[s + rows], "doc_id": ids[near.ravel()], "distance": exact}))
         return pd.concat(out)
 
-    best = q.groupBy("bq", "bd").cogroup(d.groupBy("bq", "bd")).applyInPandas(pair, "query_id long, doc_id long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pair
+
+
+@dataclass
+class Index:
+    """An inverted file: centres of cells and every document with its cell."""
+
+    centres: np.ndarray
+    docs: DataFrame
+
+
+def build_index(docs: DataFrame, id_col: str, vec_col: str, cells: int | None = None, sample: int = 20_000, rounds: int = 8) -> Index:
+    """Cells are fitted by k-means on at most ``sample`` documents, the first by hash; all documents are put into cells.
+
+    ``cells``: by default one per BLOCK / 16 documents, at least 8 and at most 4,096, and no more than there are documents
+    in the sample. Null vectors take no part.
+    """
+    d = _vectors(docs, id_col, vec_col)
+    n = d.count()
+    drawn = d.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+    x = np.array([r["v"] for r in drawn], "float64") if drawn else np.zeros((1, 1))
+    cells = min(len(x), cells or min(4_096, max(8, n * 16 // BLOCK)))
+    centres = x[:: max(1, len(x) // cells)][:cells].copy()
+    for _ in range(rounds):
+        own = _closest(x, centres, 1)[:, 0]
+        size = np.bincount(own, minlength=len(centres))
+        for j in np.flatnonzero(size):
+            centres[j] = x[own == j].mean(0)
+
+    return Index(centres, d.withColumn("cell", _cells(centres, 1)[0]))
+
+
+def _closest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    dist = -2 * x @ centres.T + (centres**2).sum(1)[None, :]
+    return np.argsort(dist, axis=1, kind="stable")[:, :k]
+
+
+def _cells(centres: np.ndarray, k: int) -> Column:
+    @F.pandas_udf("array<int>")
+    def cells(s: pd.Series) -> pd.Series:
+        return pd.Series(_closest(np.stack(s.to_numpy()), centres, k).tolist()) if len(s) else pd.Series([], dtype=object)
+
+    return cells("v")
+
+
+def nearest_indexed(queries: DataFrame, index: Index, id_col: str, vec_col: str, k: int, probes: int, block: int = BLOCK) -> DataFrame:
+    """As ``nearest``, within the ``probes`` cells whose centres are nearest to a query: fast, not exact.
+
+    A cell of more than ``block`` documents is split over tasks, to each of which its queries go.
+    """
+    d = index.docs
+    sizes = d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    d = d.join(sizes, "cell").withColumn("part", _cut(F.col("parts"))).drop("parts")
+    q = _vectors(queries, id_col, vec_col).withColumn("cell", F.explode(_cells(index.centres, probes)))
+    q = q.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    best = q.groupBy("cell", "part").cogroup(d.groupBy("cell", "part")).applyInPandas(_best(k), "query_id long, doc_id long, distance double")
+    return _ranked(best, k)
 
 
 def extend_cache(spark: SparkSession, path: str, collection: str, queries: DataFrame, docs: DataFrame, id_col: str, vec_col: str, k: int) -> None:

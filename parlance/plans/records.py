@@ -37,6 +37,17 @@ def join_knn(s, sf):
     return _ranked(s, sf).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+@query("knn_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def knn_recall(s, sf):
+    """The index against the exact search: every vector whose id is divisible by 20, ten neighbours; enough is 0.9."""
+    e = read_table(s, sf, "embeddings")
+    asked = e.filter(F.col("vec_id") % 20 == 0)
+    exact = R.nearest(asked, e, "vec_id", "embedding", 10).select("query_id", "doc_id")
+    index = R.build_index(e, "vec_id", "embedding")
+    found = R.nearest_indexed(asked, index, "vec_id", "embedding", 10, -(-len(index.centres) * 3 // 4)).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "doc_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query("vec_distance", "WITH p AS (SELECT vec_id, embedding a, lead(embedding) OVER (ORDER BY vec_id) b FROM embeddings) SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS distance FROM p WHERE b IS NOT NULL")
 def vec_distance(s, sf):
     """Distance to the vector of the next id, as an equi-join."""

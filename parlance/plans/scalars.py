@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import labels as L
 from parlance.functions import text as X
+from parlance.functions import vocabulary as V
+from parlance.operators import dialogue as D
 from parlance.operators import external
 from parlance.operators.impute import finite
 from parlance.plans.base import T, query, turns
@@ -297,28 +300,43 @@ def json_read(s, sf):
 _TOK = "len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
 
 
-@query("tok_encode_mask", f"SELECT s.ann_id, least(64, {_TOK.format(c='p.inputs.history')} + {_TOK.format(c='s.output')})::INT AS ids, least({_TOK.format(c='p.inputs.history')}, 64)::INT AS masked FROM speaker_chars s JOIN parallel_character_extraction p USING (iden)")
+@query("tok_encode_mask", f"SELECT s.ann_id, least(64, {_TOK.format(c='p.inputs.history')} + {_TOK.format(c='s.output')} + 1)::INT AS ids, least({_TOK.format(c='p.inputs.history')}, 64)::INT AS masked, {_TOK.format(c='p.inputs.history')} + {_TOK.format(c='s.output')} < 64 AS ended FROM speaker_chars s JOIN parallel_character_extraction p USING (iden)")
 def tok_encode_mask(s, sf, longest=64):
+    """Prompt, answer and end, cut at the longest length; the prompt's part of the labels is masked. Words stand for tokens
+    here, so that SQL can follow; ``tok_encode_vocabulary`` takes the vocabulary."""
     p = read_table(s, sf, "parallel_character_extraction").select("iden", external.token_ids(F.col("inputs.history")).alias("prompt"))
-    j = read_table(s, sf, "speaker_chars").join(p, "iden").withColumn("full", F.concat("prompt", external.token_ids(F.col("output"))))
+    j = read_table(s, sf, "speaker_chars").join(p, "iden").withColumn("full", F.concat("prompt", external.token_ids(F.col("output")), F.array(F.lit(-1))))
     m = j.select("ann_id", external.masked(F.col("prompt"), F.col("full"), longest).alias("m"))
-    return m.select("ann_id", F.size("m.input_ids").alias("ids"), F.size(F.filter("m.labels", lambda x: x == -100)).alias("masked"))
+    return m.select("ann_id", F.size("m.input_ids").alias("ids"), F.size(F.filter("m.labels", lambda x: x == -100)).alias("masked"), (F.element_at("m.input_ids", -1) == -1).alias("ended"))
 
 
-@query("tok_dynamic_pad", T + f", k AS (SELECT dialog_id, row_id, {_TOK.format(c='utterance')} n FROM t) SELECT row_id, (max(n) OVER (PARTITION BY dialog_id) - n)::INT AS pads FROM k")
+def _encoded(s, sf):
+    p = read_table(s, sf, "parallel_character_extraction").select("iden", V.encode(F.col("inputs.history")).alias("prompt"))
+    j = read_table(s, sf, "speaker_chars").select("ann_id", "iden", "output", V.encode(F.col("output")).alias("answer")).join(p, "iden")
+    return j.withColumn("full", F.concat("prompt", "answer", F.array(F.lit(V.end_id()))))
+
+
+@query("tok_encode_vocabulary")
+def tok_encode_vocabulary(s, sf, longest=512):
+    """Token ids of prompt, answer and end by the vocabulary: ids, attention mask and labels."""
+    return _encoded(s, sf).select("ann_id", external.masked(F.col("prompt"), F.col("full"), longest).alias("m")).select("ann_id", "m.*")
+
+
+@query("tok_dynamic_pad", T + f", k AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 16 AS batch, {_TOK.format(c='utterance')} n FROM t) SELECT row_id, batch, (max(n) OVER (PARTITION BY batch) - n)::INT AS pads FROM k")
 def tok_dynamic_pad(s, sf):
-    """Padded to the longest text of the batch, a batch being a dialogue."""
-    t = turns(s, sf).select("dialog_id", "row_id", external.token_ids(F.col("utterance")).alias("ids"))
-    width = t.groupBy("dialog_id").agg(F.max(F.size("ids")).alias("w"))
-    p = t.join(width, "dialog_id").withColumn("padded", external.padded(F.col("ids"), F.col("w"), -1, left=True))
-    return p.select("row_id", F.size(F.filter("padded", lambda x: x == -1)).alias("pads"))
+    """Padded to the longest text of a batch of 16."""
+    t = D.running(turns(s, sf).select("row_id", external.token_ids(F.col("utterance")).alias("ids")), [F.col("row_id")], {"n": F.lit(1)})
+    t = t.withColumn("batch", F.floor((F.col("n") - 1) / 16).cast("long"))
+    width = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    p = t.withColumn("w", width).withColumn("padded", external.padded(F.col("ids"), F.col("w"), -1, left=True))
+    return p.select("row_id", "batch", F.size(F.filter("padded", lambda x: x == -1)).alias("pads"))
 
 
-@query("tok_decode", "SELECT ann_id, regexp_replace(output, '^\\s+|\\s+$', '', 'g') AS text FROM speaker_chars")
+@query("tok_decode", "SELECT ann_id, regexp_replace(coalesce(s.output, ''), '^\\s+|\\s+$', '', 'g') AS text FROM speaker_chars s JOIN parallel_character_extraction p USING (iden)")
 def tok_decode(s, sf):
-    """The generated part after the prompt, stripped; decoding of ids is the tokenizer's."""
-    full = F.concat(F.lit("<prompt>"), "output")
-    return read_table(s, sf, "speaker_chars").select("ann_id", X.strip(F.substr(full, F.lit(len("<prompt>") + 1))).alias("text"))
+    """The ids behind the prompt as text, without the end, stripped."""
+    new = F.slice("full", F.size("prompt") + 1, F.greatest(F.size("full"), F.lit(1)))
+    return _encoded(s, sf).select("ann_id", X.strip(V.decode(new)).alias("text"))
 
 
 @query("external_generate", "SELECT iden, CASE WHEN regexp_matches(inputs.utterance, '\\S') THEN 1 ELSE 0 END AS answered FROM parallel_character_extraction")
