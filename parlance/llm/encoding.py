@@ -26,12 +26,15 @@ STEP, SWAP, UNESCAPE, GAIN, STATES, DEEPEST = 0.2, 1.5, 0.1, 0.1, 400, 4
 NAT = 0.3
 #: Texts that one task searches.
 TEXTS_A_TASK = 500
+#: Prices of places and words that a worker keeps.
+KNOWN = 200_000
 #: Code points up to which context counts are kept; the table has at most LAST^2 rows.
 LAST = 0x530
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 _TOKEN, _WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[^ \t\r\n]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _TABLES: dict[str, tuple[dict[str, int], dict[int, str]]] = {}
+_SETS: dict[str, tuple[frozenset, frozenset, frozenset]] = {}
 
 
 def _table(enc: str) -> tuple[dict[str, int], dict[int, str]]:
@@ -51,6 +54,14 @@ def _table(enc: str) -> tuple[dict[str, int], dict[int, str]]:
     return _TABLES[enc]
 
 
+def _bytes_of(enc: str) -> tuple[frozenset, frozenset, frozenset]:
+    """Characters that stand for lead bytes of UTF-8, for those that follow, and for any byte above ASCII."""
+    if enc not in _SETS:
+        back = _table(enc)[0]
+        _SETS[enc] = tuple(frozenset(c for c, b in back.items() if lo <= b <= hi and c > "\x7f") for lo, hi in ((0xC2, 0xF4), (0x80, 0xBF), (0x80, 0xFF)))
+    return _SETS[enc]
+
+
 def as_utf8(text: str, enc: str) -> str:
     """Every well-formed UTF-8 sequence that a run of characters spells in ``enc`` is decoded, the rest stays."""
     back, _ = _table(enc)
@@ -160,50 +171,67 @@ class Plausibility:
 
     def __init__(self, contexts: dict[str, int]):
         self.contexts = contexts
+        self.places: dict[str, float] = {}
+        self.tokens: dict[str, tuple[frozenset, float]] = {}
 
     def cost(self, text: str) -> float:
         if text.isascii():
             return 0.0
-        total = 0.0
-        for m in _NON_ASCII.finditer(text):
+        total, places = 0.0, self.places
+        padded = f" {text} "
+        for m in _NON_ASCII.finditer(padded):
             for i in range(m.start(), m.end()):
-                c = text[i]
-                cat, script, price = kind(c)
-                a, b = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
-                ka, kb = kind(a)[0][0], kind(b)[0][0]
-                total += price
-                if c in _LEADS and ord(b) > 0x7F and kb != "L" and b not in "’”»…":
-                    total += 1.5
-                if cat[0] == "L":
-                    if cat == "Lu" and a.islower() and ka == "L":
-                        total += 2.0
-                elif cat[0] == "M" and script not in ("-", kind(a)[1]):  # a mark of another script than its letter
-                    total += 3.0
-                elif cat != "Zs" and c not in "’'·" and cat[0] != "M":
-                    # marks and signs within a word, or glued to the next one without a blank
-                    if ka == "L" and kb == "L":
-                        total += 2.0
-                    elif (ka == "L") != (kb == "L") and cat[0] in "SN" and c not in "€£°½¼¾":
-                        total += 1.0
-                    elif kb == "L" and c in "¿¡" and ka not in "ZPC":
-                        total += 1.0
-                seen = self.contexts.get(_fold(a) + c, 0) + self.contexts.get(c + _fold(b), 0) if ord(c) < LAST else 50
-                total += max(0.0, 1.2 - NAT * math.log1p(seen))
-        scripts = set()
-        for m in _TOKEN.finditer(text):
-            w = m[0]
+                near = padded[i - 1 : i + 2]
+                got = places.get(near)
+                if got is None:
+                    got = self._place(*near)
+                    if len(places) < KNOWN:
+                        places[near] = got
+                total += got
+        scripts: set[str] = set()
+        for w in _TOKEN.findall(text):
             if w.isascii():
                 scripts.add("L")
                 continue
-            own = {kind(c)[1] for c in w}
-            scripts |= own
-            if len(own) > 1:
-                total += 3.0 * (len(own) - 1)
-            odd = sum(1 for c in w if 0xC0 <= ord(c) < 0x250)
-            if odd > 2 and odd > 0.6 * len(w):
-                total += 1.0 * odd
+            found = self.tokens.get(w)
+            if found is None:
+                found = self._token(w)
+                if len(self.tokens) < KNOWN:
+                    self.tokens[w] = found
+            scripts |= found[0]
+            total += found[1]
         return total + 0.8 * max(0, len(scripts - {"-"}) - 1)
 
+    def _place(self, a: str, c: str, b: str) -> float:
+        """The price of a character between two others."""
+        cat, script, total = kind(c)
+        ka, kb = kind(a)[0][0], kind(b)[0][0]
+        if c in _LEADS and ord(b) > 0x7F and kb != "L" and b not in "’”»…":
+            total += 1.5
+        if cat[0] == "L":
+            if cat == "Lu" and a.islower() and ka == "L":
+                total += 2.0
+        elif cat[0] == "M" and script not in ("-", kind(a)[1]):  # a mark of another script than its letter
+            total += 3.0
+        elif cat != "Zs" and c not in "’'·" and cat[0] != "M":
+            # marks and signs within a word, or glued to the next one without a blank
+            if ka == "L" and kb == "L":
+                total += 2.0
+            elif (ka == "L") != (kb == "L") and cat[0] in "SN" and c not in "€£°½¼¾":
+                total += 1.0
+            elif kb == "L" and c in "¿¡" and ka not in "ZPC":
+                total += 1.0
+        seen = self.contexts.get(_fold(a) + c, 0) + self.contexts.get(c + _fold(b), 0) if ord(c) < LAST else 50
+        return total + max(0.0, 1.2 - NAT * math.log1p(seen))
+
+    @staticmethod
+    def _token(w: str) -> tuple[frozenset, float]:
+        """The scripts of a word, and the price of mixing them and of too many odd letters."""
+        own = frozenset(kind(c)[1] for c in w)
+        total = 3.0 * (len(own) - 1)
+        odd = sum(1 for c in w if 0xC0 <= ord(c) < 0x250)
+        return own, total + (1.0 * odd if odd > 2 and odd > 0.6 * len(w) else 0.0)
+
 
 def _fold(c: str) -> str:
     """A neighbour for context counts: letters in lower case, all else by class."""
@@ -251,8 +279,10 @@ def _search(text: str, model: Plausibility) -> tuple[str, bool, bool, bool]:
         ways: list[tuple[Callable[[], str], bool, float]] = [(lambda: unescape(now), decoded, UNESCAPE)]
         if not now.isascii():
             ways.append((lambda: as_windows(now), True, STEP))
-            ways += [(partial(as_utf8, now, e), True, STEP) for e in MISREAD]
-            ways += [(partial(as_other, now, e, m), True, SWAP) for e, m in SWAPPED]
+            # a way that has no character to work on changes nothing
+            high = {c for c in now if c > "\x7f"}
+            ways += [(partial(as_utf8, now, e), True, STEP) for e in MISREAD if not (_bytes_of(e)[0].isdisjoint(high) or _bytes_of(e)[1].isdisjoint(high))]
+            ways += [(partial(as_other, now, e, m), True, SWAP) for e, m in SWAPPED if not _bytes_of(e)[2].isdisjoint(high)]
         for make, dec, price in ways:
             # no text costs less than 0: a way dearer than the best text cannot lead to a better one
             if spent + price >= best[0]:
