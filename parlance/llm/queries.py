@@ -96,6 +96,14 @@ def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _sample(spark, sf).rows
 
 
+def p7_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the sample of each split holds: rows, and rows of a label that the split's sample should not hold (none)."""
+    s = _sample(spark, sf)
+    listed = read_table(spark, sf, "sample_target").select(plain(F.col("split")).alias("split"), plain(F.col("mapped_emotion")).alias("label"), F.lit(1).alias("listed"))
+    rows = s.rows.select(plain(F.col("split")).alias("split"), plain(F.col("mapped_emotion")).alias("label"), "row_id").join(listed, ["split", "label"], "left")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_id").alias("different"), F.count_if(F.col("listed").isNull()).alias("unlisted"))
+
+
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return _sample(spark, sf).report.select("split", "mapped_emotion", "available", F.round("wanted", 6).alias("wanted"), "short")
 
@@ -119,6 +127,18 @@ def p8_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _packing(spark, sf).pieces
 
 
+def p8_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the windows hold: documents with text, documents in one piece, cut ones; windows over capacity or with a gap
+    or an overlap, pieces missing or out of place, and windows with room for another window's content (none of each)."""
+    spec = bounded_rows(read_table(spark, sf, "container_spec"), 1, "the container specification")[0]["capacity_tokens"]
+    p = _packing(spark, sf).pieces.filter("container is not null")
+    docs = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.max("piece") + 1).alias("last"), F.sum("length").alias("size"), F.max(F.col("start") + F.col("length")).alias("end"))
+    boxes = p.groupBy("container").agg(F.sum("length").alias("fill"), F.max(F.col("offset") + F.col("length")).alias("top"), F.count_distinct("offset").alias("places"), F.count(F.lit(1)).alias("n"))
+    d = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") == 1).alias("whole"), F.count_if(F.col("n") > 1).alias("cut"), F.count_if((F.col("n") != F.col("last")) | (F.col("size") != F.col("end"))).alias("torn"))
+    b = boxes.agg(F.count_if((F.col("top") > spec) | (F.col("top") != F.col("fill")) | (F.col("places") != F.col("n"))).alias("bad_windows"), (F.count_if(F.col("fill") * 2 <= spec) > 1).alias("two_half_empty"))
+    return d.crossJoin(b)  # one row each
+
+
 def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
     return mixing.mix(_sizes(spark, sf), read_table(spark, sf, "mix_target"), "doc_id", "source", "n_tokens")
 
@@ -135,6 +155,18 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report
 
 
+def p9_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source: whether a document is used too often, unequally (by more than once), or of another source; and whether
+    a source that can reach its share is short of it by more than a hundredth."""
+    m = _mix(spark, sf)
+    limits = read_table(spark, sf, "mix_target").select("source", "max_uses")
+    uses = m.rows.groupBy(plain(F.col("source")).alias("k"), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use_no").alias("d"))
+    per = uses.groupBy("k").agg(F.max("n").alias("most"), F.max(F.col("n") != F.col("d")).alias("twice"))
+    r = m.report.select("source", "unreachable", (F.col("used_tokens") < F.col("budget_tokens") * 0.99).alias("short"))
+    out = r.join(limits, "source").join(per, plain(F.col("source")) == F.col("k"), "left")
+    return out.select("source", "unreachable", (F.coalesce("most", F.lit(0)) <= F.col("max_uses")).alias("within"), F.coalesce("twice", F.lit(False)).alias("twice"), "short")
+
+
 def _cut(spark: SparkSession, sf: str) -> endings.Truncation:
     return endings.detect(read_table(spark, sf, "documents"), "doc_id", "text", "lang", "source")
 
@@ -148,7 +180,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pairs, p2_found, p2_restored, p3_found, p3_turns, p5_found, p5_report, p6_found, p6_conversations, p7_found, p7_sample, p7_report, p8_found, p8_windows, p9_found, p9_mix, p9_report, p10_found, p10_rates]
+    found = [p1_found, p1_pairs, p2_found, p2_restored, p3_found, p3_turns, p5_found, p5_report, p6_found, p6_conversations, p7_found, p7_sample, p7_totals, p7_report, p8_found, p8_windows, p8_totals, p9_found, p9_mix, p9_totals, p9_report, p10_found, p10_rates]
     return {f.__name__: f for f in found}
 
 
@@ -175,6 +207,19 @@ c AS (SELECT d, bool_or(t IS NULL OR n > 1 OR mute) OR count(t) <> max(t) + 1 br
 v AS (SELECT d, bool_or(says) says, count(DISTINCT CASE WHEN says THEN w END) voices FROM s GROUP BY d)
 SELECT d AS dialog_id, CASE WHEN NOT says THEN 'empty' WHEN broken THEN 'broken' ELSE 'no_reply' END AS defect
 FROM c JOIN v USING (d) WHERE NOT says OR broken OR voices < 2""",
+        "p6_conversations": f"""
+WITH s AS (SELECT dialog_id d, turn_idx t, nullif(trim(speaker, {_BLANK}), '') who, lower(nullif(trim(speaker, {_BLANK}), '')) w, trim(lower(utterance), {_BLANK}) x, utterance, row_id, loaded_at, {_SAYS} says FROM utterance),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY d, t, w, x ORDER BY loaded_at, row_id) = 1),
+t AS (SELECT d, t, count(*) n, bool_or(says AND w IS NULL) mute FROM m GROUP BY d, t),
+c AS (SELECT d FROM t GROUP BY d HAVING NOT bool_or(t IS NULL OR n > 1 OR mute) AND count(t) = max(t) + 1),
+v AS (SELECT d FROM s GROUP BY d HAVING bool_or(says) AND count(DISTINCT CASE WHEN says THEN w END) > 1),
+a AS (SELECT x.d FROM m x JOIN m y ON y.d = x.d AND y.t = x.t - 1 AND y.w = x.w GROUP BY 1)
+SELECT d AS dialog_id, t AS position, t AS turn_idx, who AS speaker, utterance, row_id, d NOT IN (SELECT d FROM a) AS alternates FROM m WHERE d IN (SELECT d FROM c) AND d IN (SELECT d FROM v)""",
+        "p7_totals": _SAMPLE_SQL + "SELECT split, round(max(sample_frac) * sum(n))::BIGINT AS rows, round(max(sample_frac) * sum(n))::BIGINT AS different, 0::BIGINT AS unlisted FROM w GROUP BY split HAVING sum(n) > 0",
+        "p8_totals": "WITH d AS (SELECT length(text) > 4.7 * capacity_tokens AS cut FROM documents, container_spec WHERE text <> '') SELECT count(*) AS documents, count_if(NOT cut) AS whole, count_if(cut) AS cut, 0::BIGINT AS torn, 0::BIGINT AS bad_windows, false AS two_half_empty FROM d",
+        "p9_totals": f"""
+WITH d AS (SELECT trim(lower(source), {_BLANK}) s, sum(length(text)) n FROM documents WHERE trim(source, {_BLANK}) <> '' GROUP BY 1)
+SELECT m.source, m.target_weight * (SELECT sum(n) FROM d) > m.max_uses * coalesce(d.n, 0) AS unreachable, true AS within, false AS twice, false AS short FROM mix_target m LEFT JOIN d ON d.s = lower(m.source)""",
         "p7_found": _SAMPLE_SQL + "SELECT split, mapped_emotion FROM w WHERE n < wanted",
         "p7_report": _SAMPLE_SQL + "SELECT split, mapped_emotion, n AS available, round(wanted, 6) AS wanted, n < wanted AS short FROM w",
         "p8_found": "SELECT doc_id FROM documents, container_spec WHERE length(text) > 4.7 * capacity_tokens",

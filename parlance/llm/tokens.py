@@ -2,28 +2,11 @@
 
 from __future__ import annotations
 
-import base64
-import os
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VOCABULARY = os.environ.get("PARLANCE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: Fixed value: the published pre-tokenisation pattern of the byte-level BPE.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOADED: dict[str, object] = {}
-
-
-def encoder(vocabulary: str):
-    """The tokenizer, read once per Python worker."""
-    if vocabulary not in _LOADED:
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[vocabulary] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[vocabulary]
+from parlance.functions.vocabulary import VOCABULARY, encoder
 
 
 def count_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
