@@ -27,8 +27,7 @@ def rank_distinct(keys: DataFrame, order: list[Column], out: str) -> DataFrame:
     s = cut_lineage(keys.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     n = s.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__m0"))
     n = n.select(F.col("__p").alias("__q"), "__m0", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    # one row per partition: bounded by the number of partitions
-    return s.join(F.broadcast(n), F.col("__p") == F.col("__q")).withColumn(out, F.col("__before") + F.col("__m") - F.col("__m0")).drop("__p", "__m", "__q", "__m0", "__before")
+    return s.join(n, F.col("__p") == F.col("__q")).withColumn(out, F.col("__before") + F.col("__m") - F.col("__m0")).drop("__p", "__m", "__q", "__m0", "__before")
 
 
 def running(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:

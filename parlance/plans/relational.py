@@ -9,7 +9,7 @@ from parlance.functions import labels as L
 from parlance.operators import binning, metrics
 from parlance.operators.impute import finite
 from parlance.plans.base import SQL, T, query, turns
-from parlance.runtime import read_table
+from parlance.runtime import bounded_rows, read_table
 from parlance.sources.io import require_columns
 
 # --- projections and predicates
@@ -112,8 +112,8 @@ def assert_contiguous(s, sf):
 
 @query("assert_coverage", "SELECT (SELECT count(*) FROM parallel_character_extraction) AS prompts, count(DISTINCT iden) AS answered FROM speaker_chars")
 def assert_coverage(s, sf):
-    p = read_table(s, sf, "parallel_character_extraction").agg(F.count(F.lit(1)).alias("prompts"), F.lit(1).alias("one"))
-    return p.join(read_table(s, sf, "speaker_chars").agg(F.count_distinct("iden").alias("answered"), F.lit(1).alias("one")), "one").drop("one")  # one row each
+    p = read_table(s, sf, "parallel_character_extraction").agg(F.count(F.lit(1)).alias("prompts"))
+    return p.crossJoin(read_table(s, sf, "speaker_chars").agg(F.count_distinct("iden").alias("answered")))  # one row each
 
 
 @query("drop_struct_field", "SELECT iden, inputs.history || '|' || inputs.utterance || '|' || inputs.speaker_id AS kept FROM parallel_character_extraction")
@@ -204,8 +204,8 @@ def join_override_merge(s, sf):
 def join_cross_sweep(s, sf):
     """Two short lists of settings; their product is the sweep."""
     langs = read_table(s, sf, "documents").filter("lang is not null").select(F.trim(F.lower("lang")).alias("lang")).distinct()
-    every = langs.agg(F.collect_set("lang").alias("langs"), F.lit(1).alias("one"))  # one row
-    return read_table(s, sf, "region").withColumn("one", F.lit(1)).join(every, "one").select("r_name", F.explode("langs").alias("lang"))
+    few = s.createDataFrame([(r["lang"],) for r in bounded_rows(langs, 1_000, "the list of languages")], "lang string")
+    return read_table(s, sf, "region").select("r_name").crossJoin(few)
 
 
 @query("zip_columns", "SELECT iden, emo || '=' || split AS pair FROM parallel_character_extraction")
@@ -237,9 +237,9 @@ def agg_quantile_by_group(s, sf):
 
 @query("num_digitize", _BY + "SELECT row_id, CASE WHEN NOT isfinite(pitch_mean_hz) THEN NULL WHEN pitch_mean_hz < lo THEN 'low' WHEN pitch_mean_hz < hi THEN 'medium' WHEN pitch_mean_hz >= hi THEN 'high' END AS bin FROM utterance u JOIN q ON q.grp = CASE WHEN gender IN ('F', 'M') THEN gender ELSE 'ALL' END")
 def num_digitize(s, sf):
-    """Grouped cuts of the training rows, applied to all rows; at most three threshold rows are broadcast."""
+    """Grouped cuts of the training rows, applied to all rows; the three threshold rows are known to be small, so the planner broadcasts them."""
     u = read_table(s, sf, "utterance").withColumn("k", F.when(F.col("gender").isin("F", "M"), F.col("gender")).otherwise("ALL"))
-    j = u.join(F.broadcast(_pitch_cuts(s, sf)), F.col("k") == F.col("grp"))
+    j = u.join(_pitch_cuts(s, sf), F.col("k") == F.col("grp"))
     return j.select("row_id", binning.digitize(F.col("pitch_mean_hz"), F.col("q"), binning.NAMES[3]).alias("bin"))
 
 

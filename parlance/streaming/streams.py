@@ -51,8 +51,8 @@ def history_stream(turns: DataFrame, dialog: str, turn: str, line: Column, k: in
 
 
 def bin_stream(stream: DataFrame, value: str, group: Column, cuts: DataFrame, names: list[str], out: str) -> DataFrame:
-    """Levels by thresholds per group; ``cuts(grp, q)`` is a handful of rows fitted in batch."""
-    j = stream.withColumn("__k", group).join(F.broadcast(cuts), F.col("__k") == F.col("grp"), "left")
+    """Levels by thresholds per group; ``cuts(grp, q)`` is a handful of rows fitted in batch, of known size."""
+    j = stream.withColumn("__k", group).join(cuts, F.col("__k") == F.col("grp"), "left")
     return j.withColumn(out, binning.digitize(F.col(value), F.col("q"), names)).drop("__k", "grp", "q")
 
 
