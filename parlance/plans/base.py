@@ -28,13 +28,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    """The turns of all dialogues: one row per dialogue and turn number, with a usable speaker.
+    """The turns of all dialogues: one row per dialogue and turn number; rows without a turn number have no place.
 
     Redelivered rows give way to the smallest row id; speakers and labels are taken spelling aside; a null text is empty,
-    a null label unknown.
+    a null label or a null or blank speaker unknown.
     """
-    u = read_table(spark, sf, "utterance").withColumn("speaker", F.lower(F.trim("speaker")))
-    u = u.filter(F.col("turn_idx").isNotNull() & (F.col("speaker") != ""))
+    u = read_table(spark, sf, "utterance").withColumn("speaker", F.coalesce(F.nullif(F.lower(F.trim("speaker")), F.lit("")), F.lit("unknown")))
+    u = u.filter(F.col("turn_idx").isNotNull())
     cols = ["row_id", "source", "split", "dialog_idx", "speaker", "gender", "emotion", "emotion_code", "erc_target", "utterance", "mapped_emotion", "turn_id", "session"]
     first = u.groupBy("dialog_id", "turn_idx").agg(F.min_by(F.struct(*cols), "row_id").alias("s")).select("dialog_id", "turn_idx", "s.*")
     return first.select(
@@ -45,9 +45,9 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The same table in SQL, to be put before a query.
-T = """WITH t AS (SELECT row_id, source, split, session, dialog_id, dialog_idx, turn_id, turn_idx, lower(trim(speaker)) AS speaker, gender, emotion, emotion_code, erc_target,
+T = """WITH t AS (SELECT row_id, source, split, session, dialog_id, dialog_idx, turn_id, turn_idx, coalesce(nullif(lower(trim(speaker)), ''), 'unknown') AS speaker, gender, emotion, emotion_code, erc_target,
  coalesce(utterance, '') AS utterance, coalesce(trim(lower(mapped_emotion)), 'unknown') AS label,
  CASE WHEN source = 'meld' THEN 'm' ELSE 'i' END || '_' || dialog_idx || '_' || turn_idx AS idx
- FROM utterance WHERE turn_idx IS NOT NULL AND lower(trim(speaker)) <> ''
+ FROM utterance WHERE turn_idx IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY dialog_id, turn_idx ORDER BY row_id) = 1)
 """

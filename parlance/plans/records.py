@@ -129,16 +129,8 @@ def str_demo_flow(s, sf):
     return turns(s, sf).select("idx", _plain_demo().alias("brief"), _detailed_demo().alias("detailed"))
 
 
-@query("str_demo_pack", T + ", g AS (SELECT dialog_id, list('Demonstration ' || (turn_idx + 1) || ':' || chr(10) || utterance ORDER BY turn_idx) a FROM t WHERE turn_idx < 3 GROUP BY dialog_id) SELECT dialog_id, array_to_string(a, chr(10) || chr(10)) AS packed FROM g")
+@query("str_demo_pack", T + r", g AS (SELECT dialog_id, list(utterance ORDER BY turn_idx) a FROM t GROUP BY dialog_id) SELECT dialog_id, CASE WHEN len(a) <= 1 THEN array_to_string(a, chr(10)) ELSE regexp_replace(array_to_string(list_transform(a, lambda x, i: 'Demonstration ' || i || ':' || chr(10) || x), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') END AS packed FROM g")
 def str_demo_pack(s, sf):
-    """Numbered blocks parted by a blank line."""
-    g = turns(s, sf).filter("turn_idx < 3").groupBy("dialog_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "utterance"))).alias("a"))
-    block = F.transform("a", lambda x: F.concat(F.lit("Demonstration "), (x["turn_idx"] + 1).cast("string"), F.lit(":\n"), x["utterance"]))
-    return g.select("dialog_id", F.array_join(block, "\n\n").alias("packed"))
-
-
-@query("str_demo_pack_all", T + r", g AS (SELECT dialog_id, list(utterance ORDER BY turn_idx) a FROM t GROUP BY dialog_id) SELECT dialog_id, CASE WHEN len(a) <= 1 THEN array_to_string(a, chr(10)) ELSE regexp_replace(array_to_string(list_transform(a, lambda x, i: 'Demonstration ' || i || ':' || chr(10) || x), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') END AS packed FROM g")
-def str_demo_pack_all(s, sf):
     """All turns of a dialogue, numbered in their order; the turn of a dialogue of one has no number."""
     g = turns(s, sf).groupBy("dialog_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "utterance"))).alias("a"))
     return g.select("dialog_id", X.pack(F.transform("a", lambda x: x["utterance"]), F.size("a")).alias("packed"))
@@ -156,10 +148,9 @@ def str_template(s, sf):
 
 _PROMPT = _KNN.format(cond="true").rstrip() + "," + T[4:].rstrip() + """,
 n AS (SELECT count(*) v FROM embeddings), x AS (SELECT t.*, row_id % v AS vec FROM t, n),
-e AS (SELECT vec, min(row_id) row_id FROM x WHERE split = 'train' AND label <> 'unknown' GROUP BY vec),
-y AS (SELECT e.vec, x.idx, x.dialog_id FROM e JOIN x ON x.row_id = e.row_id),
-c AS (SELECT x.row_id, y.idx demo_idx, y.dialog_id, r.rank, row_number() OVER (PARTITION BY x.row_id, y.dialog_id ORDER BY r.rank) one FROM x JOIN r ON r.query_id = x.vec JOIN y ON y.vec = r.doc_id WHERE y.dialog_id <> x.dialog_id AND x.erc_target),
-f AS (SELECT row_id, demo_idx, row_number() OVER (PARTITION BY row_id ORDER BY rank) AS no FROM c WHERE one = 1 QUALIFY no <= 2),
+y AS (SELECT vec, idx, dialog_id, row_id demo_row FROM x WHERE split = 'train' AND label <> 'unknown'),
+c AS (SELECT x.row_id, y.idx demo_idx, y.dialog_id, r.rank, y.demo_row, row_number() OVER (PARTITION BY x.row_id, y.dialog_id ORDER BY r.rank, y.demo_row) one FROM x JOIN r ON r.query_id = x.vec JOIN y ON y.vec = r.doc_id WHERE y.dialog_id <> x.dialog_id AND x.erc_target),
+f AS (SELECT row_id, demo_idx, row_number() OVER (PARTITION BY row_id ORDER BY rank, demo_row) AS no FROM c WHERE one = 1 QUALIFY no <= 2),
 m AS (SELECT idx, '<' || chr(10) || """ + _DETAIL + """ || chr(10) || '>' AS demo FROM t),
 g AS (SELECT f.row_id, string_agg('Demonstration ' || no || ':' || chr(10) || demo, chr(10) || chr(10) ORDER BY no) AS demos FROM f JOIN m ON m.idx = f.demo_idx GROUP BY f.row_id),
 h AS (SELECT row_id, trim(array_to_string(list(speaker || ': ' || utterance) OVER (PARTITION BY dialog_id ORDER BY turn_idx ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), chr(10)), chr(10)) AS history FROM t)
@@ -171,31 +162,12 @@ FROM t JOIN h USING (row_id) JOIN utterance u ON u.row_id = t.row_id LEFT JOIN g
 
 @query("prompt_records", _PROMPT)
 def prompt_records(s, sf):
-    """As ``prompt_records_all``, but a vector's only example is its first labelled training turn, as the SQL has it."""
-    return _prompts(s, sf, False)
-
-
-#: Every labelled training turn of a vector, by rank of the vector, then row id.
-_PROMPT_ALL = (
-    _PROMPT.replace("e AS (SELECT vec, min(row_id) row_id FROM x WHERE split = 'train' AND label <> 'unknown' GROUP BY vec),\n", "")
-    .replace("y AS (SELECT e.vec, x.idx, x.dialog_id FROM e JOIN x ON x.row_id = e.row_id)", "y AS (SELECT vec, idx, dialog_id, row_id demo_row FROM x WHERE split = 'train' AND label <> 'unknown')")
-    .replace("y.dialog_id, r.rank, row_number() OVER (PARTITION BY x.row_id, y.dialog_id ORDER BY r.rank)", "y.dialog_id, r.rank, y.demo_row, row_number() OVER (PARTITION BY x.row_id, y.dialog_id ORDER BY r.rank, y.demo_row)")
-    .replace("row_number() OVER (PARTITION BY row_id ORDER BY rank) AS no", "row_number() OVER (PARTITION BY row_id ORDER BY rank, demo_row) AS no")
-)
-
-
-@query("prompt_records_all", _PROMPT_ALL)
-def prompt_records_all(s, sf):
     """The flagship: history, voice, and demonstrations of the nearest labelled turns of other dialogues.
 
     Turns share the vectors of the embedding table (row id modulo their number); all labelled training turns of a vector
     are candidates, the smallest row id first. Neighbours are searched once per vector, not per turn, and joined; one
     example a dialogue, two in all.
     """
-    return _prompts(s, sf, True)
-
-
-def _prompts(s, sf, every):
     from parlance.functions.labels import SHOWN
 
     e = read_table(s, sf, "embeddings")
@@ -203,10 +175,9 @@ def _prompts(s, sf, every):
     t = cut_lineage(turns(s, sf).withColumn("vec", F.pmod("row_id", F.lit(v))))
     shown = t.filter("split = 'train' and label <> 'unknown'").select(F.col("vec").alias("doc_id"), F.col("idx").alias("demo_idx"), F.col("dialog_id").alias("demo_dialog"), F.col("row_id").alias("demo_row"))
     # a target's own dialogue can take one place at most: the first DEMOS + 1 dialogues of a vector, and of a query, are enough
-    shown = R.first_per_group(shown, "doc_id", "demo_dialog", "demo_row", DEMOS + 1 if every else 1).drop("new_rank")
+    shown = R.first_per_group(shown, "doc_id", "demo_dialog", "demo_row", DEMOS + 1).drop("new_rank")
     near = R.nearest(e, e, "vec_id", "embedding", PREFETCH).join(shown, "doc_id").select(F.col("query_id").alias("vec"), "demo_idx", "demo_dialog", F.struct("rank", "demo_row").alias("rank"))
-    if every:
-        near = R.first_per_group(near, "vec", "demo_dialog", "rank", DEMOS + 1).drop("new_rank")
+    near = R.first_per_group(near, "vec", "demo_dialog", "rank", DEMOS + 1).drop("new_rank")
     targets = t.filter("erc_target").select("row_id", "vec", "dialog_id")
     cand = targets.join(near, "vec").filter(F.col("demo_dialog") != F.col("dialog_id"))
     top = R.first_per_group(cand, "row_id", "demo_dialog", "rank", DEMOS).select("row_id", "demo_idx", F.col("new_rank").alias("no"))

@@ -32,14 +32,8 @@ def win_cumcount(s, sf):
     return D.position(read_table(s, sf, "utterance"), ["split", "dialog_id"], ["row_id"]).select("row_id", "pos")
 
 
-@query("win_turn_order", "SELECT line_id, row_number() OVER (PARTITION BY dialog_id ORDER BY start_sec, end_sec, line_id) - 1 AS pos FROM transcript_line WHERE isfinite(start_sec) AND isfinite(end_sec)")
+@query("win_turn_order", "SELECT line_id, row_number() OVER (PARTITION BY dialog_id ORDER BY CASE WHEN NOT isnan(start_sec) THEN start_sec END NULLS LAST, CASE WHEN NOT isnan(end_sec) THEN end_sec END NULLS LAST, line_id) - 1 AS pos FROM transcript_line")
 def win_turn_order(s, sf):
-    t = read_table(s, sf, "transcript_line").filter("start_sec is not null and end_sec is not null and not isnan(start_sec) and not isnan(end_sec)")
-    return D.position(t, ["dialog_id"], ["start_sec", "end_sec", "line_id"]).select("line_id", "pos")
-
-
-@query("win_turn_order_all", "SELECT line_id, row_number() OVER (PARTITION BY dialog_id ORDER BY CASE WHEN NOT isnan(start_sec) THEN start_sec END NULLS LAST, CASE WHEN NOT isnan(end_sec) THEN end_sec END NULLS LAST, line_id) - 1 AS pos FROM transcript_line")
-def win_turn_order_all(s, sf):
     """All lines: a missing start (null or NaN) comes after every start, a missing end after every end, ties by line id."""
     t = read_table(s, sf, "transcript_line").select("line_id", "dialog_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("start_sec", "end_sec")])
     return D.position(t, ["dialog_id"], [F.col("start_sec").asc_nulls_last(), F.col("end_sec").asc_nulls_last(), "line_id"]).select("line_id", "pos")

@@ -189,3 +189,67 @@ def test_imputation_held_out(spark):
     r = impute.fill(_levels(spark, rows), "id", ["lev"], ["num"], ["d", "sp"], noise=False)
     hits = sum(truth[x["id"]] == x["filled"] for x in r.cells.collect())
     assert hits / len(truth) > 0.75
+
+
+def test_quantiles_per_group_with_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 3 else "b", float(rng.integers(0, 9)) if i % 2 else 4.0) for i in range(501)] + [("a", None), ("b", float("nan")), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["grp"]: list(r["q"]) for r in binning.quantiles_by(df, "v", "g", [0.1, 0.5, 0.93], ["a", "b", "none"]).collect()}
+    ok = [(g, v) for g, v in rows if v is not None and v == v]
+    want = {k: np.quantile([v for g, v in ok if k in ("ALL", g)], [0.1, 0.5, 0.93]).tolist() for k in ("a", "b", "ALL")}
+    assert {k: got[k] for k in want} == {k: pytest.approx(v) for k, v in want.items()} and got["none"] == got["ALL"]
+    assert binning.quantiles(df.limit(0), "v", [0.5]).first()["q"] is None
+
+
+def test_running_sums_over_a_whole_table(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v")).repartition(5)
+    got = {r["id"]: (r["n"], r["s"]) for r in dialogue.running(df, [F.col("id")], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    assert all(got[i] == (i + 1, sum(j % 7 for j in range(i + 1))) for i in (0, 1, 499, 999))
+
+
+def test_index_finds_most_and_all_with_every_cell(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 8)) + rng.integers(0, 5, (400, 1)) * 4
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(999, None)], "id long, v array<double>")
+    exact = {(r["query_id"], r["doc_id"]) for r in retrieval.nearest(df, df, "id", "v", 5).collect()}
+    index = retrieval.build_index(df, "id", "v", cells=10)
+    assert index.docs.count() == 400
+    some = {(r["query_id"], r["doc_id"]) for r in retrieval.nearest_indexed(df, index, "id", "v", 5, 4, block=30).collect()}
+    every = {(r["query_id"], r["doc_id"]) for r in retrieval.nearest_indexed(df, index, "id", "v", 5, 10, block=30).collect()}
+    assert every == exact and len(some & exact) >= 0.9 * len(exact)
+
+
+def test_hints_listings_and_lines(spark):
+    a = spark.createDataFrame([("x", "a"), ("y", ""), ("z", None)], "k string, t string")
+    b = spark.createDataFrame([("x", "b"), ("y", "c"), ("w", "")], "k string, t string")
+    assert {r["k"]: r["hint"] for r in io.merge_hints(a, b, "k", "t", "p: ").collect()} == {"x": "p: a", "y": "p: c", "w": "p: "}
+    files = spark.createDataFrame([("/d/MELD_size9.json",), ("/d/meld_size12_x.json",), ("/d/MELD.json",), ("/d/iemocap_size99.json",)], "path string")
+    assert io.largest_artifact(files, "path", "meld").first()[0] == "/d/MELD_size9.json"
+    bad = ["[1 - x]\tT1\tneu\t[1, 2, 3]", "[1 - 2]\tT1\tNEU\t[1, 2, 3]", "[1 - 2]\tT1\tneu\t[1, 2]", "[1 - 2] T1 x neu [1, 2, 3]", "plain", None]
+    t = spark.createDataFrame([(x,) for x in [*bad, " [1 - 2.5] T1 neu [1, 2.5, -3] "]], "value string")
+    assert [tuple(r)[1:] for r in io.parse_eval(t, F.col("value")).collect()] == [("T1", 1.0, 2.5, "neu")]
+    lines = spark.createDataFrame([(0, "T1 [1.0-2.0]: old"), (1, "T1 [1.0-2.0]:  say [it]: now "), (2, "T2 [a-b]: no"), (3, "none"), (4, None)], "n int, value string")
+    assert [tuple(r) for r in io.parse_transcript(lines, F.col("value"), "n").collect()] == [("T1", "say [it]: now")]
+
+
+def test_overlap_counts_are_clipped(spark):
+    df = spark.createDataFrame([(["a", "a", "b"], ["a", "b", "b"]), ([], ["a"]), (None, ["a"])], "p array<string>, r array<string>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(metrics.shared_ngrams(F.col("p"), F.col("r"), 2)).collect()]
+    assert got == [[(2, 3, 3), (1, 2, 2)], [(0, 0, 1), (0, 0, 0)], [(0, 0, 1), (0, 0, 0)]]
+
+
+def test_characteristics_need_whole_rows(spark):
+    from parlance.operators import prompts
+
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, v int")
+    answers = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "iden string, o string")
+    assert prompts.characteristics_set(answers, rows, "k", "iden", cover=False).count() == 2
+    with pytest.raises(ValueError):
+        prompts.characteristics_set(answers, rows, "k", "iden")
+    assert "{demonstrations}" not in prompts.recognition(examples=False) and prompts.choose(None, True, False) == prompts.recognition(examples=False)
+    assert prompts.Options(kind="flow", detailed=True).name == "flowV2_n2_m7"

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the SQL twin of the older name holds a part of it."""
+"""Queries do the whole job: every candidate, every line, every demonstration."""
 
 import glob
 import os
@@ -26,10 +26,8 @@ def few_vectors(spark, sf, tmp_path_factory):
 
 
 def test_every_labelled_training_turn_can_be_shown(spark, few_vectors):
-    for name in ("prompt_records_all", "prompt_records"):
+    for name in ("prompt_records", "prompt_hybrid_detailed", "prompt_hybrid_valid", "prompt_single_n3"):
         test_contract.test_against_sql(spark, few_vectors, name)
-    a, b = ({r["idx"]: r["prompt"] for r in entry.queries()[n](spark, few_vectors).collect()} for n in ("prompt_records_all", "prompt_records"))
-    assert set(a) == set(b) and a != b
 
 
 def test_greedy_match(spark, sf):
@@ -50,11 +48,11 @@ def test_greedy_match(spark, sf):
 
 
 def test_every_line_has_a_position(spark, sf, tmp_path):
-    test_contract.test_against_sql(spark, sf, "win_turn_order_all")
+    test_contract.test_against_sql(spark, sf, "win_turn_order")
     nan = float("nan")
     rows = [(1, "d", None, 1.0), (2, "d", nan, 0.5), (3, "d", 5.0, nan), (4, "d", 5.0, 6.0), (5, "d", 5.0, None), (6, "d", None, None), (7, "e", nan, nan), (8, None, 1.0, 2.0)]
     spark.createDataFrame(rows, "line_id long, dialog_id string, start_sec double, end_sec double").write.parquet(str(tmp_path / "transcript_line.parquet"))
-    got = entry.queries()["win_turn_order_all"](spark, str(tmp_path)).collect()
+    got = entry.queries()["win_turn_order"](spark, str(tmp_path)).collect()
     assert {r["line_id"]: r["pos"] for r in got} == {4: 0, 3: 1, 5: 2, 2: 3, 1: 4, 6: 5, 7: 0, 8: 0}
 
 
@@ -63,7 +61,7 @@ def test_all_demonstrations_are_packed(spark, sf):
     got = {r["i"]: r for r in df.select("i", X.pack(F.col("a"), F.lit(1)).alias("one"), X.pack(F.col("a"), F.lit(5)).alias("many")).collect()}
     assert got[1]["one"] == "x " and got[2]["many"] == "Demonstration 1:\nx" and got[4]["many"] == ""
     assert got[3]["many"] == "\n\n".join(f"Demonstration {i}:\n{x}" for i, x in enumerate("abcde", 1))
-    test_contract.test_against_sql(spark, sf, "str_demo_pack_all")
+    test_contract.test_against_sql(spark, sf, "str_demo_pack")
     turns = relational.turns(spark, sf).groupBy("dialog_id").count().collect()
-    packed = {r["dialog_id"]: r["packed"] for r in entry.queries()["str_demo_pack_all"](spark, sf).collect()}
+    packed = {r["dialog_id"]: r["packed"] for r in entry.queries()["str_demo_pack"](spark, sf).collect()}
     assert all((f"Demonstration {r['count']}:" in packed[r["dialog_id"]]) == (r["count"] > 1) for r in turns) and max(r["count"] for r in turns) > 3
