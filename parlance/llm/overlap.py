@@ -146,14 +146,14 @@ def _meet(probe: DataFrame) -> DataFrame:
     probe = probe.repartition("g")
     load = probe.groupBy("g").agg(F.count_if("in_eval").alias("es"), F.count_if("in_train").alias("ts")).filter("es > 0 and ts > 0")
     load = load.select("g", F.when(F.col("es") * F.col("ts") > HOT * HOT, F.ceil(F.col("es") / HOT).cast("int")).otherwise(1).alias("salts"))
-    salted = probe.join(load.hint("merge"), "g")
+    salted = probe.join(load.hint("shuffle_hash"), "g")  # one row a key
     none = F.array().cast("array<struct<e:boolean,salt:int>>")
     role = lambda e, salt: F.struct(F.lit(e).alias("e"), salt.alias("salt"))
     as_eval = F.when(F.col("in_eval"), F.array(role(True, F.pmod(F.xxhash64("tid"), "salts").cast("int")))).otherwise(none)
     every = F.when(F.col("salts") == 1, F.array(role(False, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: role(False, i)))
     as_train = F.when(F.col("in_train"), every).otherwise(none)
-    # one exchange for both sides
-    both = salted.select("tid", "n", "sig", "g", F.inline(F.concat(as_eval, as_train))).repartition("g", "salt")
+    # written, or the search for shared keys would run for either side
+    both = cut_lineage(salted.select("tid", "n", "sig", "g", F.inline(F.concat(as_eval, as_train))))
     side = lambda x, p: both.filter(x).select(F.col("tid").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("sig").alias(f"{p}_sig"), "g", "salt")
     ev, tr = side("e", "e"), side("not e", "t")
     limit = F.floor(F.greatest("e_n", "t_n") / SIX)

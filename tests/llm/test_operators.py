@@ -497,3 +497,36 @@ def test_sound_texts_stay_and_garbled_ones_return(spark):
     assert all(got[t]["garbled"] for t in rows[-4:])
     assert got["Za¿ó³æ gêœl¹ jaŸñ."]["restored"] == SOUND[0]
     assert got[rows[-2]]["restored"] == SOUND[5] and got[rows[-1]]["restored"] == SOUND[7]
+
+
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(14)
+    base = [f"v{i}" for i in range(12)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        t[rng.randrange(12)] = f"x{i}"
+        rows.append((i, "train" if i % 2 else "dev", " ".join(t)))
+    df = spark.createDataFrame(rows, "row_id long, split string, utterance string")
+    whole = {tuple(r) for r in overlap.row_pairs(overlap.find(df, "row_id", "split", "utterance")).select("row_id_a", "row_id_b").collect()}
+    monkeypatch.setattr(overlap, "HOT", 3)
+    split = {tuple(r) for r in overlap.row_pairs(overlap.find(df, "row_id", "split", "utterance")).select("row_id_a", "row_id_b").collect()}
+    assert whole == split == {(min(a, b), max(a, b)) for a in range(0, 60, 2) for b in range(1, 60, 2)}
+
+
+def test_bodies_lose_signs_and_signatures():
+    for t, want in [("All is well.\n\u2014 Orlando", "All is well."), ("Fine :) \u2665 (exit) [end of scene]", "Fine"), ("No ***", "No"), ("He left (I think) early", "He left (I think) early"), ("", ""), (" \n", ""), ("a\n- b", "a\n- b")]:
+        assert endings.body(t) == want, t
+    assert len(endings.body("x" * 200_000 + " ~" * 50_000)) == 200_000
+
+
+def test_units_and_counts_agree():
+    import pandas as pd
+
+    texts = ["The old man sings. The old man", "The shy cat sleeps near the door. The"]
+    out = pd.concat(endings._count(iter([pd.DataFrame({"id": [1, 2], "t": texts})])))
+    units = out[out["id"].notna()].set_index("id")["units"]
+    looked = endings._lookups(pd.Series(sorted({u for x in units for u in x})))
+    known = set(out["x"].dropna().astype("int64"))
+    assert all(b in known for x in looked for _, _, b, _ in x)
+    assert out["e"].dropna().sum() == 2
