@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -82,12 +83,11 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     base = base.withColumn("text_id", F.xxhash64(F.concat_ws(" ", "w"))).withColumn("check", F.crc32(F.concat_ws(" ", "w"))).withColumn("is_train", F.col("split") == train)
     one = base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
     # written once, so that the short numbers of the texts stay
-    # grams and signatures are written too: lambdas over an expression would evaluate it once an element
-    texts = cut_lineage(one.withColumn("tid", F.monotonically_increasing_id()).withColumn("gs", _grams(F.col("w"))).withColumn("sig", _signature(F.col("w"))))
+    texts = cut_lineage(one.withColumn("tid", F.monotonically_increasing_id()).withColumn("p", _prepare(F.col("w"))).select("text_id", "check", "w", "in_train", "in_eval", "tid", "p.gs", "p.sig"))
     rows = base.select("id", "split", "text_id", "check", "is_train").join(texts.select("text_id", "check", "tid").hint("merge"), ["text_id", "check"]).select("id", "split", "is_train", "tid")
     # grams, probes and candidates are numbers only; whole texts meet the candidates that their signatures leave
     sides = texts.select("tid", "in_train", "in_eval", F.size("w").cast("short").alias("n"), "sig")
-    grams = texts.select("tid", "in_train", "in_eval", F.explode(_numbered(F.col("gs"))).alias("g"))
+    grams = texts.select("tid", "in_train", "in_eval", F.explode("gs").alias("g"))
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df"), (F.max("in_train") & F.max("in_eval")).alias("both"))
     # n-grams of one side only keep their place in the order but cannot join
     per = grams.select("tid", "g").join(freq.hint("merge"), "g").groupBy("tid").agg(F.collect_list(F.struct("df", "g", "both")).alias("all"))
@@ -131,9 +131,30 @@ def _compare(eval_words: Column, train_words: Column) -> Column:
     return run.asNondeterministic()(eval_words, train_words)
 
 
-def _signature(w: Column) -> Column:
-    """64 bits, one set per word: a word that one side has alone sets at most one bit that the other lacks."""
-    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+def _prepare(w: Column) -> Column:
+    """struct<gs, sig>: numbers of a record's n-grams, the k-th occurrence of one being a gram of its own; and 64 bits,
+    one set per word, so that a word which one side has alone sets at most one bit that the other lacks."""
+
+    def number(text: str) -> int:
+        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+    @F.pandas_udf("gs array<long>, sig long")
+    def run(s: pd.Series) -> pd.DataFrame:
+        bit: dict[str, int] = {}
+        out = []
+        for x in s:
+            x, seen, sig, gs = list(x), {}, 0, []
+            for t in x:
+                if (b := bit.get(t)) is None:
+                    b = bit[t] = 1 << (number(t) & 63)
+                sig |= b
+            for g in zip(*[x[i:] for i in range(GRAM)]):
+                k = seen[g] = seen.get(g, 0) + 1
+                gs.append(number(" ".join(g) if k == 1 else f"{' '.join(g)} {k} times"))
+            out.append((gs, sig - (1 << 64) if sig >> 63 else sig))
+        return pd.DataFrame(out, columns=["gs", "sig"])
+
+    return run(w)
 
 
 def _meet(probe: DataFrame) -> DataFrame:
@@ -162,17 +183,6 @@ def _meet(probe: DataFrame) -> DataFrame:
     return ev.join(tr.hint("merge"), ["g", "salt"]).filter(near).select("e_id", "t_id").distinct()
 
 
-def _grams(w: Column) -> Column:
-    """Sorted hashes of the word n-grams of a record."""
-    return F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - GRAM + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(GRAM)])))
-
-
-def _numbered(g: Column) -> Column:
-    """The k-th occurrence of an n-gram (in a sorted array) is a gram of its own."""
-    again = lambda x, i: (i + 1) - F.array_position(g, x)
-    return F.transform(g, lambda x, i: F.when(again(x, i) == 0, x).otherwise(F.xxhash64(x, again(x, i))))
-
-
 def row_pairs(o: Overlaps) -> DataFrame:
     """Pairs of rows, the smaller id first; one of train and one of an evaluation split."""
     e = o.rows.filter(~F.col("is_train")).select(F.col("id").alias("e_row"), F.col("tid").alias("e_id"))
