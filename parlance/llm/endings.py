@@ -236,7 +236,8 @@ def fit(texts: DataFrame, text: str, key: str) -> EndModel:
     words = got.filter("n is not null and w is not null").groupBy("w").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
     # a word within running text has a blank in front, which is part of it; the first of a sentence has its sign
     words = words.select(F.when(F.col("w").startswith("^"), F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("w"), "n", "e", "o")
-    inner = words.select(F.explode(F.expr("transform(sequence(2, length(w)), i -> struct(substring(w, 1, i) as p, if(i < length(w), n, n - o) as a, if(i < length(w), 0L, e) as e))")).alias("p"))
+    # only the last characters before a place are read
+    inner = words.select(F.explode(F.expr(f"transform(sequence(2, length(w)), i -> struct(substring(w, greatest(1, i - {SUFFIX - 1}), least(i, {SUFFIX})) as p, if(i < length(w), n, n - o) as a, if(i < length(w), 0L, e) as e))")).alias("p"))
     starts = cut_lineage(inner.select("p.*").groupBy("p").agg(F.sum("a").alias("a"), F.sum("e").alias("e")))
     ends, places = starts.agg(F.sum("e"), F.sum("a")).first()
     tails = starts.select(F.explode(F.expr(f"transform(sequence(1, least(length(p), {SUFFIX})), i -> substring(p, -i, i))")).alias("s"), "a", "e")
