@@ -188,7 +188,7 @@ _SAYS = r"regexp_matches(regexp_replace(coalesce(utterance, ''), '\[[^\[\]]*\]|\
 _BLANK = r"E' \t\n\r'"
 _SAMPLE_SQL = f"""
 WITH u AS (SELECT trim(lower(split), {_BLANK}) s, trim(lower(mapped_emotion), {_BLANK}) l FROM utterance),
-c AS (SELECT t.split, t.mapped_emotion, t.target_share, t.sample_frac, count(u.s) n FROM sample_target t
+c AS (SELECT t.split, t.mapped_emotion, t.target_share, t.min_rows, t.sample_frac, count(u.s) n FROM sample_target t
       LEFT JOIN u ON u.s = lower(t.split) AND u.l = lower(t.mapped_emotion) GROUP BY ALL),
 w AS (SELECT *, target_share * sample_frac * sum(n) OVER (PARTITION BY split) AS wanted FROM c)
 """
@@ -215,7 +215,7 @@ c AS (SELECT d FROM t GROUP BY d HAVING NOT bool_or(t IS NULL OR n > 1 OR mute)
 v AS (SELECT d FROM s GROUP BY d HAVING bool_or(says) AND count(DISTINCT CASE WHEN says THEN w END) > 1),
 a AS (SELECT x.d FROM m x JOIN m y ON y.d = x.d AND y.t = x.t - 1 AND y.w = x.w GROUP BY 1)
 SELECT d AS dialog_id, t AS position, t AS turn_idx, who AS speaker, utterance, row_id, d NOT IN (SELECT d FROM a) AS alternates FROM m WHERE d IN (SELECT d FROM c) AND d IN (SELECT d FROM v)""",
-        "p7_totals": _SAMPLE_SQL + "SELECT split, round(max(sample_frac) * sum(n))::BIGINT AS rows, round(max(sample_frac) * sum(n))::BIGINT AS different, 0::BIGINT AS unlisted FROM w GROUP BY split HAVING sum(n) > 0",
+        "p7_totals": _SAMPLE_SQL + "SELECT split, greatest(round(max(sample_frac) * sum(n)), sum(least(min_rows, n)))::BIGINT AS rows, greatest(round(max(sample_frac) * sum(n)), sum(least(min_rows, n)))::BIGINT AS different, 0::BIGINT AS unlisted FROM w GROUP BY split HAVING sum(n) > 0",
         "p8_totals": "WITH d AS (SELECT length(text) > 4.7 * capacity_tokens AS cut FROM documents, container_spec WHERE text <> '') SELECT count(*) AS documents, count_if(NOT cut) AS whole, count_if(cut) AS cut, 0::BIGINT AS torn, 0::BIGINT AS bad_windows, false AS two_half_empty FROM d",
         "p9_totals": f"""
 WITH d AS (SELECT trim(lower(source), {_BLANK}) s, sum(length(text)) n FROM documents WHERE trim(source, {_BLANK}) <> '' GROUP BY 1)
