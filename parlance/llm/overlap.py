@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.runtime import cut_lineage, plain
 
-#: One word in SIX may differ; n-grams of GRAM words; up to LONG words records are looked up by pairs of n-grams.
-SIX, GRAM, MIN_WORDS, LONG = 6, 2, 8, 60
+#: One word in SIX may differ; containment counts n-grams of GRAM words; records are looked up by SEG words in a row.
+SIX, GRAM, SEG, MIN_WORDS = 6, 2, 3, 8
+#: Up to LONG words the places of a record are chosen together, beyond that one in every stretch.
+LONG = 200
 #: Evaluation records that share one key, beyond which the key is split.
 HOT = 1_000
+#: Counters of the table of key loads, a power of two; the same for tables of any size.
+SLOTS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -50,11 +54,6 @@ def word_distance(a: list[str], b: list[str]) -> int:
     return dist
 
 
-def allowed(n: Column) -> Column:
-    """Differences a record of n words may have at most with any partner: the longer one has up to 6n/5 words."""
-    return F.floor(n / (SIX - 1)).cast("int")
-
-
 @dataclass
 class Overlaps:
     texts: DataFrame
@@ -66,47 +65,121 @@ def find(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str =
     """All pairs of an evaluation and a training record whose word sequences differ in at most one word in six.
 
     Rows with fewer than ``min_words`` words, null texts, null or other splits take no part (splits: spelling aside). Equal
-    word sequences are one text; ``texts`` maps rows to texts, ``links`` has the pairs of different or equal texts with
-    ``distance`` and ``containment`` (share of the evaluation record's n-grams in the training record), so copies are
-    not multiplied. ``rows``: split, text and row id, for expanding.
-
-    Word n-gram hashes: k differences destroy at most GRAM * k n-grams, so two records within the limit share t of
-    their GRAM * k + t rarest n-grams, n-grams ordered by document frequency over both sides. Records look each other up
-    by hashes of pairs of these (t = 2), which are far rarer than single ones; beyond LONG words, where pairs would be too
-    many, by single ones (t = 1); records between LONG * 5/6 and LONG * 6/5 words do both, so partners on either side of
-    LONG meet. The hashes of both sides are partitioned and joined; no pair is lost. The k-th occurrence of an
-    n-gram in a record is a gram of its own. Candidates whose word signatures differ too much, then those with too few n-grams in common, are
+    word sequences are one text, known by two checksums (text_id, check); ``links`` has the pairs of different or equal
+    texts with ``distance`` and ``containment`` (share of the evaluation record's n-grams in the training record), so
+    copies are not multiplied. ``rows``: split, text and row id, for expanding.
+
+    A training record of n words has k = n/5 differences to a partner at most, so of k + 1 places that do not overlap one
+    is whole in the partner. A place has SEG words; of all ways to lay the places that with the fewest evaluation records
+    behind them is taken, by a table of SLOTS counts (it only steers the choice; places nobody else has are no keys). An
+    evaluation record is looked up by all its runs of SEG words. Each side's keys are partitioned and joined; no pair is
+    lost. Candidates whose lengths or word signatures differ too much, then those with too few n-grams in common, are
     dropped; the rest is verified by exact word distance over whole texts. Nothing that grows is broadcast. Empty tables give empty results.
     """
-    base = df.select(F.col(id_col).cast("long").alias("id"), plain(F.col(split_col)).alias("split"), words(F.col(text_col)).alias("w"))
-    base = base.filter(F.col("split").isin(train, *evaluation) & (F.size("w") >= min_words))
-    base = base.withColumn("text_id", F.xxhash64(F.concat_ws(" ", "w"))).withColumn("check", F.crc32(F.concat_ws(" ", "w"))).withColumn("is_train", F.col("split") == train)
-    one = base.groupBy("text_id", "check").agg(F.first("w").alias("w"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    # written once, so that the short numbers of the texts stay
-    texts = cut_lineage(one.withColumn("tid", F.monotonically_increasing_id()).withColumn("p", _prepare(F.col("w"))).select("text_id", "check", "w", "in_train", "in_eval", "tid", "p.gs", "p.sig"))
-    rows = base.select("id", "split", "text_id", "check", "is_train").join(texts.select("text_id", "check", "tid").hint("merge"), ["text_id", "check"]).select("id", "split", "is_train", "tid")
-    # grams, probes and candidates are numbers only; whole texts meet the candidates that their signatures leave
-    sides = texts.select("tid", "in_train", "in_eval", F.size("w").cast("short").alias("n"), "sig")
-    grams = texts.select("tid", "in_train", "in_eval", F.explode("gs").alias("g"))
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df"), (F.max("in_train") & F.max("in_eval")).alias("both"))
-    # n-grams of one side only keep their place in the order but cannot join
-    per = grams.select("tid", "g").join(freq.hint("merge"), "g").groupBy("tid").agg(F.collect_list(F.struct("df", "g", "both")).alias("all"))
-    per = per.join(sides.hint("merge"), "tid")
-    kept = F.transform(F.filter(F.slice(F.array_sort("all"), F.lit(1), F.lit(GRAM) * allowed(F.col("n")) + 2), lambda s: s["both"]), lambda s: s["g"])
-    per = cut_lineage(per.select("tid", "in_train", "in_eval", "n", "sig", kept.alias("k")).filter(F.size("k") > 0))
-    two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    short = per.filter(F.col("n") * (SIX - 1) <= LONG * SIX).withColumn("g", F.explode(two))
-    # one n-gram more than t = 1 needs loses nothing
-    long_ = per.filter(F.col("n") * SIX > LONG * (SIX - 1)).withColumn("g", F.explode("k"))
-    cand = _meet(short.unionByName(long_).select("tid", "in_train", "in_eval", "n", "sig", "g"))
-    a = texts.select(F.col("tid").alias("e_id"), F.col("w").alias("ew"))
-    b = texts.select(F.col("tid").alias("t_id"), F.col("w").alias("tw"))
-    pair = cand.join(a.hint("merge"), "e_id").join(b.hint("merge"), "t_id")
+    if min_words < 1:
+        raise ValueError("a record needs a word")
+    base = df.select(F.col(id_col).cast("long").alias("id"), plain(F.col(split_col)).alias("split"), F.col(text_col).alias("raw"))
+    base = base.filter(F.col("split").isin(train, *evaluation) & (F.length("raw") >= 2 * min_words - 1)).select("id", "split", words(F.col("raw")).alias("w"))
+    base = base.filter(F.size("w") >= min_words).select("id", "split", (F.col("split") == train).alias("is_train"), F.concat_ws(" ", "w").alias("t"))
+    ids = [F.xxhash64("t").alias("text_id"), (F.crc32("t") - 2**31).cast("int").alias("check")]
+    rows = base.select("id", "split", "is_train", *ids)
+    # not written: whoever reads the texts shares this exchange
+    side = F.when(F.col("is_train"), 1).otherwise(2)
+    texts = base.select("t", side.alias("side"), *ids).groupBy("text_id", "check").agg(F.first("t").alias("t"), F.bit_or("side").alias("sides"))
+    sizes = sorted({_place(n) for n in range(min_words, MIN_WORDS)} | {SEG})
+    load = _loads(base.filter(~F.col("is_train")).select(_grams(F.split("t", " "), sizes).alias("gs")))
+    keys = texts.withColumn("w", F.split("t", " ")).select("text_id", "check", "sides", F.size("w").alias("n"), _signature(F.col("w")).alias("sig"), *[_grams(F.col("w"), [q]).alias(f"g{q}") for q in sizes])
+    own = F.col(f"g{SEG}")
+    for q in sizes[:-1]:
+        own = F.when(F.col("n").isin([n for n in range(min_words, MIN_WORDS) if _place(n) == q]), F.col(f"g{q}")).otherwise(own)
+    none = F.array().cast("array<bigint>")
+    keys = keys.withColumn("laid", _lay(F.when(F.expr("sides & 1 = 1"), own).otherwise(none), F.col("n"), load))
+    every = F.when(F.expr("sides & 2 = 2"), F.concat(*[F.col(f"g{q}") for q in sizes])).otherwise(none)
+    key = lambda e: lambda g: F.struct(F.lit(e).alias("e"), g.alias("g"))
+    keys = keys.select("text_id", "check", F.col("n").cast("int").alias("n"), "sig", F.inline(F.concat(F.transform(F.array_distinct(every), key(True)), F.transform("laid", key(False)))))
+    cand = _meet(keys)
+    a = texts.filter("sides & 2 = 2").select(F.col("text_id").alias("e_id"), F.col("check").alias("e_check"), F.col("t").alias("ew"))
+    b = texts.filter("sides & 1 = 1").select(F.col("text_id").alias("t_id"), F.col("check").alias("t_check"), F.col("t").alias("tw"))
+    pair = cand.join(a.hint("merge"), ["e_id", "e_check"]).join(b.hint("merge"), ["t_id", "t_check"])
     # written before the filter, which would evaluate the comparison a second time
-    links = cut_lineage(pair.select("e_id", "t_id", _compare(F.col("ew"), F.col("tw")).alias("c")).select("e_id", "t_id", "c.distance", "c.containment"))
+    found = pair.select("e_id", "e_check", "t_id", "t_check", _compare(F.split("ew", " "), F.split("tw", " ")).alias("c"))
+    links = cut_lineage(found.select("e_id", "e_check", "t_id", "t_check", "c.distance", "c.containment"))
     return Overlaps(texts, links.filter("distance is not null"), rows)
 
 
+def _place(n: int) -> int:
+    """Words of a place of a record of n words: SEG, but for some of fewer than MIN_WORDS words."""
+    return min(SEG, n // (n // (SIX - 1) + 1))
+
+
+def _grams(w: Column, sizes: list[int]) -> Column:
+    """Checksums of all runs of so many words."""
+    none = F.array().cast("array<bigint>")
+
+    def runs(q: int) -> Column:
+        return F.when(F.size(w) >= q, F.transform(F.sequence(F.lit(1), F.size(w) - (q - 1)), lambda i: F.xxhash64(F.slice(w, i, q)))).otherwise(none)
+
+    return F.concat(*[runs(q) for q in sizes])
+
+
+def _signature(w: Column) -> Column:
+    """64 bits, one set per word, so that a word which one side has alone sets at most one bit that the other lacks."""
+    one = F.transform(w, lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(one, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+
+
+def _loads(grams: DataFrame) -> np.ndarray:
+    """How many evaluation records hold a run of words, runs being told by some bits of their checksum: SLOTS counts."""
+    slot = F.col("g").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    got = grams.select(F.explode(F.array_distinct("gs")).alias("g")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    load = np.zeros(SLOTS, "int64")
+    load[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return np.minimum(load, 2**31 - 1).astype("int32")
+
+
+def _cheapest(cost: np.ndarray, parts: int, width: int) -> np.ndarray:
+    """For every row of ``cost`` (by first word of a place) the ``parts`` places of ``width`` words without overlap that cost least."""
+    many, n = len(cost), cost.shape[1] + width - 1
+    if n > LONG:
+        cuts = [i * n // parts for i in range(parts + 1)]
+        return np.stack([a + cost[:, a : b - width + 1].argmin(1) for a, b in zip(cuts, cuts[1:])], 1)
+    best, last = np.zeros((many, n + 1), "int64"), []
+    for _ in range(parts):
+        here = np.full((many, n + 1), 1 << 60, "int64")
+        here[:, width:] = best[:, : n + 1 - width] + cost
+        best = np.minimum.accumulate(here, 1)
+        last.append(np.maximum.accumulate(np.where(here == best, np.arange(n + 1), 0), 1).astype("int32"))
+    out, end = np.zeros((many, parts), "int64"), np.full(many, n)
+    for r in range(parts - 1, -1, -1):
+        end = last[r][np.arange(many), end] - width
+        out[:, r] = end
+    return out
+
+
+def _lay(gs: Column, n: Column, load: np.ndarray) -> Column:
+    """The keys of a training record: of its runs of words those on the places laid, without those no evaluation record has."""
+
+    @F.pandas_udf("array<long>")
+    def run(s: pd.Series, n: pd.Series) -> pd.Series:
+        out: list[list[int]] = [[] for _ in s]
+        alike = defaultdict(list)
+        for at, (g, words_) in enumerate(zip(s, n)):
+            if len(g):
+                alike[(words_, len(g))].append((at, g))
+        for (words_, runs), those in alike.items():
+            for i in range(0, len(those), 256):
+                some = those[i : i + 256]
+                g = np.stack([x for _, x in some])
+                cost = load[g & (SLOTS - 1)]
+                at = _cheapest(cost, int(words_) // (SIX - 1) + 1, int(words_) - runs + 1)
+                g, cost = np.take_along_axis(g, at, 1), np.take_along_axis(cost, at, 1)
+                for (k, _), x, c in zip(some, g, cost):
+                    out[k] = list(set(x[c > 0].tolist()))
+        return pd.Series(out, dtype=object)
+
+    return run(gs, n)
+
+
 def _compare(eval_words: Column, train_words: Column) -> Column:
     """struct<distance, containment>: the share of the evaluation record's n-grams that the training record holds too.
 
@@ -131,60 +204,36 @@ def _compare(eval_words: Column, train_words: Column) -> Column:
     return run.asNondeterministic()(eval_words, train_words)
 
 
-def _prepare(w: Column) -> Column:
-    """struct<gs, sig>: numbers of a record's n-grams, the k-th occurrence of one being a gram of its own; and 64 bits,
-    one set per word, so that a word which one side has alone sets at most one bit that the other lacks."""
-
-    def number(text: str) -> int:
-        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def _meet(keys: DataFrame) -> DataFrame:
+    """(e_id, e_check, t_id, t_check) of records that share a key, one as evaluation record (``e``), one as training record, with lengths and signatures within the limit.
 
-    @F.pandas_udf("gs array<long>, sig long")
-    def run(s: pd.Series) -> pd.DataFrame:
-        bit: dict[str, int] = {}
-        out = []
-        for x in s:
-            x, seen, sig, gs = list(x), {}, 0, []
-            for t in x:
-                if (b := bit.get(t)) is None:
-                    b = bit[t] = 1 << (number(t) & 63)
-                sig |= b
-            for g in zip(*[x[i:] for i in range(GRAM)]):
-                k = seen[g] = seen.get(g, 0) + 1
-                gs.append(number(" ".join(g) if k == 1 else f"{' '.join(g)} {k} times"))
-            out.append((gs, sig - (1 << 64) if sig >> 63 else sig))
-        return pd.DataFrame(out, columns=["gs", "sig"])
-
-    return run(w)
-
-
-def _meet(probe: DataFrame) -> DataFrame:
-    """(e_id, t_id) of records of both sides that share a key (keys of one side only are dropped first), with lengths and signatures within the limit.
-
-    A key with more than HOT evaluation records is split: these are spread over salts, the training records of the key
-    are repeated once a salt. k differences leave at most k words of either side without partner, so at most k bits of
-    one signature are not in the other.
+    Keys of one side only are dropped first. A key with more than HOT * HOT pairs is split: its evaluation records are
+    spread over salts, its training records repeated once a salt. k differences leave at most k words of either side
+    without partner, so at most k bits of one signature are not in the other.
     """
-    probe = probe.repartition("g")
-    load = probe.groupBy("g").agg(F.count_if("in_eval").alias("es"), F.count_if("in_train").alias("ts")).filter("es > 0 and ts > 0")
-    load = load.select("g", F.when(F.col("es") * F.col("ts") > HOT * HOT, F.ceil(F.col("es") / HOT).cast("int")).otherwise(1).alias("salts"))
-    salted = probe.join(load.hint("shuffle_hash"), "g")  # one row a key
-    none = F.array().cast("array<struct<e:boolean,salt:int>>")
-    role = lambda e, salt: F.struct(F.lit(e).alias("e"), salt.alias("salt"))
-    as_eval = F.when(F.col("in_eval"), F.array(role(True, F.pmod(F.xxhash64("tid"), "salts").cast("int")))).otherwise(none)
-    every = F.when(F.col("salts") == 1, F.array(role(False, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: role(False, i)))
-    as_train = F.when(F.col("in_train"), every).otherwise(none)
-    # written, or the search for shared keys would run for either side
-    both = cut_lineage(salted.select("tid", "n", "sig", "g", F.inline(F.concat(as_eval, as_train))))
-    side = lambda x, p: both.filter(x).select(F.col("tid").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("sig").alias(f"{p}_sig"), "g", "salt")
-    ev, tr = side("e", "e"), side("not e", "t")
+    of = Window.partitionBy("g")
+    keys = keys.repartition("g").withColumn("es", F.count_if("e").over(of)).withColumn("ts", F.count_if(~F.col("e")).over(of)).filter("es > 0 and ts > 0")
+    hot = F.col("es") * F.col("ts") > HOT * HOT
     limit = F.floor(F.greatest("e_n", "t_n") / SIX)
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
     near = (F.abs(F.col("e_n") - F.col("t_n")) <= limit) & (apart("e_sig", "t_sig") <= limit) & (apart("t_sig", "e_sig") <= limit)
-    return ev.join(tr.hint("merge"), ["g", "salt"]).filter(near).select("e_id", "t_id").distinct()
+
+    def side(x: DataFrame, p: str, *more: str) -> DataFrame:
+        return x.select(F.col("text_id").alias(f"{p}_id"), F.col("check").alias(f"{p}_check"), F.col("n").alias(f"{p}_n"), F.col("sig").alias(f"{p}_sig"), "g", *more)
+
+    ev, tr = keys.filter("e"), keys.filter("not e")
+    cold = side(ev.filter(~hot), "e").join(side(tr.filter(~hot), "t").hint("merge"), "g").filter(near)
+    salts = F.ceil(F.col("es") / HOT).cast("int")
+    spread = side(ev.filter(hot).withColumn("salt", F.pmod(F.xxhash64("text_id", "check"), salts).cast("int")), "e", "salt")
+    every = side(tr.filter(hot).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "t", "salt")
+    split = spread.join(every.hint("merge"), ["g", "salt"]).filter(near)
+    pairs = ["e_id", "e_check", "t_id", "t_check"]
+    return cold.select(*pairs).unionByName(split.select(*pairs)).distinct()
 
 
 def row_pairs(o: Overlaps) -> DataFrame:
     """Pairs of rows, the smaller id first; one of train and one of an evaluation split."""
-    e = o.rows.filter(~F.col("is_train")).select(F.col("id").alias("e_row"), F.col("tid").alias("e_id"))
-    t = o.rows.filter("is_train").select(F.col("id").alias("t_row"), F.col("tid").alias("t_id"))
-    return o.links.join(e.hint("merge"), "e_id").join(t.hint("merge"), "t_id").select(F.least("e_row", "t_row").alias("row_id_a"), F.greatest("e_row", "t_row").alias("row_id_b"), "distance", "containment")
+    e = o.rows.filter(~F.col("is_train")).select(F.col("id").alias("e_row"), F.col("text_id").alias("e_id"), F.col("check").alias("e_check"))
+    t = o.rows.filter("is_train").select(F.col("id").alias("t_row"), F.col("text_id").alias("t_id"), F.col("check").alias("t_check"))
+    both = o.links.join(e.hint("merge"), ["e_id", "e_check"]).join(t.hint("merge"), ["t_id", "t_check"])
+    return both.select(F.least("e_row", "t_row").alias("row_id_a"), F.greatest("e_row", "t_row").alias("row_id_b"), "distance", "containment")

@@ -61,9 +61,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per split and source of the evaluation rows: rows, rows that overlap with train, exact ones, mean containment."""
     o = _overlaps(spark, sf)
-    per = o.links.groupBy("e_id").agg(F.min("distance").alias("nearest"), F.max("containment").alias("containment"))
+    per = o.links.groupBy("e_id", "e_check").agg(F.min("distance").alias("nearest"), F.max("containment").alias("containment"))
     u = read_table(spark, sf, "utterance").select(F.col("row_id").alias("id"), plain(F.col("source")).alias("source"))
-    rows = o.rows.filter(~F.col("is_train")).select("id", "split", "tid").join(u.hint("merge"), "id").join(per.hint("merge"), F.col("tid") == F.col("e_id"), "left")
+    rows = o.rows.filter(~F.col("is_train")).select("id", "split", F.col("text_id").alias("e_id"), F.col("check").alias("e_check")).join(u.hint("merge"), "id").join(per.hint("merge"), ["e_id", "e_check"], "left")
     return rows.groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("long_rows"), F.count("nearest").alias("overlapping"), F.count_if(F.col("nearest") == 0).alias("exact"), F.round(F.avg("containment"), 6).alias("mean_containment"),
     )

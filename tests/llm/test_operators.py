@@ -1,8 +1,10 @@
 """Text operators: brute force, exact round trips, held-out cases and edge cases."""
 
+import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -514,6 +516,32 @@ def test_hot_keys_are_split_without_loss(spark, monkeypatch):
     assert whole == split == {(min(a, b), max(a, b)) for a in range(0, 60, 2) for b in range(1, 60, 2)}
 
 
+def test_overlap_moves_less_than_four_times_its_texts(spark):
+    rng = random.Random(15)
+    rows = [(i, "train" if i % 3 else "test", " ".join(f"word{rng.randrange(200)}" for _ in range(24))) for i in range(6000)]
+    near = rows[1][2].split()
+    rows.append((6000, "dev", " ".join([*near[:5], "other", *near[6:]])))
+    df = spark.createDataFrame(rows, "row_id long, split string, utterance string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    got = [tuple(r) for r in overlap.row_pairs(overlap.find(df, "row_id", "split", "utterance")).select("row_id_a", "row_id_b").collect()]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == [(1, 6000)]
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 4 * sum(len(r[2]) for r in rows)
+
+
+def test_cheapest_places_are_cheapest():
+    rng = random.Random(16)
+    for _ in range(100):
+        n = rng.randrange(8, 18)
+        parts, cost = n // 5 + 1, [rng.randrange(9) for _ in range(n - 2)]
+        at = sorted(overlap._cheapest(np.array([cost]), parts, 3)[0].tolist())
+        apart = [c for c in itertools.combinations(range(n - 2), parts) if all(b - a >= 3 for a, b in zip(c, c[1:]))]
+        assert tuple(at) in apart and sum(cost[i] for i in at) == min(sum(cost[i] for i in c) for c in apart)
+    long_ = overlap._cheapest(np.array([[rng.randrange(9) for _ in range(1001)]]), 201, 3)[0].tolist()
+    assert len(long_) == 201 and long_[0] >= 0 and long_[-1] <= 1000 and all(b - a >= 3 for a, b in zip(long_, long_[1:]))
+
+
 def test_bodies_lose_signs_and_signatures():
     for t, want in [("All is well.\n\u2014 Orlando", "All is well."), ("Fine :) \u2665 (exit) [end of scene]", "Fine"), ("No ***", "No"), ("He left (I think) early", "He left (I think) early"), ("", ""), (" \n", ""), ("a\n- b", "a\n- b")]:
         assert endings.body(t) == want, t
