@@ -91,6 +91,21 @@ def test_first_per_group_and_prefetch(spark):
     assert retrieval.prefetch_then_filter(bad, "q", "r", 3, F.col("l") == "ok", 2).count() == 1
 
 
+def test_nearest_writes_vectors_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    got = {r["query_id"]: r["doc_id"] for r in retrieval.nearest(df.filter("id % 5 = 0"), df, "id", "v", 2, block=50).filter("rank = 2").collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executorSummary("driver").totalShuffleWrite() - before < v.nbytes
+    far = ((v[::5, None, :] - v[None]) ** 2).sum(2)
+    assert got == {5 * i: int(x[1]) for i, x in enumerate(np.argsort(far, axis=1))}
+
+
 def test_nearest_equals_brute_force_in_blocks(spark):
     import numpy as np
 
