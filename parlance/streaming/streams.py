@@ -39,17 +39,25 @@ def history_stream(turns: DataFrame, dialog: str, turn: str, line: Column, k: in
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held: list[str] = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["turn", "line"], kind="stable")
-        out = []
-        for t, x in zip(rows["turn"], rows["line"]):
-            out.append((key[0], t, "\n".join([*held[-k:], x] if k else [x]).strip("\n")))
+        # plain lists: a dialogue has few turns, for which sorting and building frames costs more than the work
+        rows = sorted(((t, x) for b in batches for t, x in zip(b["turn"].tolist(), b["line"].tolist())), key=_place)
+        turns_, texts = [], []
+        for t, x in rows:
+            turns_.append(t)
+            texts.append("\n".join([*held[-k:], x] if k else [x]).strip("\n"))
             held = [*held, x][-k:] if k else []
         state.update((held,))
-        yield pd.DataFrame(out, columns=["dialog", "turn", "history"])
+        yield pd.DataFrame({"dialog": [key[0]] * len(rows), "turn": turns_, "history": texts}, copy=False)
 
     return src.groupBy("dialog").applyInPandasWithState(step, "dialog string, turn long, history string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _place(row: tuple[float, str]) -> tuple[bool, float, str]:
+    """By turn, those without one last, then by line."""
+    turn, line = row
+    return (True, 0, line) if turn != turn else (False, turn, line)
+
+
 def bin_stream(stream: DataFrame, value: str, group: Column, cuts: DataFrame, names: list[str], out: str) -> DataFrame:
     """Levels by thresholds per group; ``cuts(grp, q)`` is a handful of rows fitted in batch, of known size."""
     j = stream.withColumn("__k", group).join(cuts, F.col("__k") == F.col("grp"), "left")

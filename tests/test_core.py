@@ -91,6 +91,35 @@ def test_first_per_group_and_prefetch(spark):
     assert retrieval.prefetch_then_filter(bad, "q", "r", 3, F.col("l") == "ok", 2).count() == 1
 
 
+def test_history_step_costs_less_than_sorting_a_frame(spark, monkeypatch):
+    import time
+    from types import SimpleNamespace
+
+    import pandas as pd
+    from pyspark.sql import DataFrame
+
+    from parlance.streaming import streams
+
+    got = {}
+    df = spark.createDataFrame([("d", 1, "x")], "d string, t long, x string")
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandasWithState", lambda self, f, *a: got.setdefault("step", f))
+    assert isinstance(df, DataFrame) and streams.history_stream(df, "d", "t", F.col("x"), 2)
+    held = []
+    state = SimpleNamespace(exists=False, get=(["old"],), update=held.append)
+    frames = [pd.DataFrame({"turn": [3, 1], "line": ["c", "a"]}), pd.DataFrame({"turn": [1, None], "line": ["", "z"]})]
+    (out,) = got["step"](("d",), iter(frames), state)
+    assert out["history"].tolist() == ["", "a", "a\nc", "a\nc\nz"] and held == [(["c", "z"],)]
+    b = pd.DataFrame({"turn": list(range(10))[::-1], "line": ["some words"] * 10})
+    began = time.process_time()
+    for _ in range(300):
+        list(got["step"](("d",), iter([b]), state))
+    step = time.process_time() - began
+    began = time.process_time()
+    for _ in range(300):
+        pd.concat([b]).sort_values(["turn", "line"], kind="stable")
+    assert step < time.process_time() - began
+
+
 def test_nearest_writes_vectors_once(spark):
     import numpy as np
 
