@@ -135,6 +135,70 @@ def test_nearest_writes_vectors_once(spark):
     assert got == {5 * i: int(x[1]) for i, x in enumerate(np.argsort(far, axis=1))}
 
 
+def _pairs(v, asked, block):
+    """Blocks of documents with all blocks of queries, packed."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def blocks(rows, no, ids, vs):
+        return [{no: n, ids: rows[s : s + block].astype("int64").tobytes(), vs: zlib.compress(v[rows[s : s + block]].tobytes(), 1)} for n, s in enumerate(range(0, len(rows), block))]
+
+    d, q = blocks(np.arange(len(v)), "no", "ids", "vs"), blocks(asked, "q_no", "q_ids", "q_vs")
+    return [pd.DataFrame([x | y for y in q]) for x in d]
+
+
+@pytest.mark.parametrize("kind", ["even", "copies", "long", "tiny", "huge", "nan", "few", "same", "counts"])
+def test_walk_equals_brute_force(kind):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3 if kind == "few" else 1203, 16)) + 0.5
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "copies":
+        v = v[rng.integers(0, 40, len(v))]
+    elif kind == "long":
+        v = v * np.exp(rng.normal(size=(len(v), 1)) * 3)
+    elif kind in ("tiny", "huge"):
+        v = v * (1e-3 if kind == "tiny" else 1e70)
+    elif kind == "nan":
+        v[::50, 3] = np.nan
+    elif kind == "same":
+        v[:] = v[0]
+    elif kind == "counts":
+        v = rng.integers(-2, 3, v.shape).astype("float64")
+    asked = np.arange(0, len(v), 7)
+    out = pd.concat(retrieval._walk(5)(_pairs(v, asked, 101)))
+    got = {i: g["doc_id"].tolist() for i, g in out.groupby("query_id")}
+    for i in asked:
+        d = ((v - v[i]) ** 2).sum(1).round(9)
+        assert got[i] == sorted(range(len(v)), key=lambda j: (np.isnan(d[j]), d[j] if d[j] == d[j] else 0, j))[:5]
+
+
+def test_walk_costs_less_than_products():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(81_920, 64)) + 0.75
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    pairs = _pairs(v, np.arange(1024), 4096)
+    began = time.process_time()
+    list(retrieval._walk(10)(pairs))
+    walk = time.process_time() - began
+    began = time.process_time()
+    for s in range(0, len(v), 4096):
+        for q in range(0, 1024, 256):
+            x, y = v[q : q + 256], v[s : s + 4096]
+            dist = (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :]
+            np.nonzero(~(dist > 0.1))
+    plain = time.process_time() - began
+    assert walk < plain
+
+
 def test_nearest_equals_brute_force_in_blocks(spark):
     import numpy as np
 
