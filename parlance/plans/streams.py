@@ -30,5 +30,5 @@ def stream_bins(s, sf):
 @query("stream_history")
 def stream_history(s, sf):
     t = S.read_stream(s, f"{sf}/utterance.parquet").filter("turn_idx is not null")
-    h = S.history_stream(t, "dialog_id", "turn_idx", F.concat_ws(": ", "speaker", "utterance"), 20)
-    return s.read.schema("dialog string, turn long, history string").parquet(S.run_once(h, scratch(s, "stream"), scratch(s, "stream-ck")))
+    p = S.write_history(t, "dialog_id", "turn_idx", F.concat_ws(": ", "speaker", "utterance"), 20, scratch(s, "stream"), scratch(s, "stream-ck"))
+    return s.read.schema("dialog string, turn long, history string, trigger long").parquet(p).drop("trigger")

@@ -1,6 +1,6 @@
 """Streaming forms: an extension; the reference has batch entry points only.
 
-* turns with their history, by a state of the last k lines per dialogue,
+* turns with their history, by a state of the last k lines per dialogue (as a stream for any sink, or written as files),
 * binning with thresholds fitted in batch (stream-static join),
 * event counts in windows with a watermark.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,6 +52,36 @@ def history_stream(turns: DataFrame, dialog: str, turn: str, line: Column, k: in
     return src.groupBy("dialog").applyInPandasWithState(step, "dialog string, turn long, history string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def write_history(turns: DataFrame, dialog: str, turn: str, line: Column, k: int, path: str, checkpoint: str) -> str:
+    """The rows of ``history_stream`` as a folder of Parquet files; every trigger is joins and windows, none calls Python.
+
+    A trigger writes its rows to its own folder, and with the last row of a dialogue the up to k lines that later turns
+    need: rows and state are committed together, and a trigger that runs again replaces its folder. A trigger looks up its
+    dialogues among those of earlier triggers by name and reads the lines of these only, those of their latest trigger.
+    """
+    src = turns.select(F.col(dialog).cast("string").alias("dialog"), F.col(turn).cast("long").alias("turn"), F.coalesce(line, F.lit("")).alias("line"))
+    spark = turns.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    own = Window.partitionBy("dialog").orderBy("place", F.asc_nulls_last("turn"), "line")
+
+    def write(batch: DataFrame, no: int) -> None:
+        rows = batch.withColumn("place", F.lit(k))
+        if no:
+            known = batch.sparkSession.read.schema("dialog string, held array<string>, last boolean, trigger long").parquet(path).filter(F.col("last") & (F.col("trigger") < no))
+            names = batch.select(F.col("dialog").alias("name")).distinct()
+            latest = known.join(names, F.col("dialog").eqNullSafe(F.col("name")), "left_semi").groupBy(F.col("dialog").alias("name")).agg(F.max("trigger").alias("at"))
+            held = known.join(latest, F.col("dialog").eqNullSafe(F.col("name")) & (F.col("trigger") == F.col("at")))
+            rows = rows.unionByName(held.select("dialog", F.lit(None).cast("long").alias("turn"), F.posexplode("held").alias("place", "line")))
+        rows = rows.withColumn("lines", F.collect_list("line").over(own.rowsBetween(-k, 0))).withColumn("last", F.lead(F.lit(1)).over(own).isNull()).filter(F.col("place") == k)
+        held = F.when(F.col("last"), F.slice("lines", F.greatest(F.size("lines") - k + 1, F.lit(1)), F.lit(k)))
+        rows = rows.select("dialog", "turn", F.btrim(F.array_join("lines", "\n"), F.lit("\n")).alias("history"), held.alias("held"), "last")
+        rows.write.mode("overwrite").parquet(f"{path}/trigger={no}")
+
+    src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
 def _place(row: tuple[float, str]) -> tuple[bool, float, str]:
     """By turn, those without one last, then by line."""
     turn, line = row

@@ -120,6 +120,39 @@ def test_history_step_costs_less_than_sorting_a_frame(spark, monkeypatch):
     assert step < time.process_time() - began
 
 
+def test_history_is_written_without_python(spark, tmp_path, monkeypatch):
+    import os
+
+    from parlance.plans.streams import stream_history
+    from parlance.streaming import streams
+
+    says = [
+        [("d", 2, "A", "two"), ("d", 1, "A", "\n"), ("e", 1, "B", "x"), (None, 3, "C", "n")],
+        [("e", 0, "B", "late"), ("f", 5, "B", None), ("e", 7, "B", "y"), ("e", 7, "B", "w")],
+        [("d", 3, "A", "three\n"), ("e", 8, "B", "z"), (None, 4, None, "m"), ("d", 4, "A", "\n\r")],
+        [("g", None, "A", "no place"), ("e", 9, "B", "end")],
+    ]
+    for i, rows in enumerate(says):
+        spark.createDataFrame(rows, "dialog_id string, turn_idx long, speaker string, utterance string").coalesce(1).write.parquet(str(tmp_path / f"made{i}"))
+        (part,) = (tmp_path / f"made{i}").glob("part-*")
+        (tmp_path / "utterance.parquet").mkdir(exist_ok=True)
+        part.rename(to := tmp_path / f"utterance.parquet/part-{i}.parquet")
+        os.utime(to, (1e9 + i, 1e9 + i))
+
+    def read():
+        return streams.read_stream(spark, str(tmp_path / "utterance.parquet"))
+
+    line = F.concat_ws(": ", "speaker", "utterance")
+    order = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for k in (0, 1, 3):
+        want = streams.run_once(streams.history_stream(read(), "dialog_id", "turn_idx", line, k), str(tmp_path / f"a{k}"), str(tmp_path / f"b{k}"))
+        got = streams.write_history(read(), "dialog_id", "turn_idx", line, k, str(tmp_path / f"c{k}"), str(tmp_path / f"d{k}"))
+        assert order(spark.read.parquet(got).select("dialog", "turn", "history")) == order(spark.read.parquet(want))
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandasWithState", None)
+    rows = {(r["dialog"], r["turn"]): r["history"] for r in stream_history(spark, str(tmp_path)).collect() if r["turn"] != 7}
+    assert len(rows) == 11 and rows["d", 3] == "A: \n\nA: two\nA: three" and rows["e", 8] == "B: x\nB: late\nB: w\nB: y\nB: z"
+
+
 def test_nearest_writes_vectors_once(spark):
     import numpy as np
 
